@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from checks import shared
 from litscreen.functions import fixed
-from litscreen.functions.scale import spread_small_scan, stage, stage_path
+from litscreen.functions.scale import held, spread_small_scan, stage, stage_path
 from litscreen.functions.text import search_words
 from litscreen.operators import extraction, planning, prompts, ranking, results, summary
 from litscreen.operators.resolve import resolve_articles as resolve
@@ -63,8 +63,7 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
 def work_list(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Stored pairs with their question, and the stored articles they name."""
     docs = documents(spark, sf)
-    found = stage(search(docs, question_search(spark, sf)), "hits")
-    pairs = stage(found.join(questions(spark, sf), "question_id"), "pairs")
+    pairs = stage(search(docs, question_search(spark, sf)).join(questions(spark, sf), "question_id"), "pairs")
     return pairs, screening.cut_to_pairs(docs, pairs)
 
 
@@ -206,7 +205,7 @@ def drop_empty_articles(spark, sf):
 
 def resolve_articles(spark, sf):
     ids = table(spark, sf, "documents").select(F.col("doc_id").alias("article_id"))
-    web = markup.articles_from_markup(pages(spark, sf))
+    web = stage(markup.articles_from_markup(pages(spark, sf)), "web")
     return flat(resolve(ids, web, documents(spark, sf, doi=True), web), "format")
 
 
@@ -280,7 +279,7 @@ def section_term_stats(spark, sf):
 
 def bm25_scores(spark, sf):
     pairs, docs = work_list(spark, sf)
-    terms = ranking.question_terms(questions(spark, sf))
+    terms = held(ranking.question_terms(questions(spark, sf)), "question-terms")
     return ranking.bm25_scores(ranking.section_term_stats(docs, vocabulary=terms), terms, pairs)
 
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A side is only broadcast when it was counted and stays below both bounds.
 BROADCAST_MAX_ROWS = 2_000_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
+# A table of at most this many rows may be held in the plan itself.
+LOCAL_MAX_ROWS = 20_000
+
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
     """Measure rows and text bytes with one partial aggregation, so the check itself scales."""
@@ -54,6 +57,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame, name: str, max_rows: int = LOCAL_MAX_ROWS) -> DataFrame:
+    """Compute a small table that is used several times once, ready for joins.
+
+    Up to ``max_rows`` rows (what people type in, or a question's words) become part of the plan. A larger table is
+    staged instead, and broadcast only if its measured size allows it.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return broadcast_if_small(stage(df, name))
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def once(value: Column) -> Column:
+    """Compute a costly column exactly once per row.
+
+    A filter or a second use would otherwise be rewritten to the whole expression, and each copy evaluated again. The
+    one-element explode is a line the optimizer does not move expressions across.
+    """
+    return F.explode(F.array(value))
+
+
 def spread_small_scan(df: DataFrame) -> DataFrame:
     """Give every core work when a scan has fewer splits than cores; large scans are returned untouched."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,11 +31,16 @@ def search_words(text: Column) -> Column:
 
 def word_runs(tokens: Column, length: int) -> Column:
     """Every run of ``length`` neighbouring words, joined by a blank."""
-    if length == 1:
-        return tokens
-    starts = F.sequence(F.lit(1), F.size(tokens) - F.lit(length - 1))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, length), " "))
-    return F.when(F.size(tokens) >= length, runs).otherwise(F.array().cast("array<string>"))
+    runs = tokens
+    for n in range(2, length + 1):
+        # Both sides are cut to the number of runs, so nothing is padded.
+        count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+        runs = F.zip_with(F.slice(runs, F.lit(1), count), F.slice(tokens, F.lit(n), count), _joined)
+    return runs
+
+
+def _joined(left: Column, right: Column) -> Column:
+    return F.concat(left, F.lit(" "), right)
 
 
 def section_texts(abstract: Column, sections: Column) -> Column:
@@ -45,3 +50,13 @@ def section_texts(abstract: Column, sections: Column) -> Column:
 
 def blank(text: Column) -> Column:
     return F.coalesce(F.trim(text), F.lit("")) == ""
+
+
+def listed_only(column: str, values: Collection[str]) -> Column:
+    """Elements of the array column that are in a fixed list of words; the optimizer makes it a hash lookup.
+
+    Written as SQL because a long list of literals is slow to build one by one. The values hold no quotes: they are
+    search words joined by blanks.
+    """
+    literals = ", ".join(f"'{v}'" for v in sorted(values))
+    return F.expr(f"filter({column}, t -> t in ({literals}))")

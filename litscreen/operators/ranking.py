@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litscreen.functions import fixed
-from litscreen.functions.scale import broadcast_if_small, stage
+from litscreen.functions.scale import held, once
 from litscreen.functions.stemming import english_stem
 from litscreen.functions.text import ranking_tokens, section_texts, without_stop_words, words
 
@@ -21,6 +21,12 @@ def _texts() -> Column:
     return section_texts(F.col("abstract"), F.col("sections"))
 
 
+def section_count(articles: DataFrame) -> Column:
+    """Number of abstract paragraphs and sections; read from ``n_sections`` where that is stored with the article."""
+    stored = "n_sections" in articles.columns
+    return F.col("n_sections") if stored else F.size("abstract") + F.size("sections")
+
+
 def explode_sections(articles: DataFrame) -> DataFrame:
     """Abstract paragraphs, then section texts, numbered from 0."""
     return articles.select("article_id", F.posexplode(_texts()).alias("section_no", "text"))
@@ -50,17 +56,16 @@ def question_terms(questions: DataFrame, stem: bool = False) -> DataFrame:
 
 def _occurrences(articles: DataFrame, min_sections: int) -> DataFrame:
     """One row per word occurrence, with the article's statistics, which are worked out inside its row."""
-    tokens = F.transform(_texts(), ranking_tokens)
-    rows = articles.select("article_id", F.size(_texts()).alias("n_sections"), tokens.alias("tokens")).filter(
-        F.col("n_sections") >= min_sections
-    )
+    tokens = once(F.transform(_texts(), ranking_tokens))
+    count = section_count(articles)
     total = F.aggregate("tokens", F.lit(0).cast("long"), lambda n, t: n + F.size(t))
-    sections = rows.select(
-        "article_id", "n_sections", (total / F.col("n_sections")).alias("avgdl"),
-        F.posexplode("tokens").alias("section_no", "words"),
-    )
-    return sections.select(
-        "article_id", "n_sections", "avgdl", "section_no", F.size("words").alias("dl"), F.explode("words").alias("term")
+    return (
+        articles.filter(count >= min_sections)
+        .select("article_id", count.alias("n_sections"), tokens.alias("tokens"))
+        .withColumn("avgdl", total / F.col("n_sections"))
+        .select("article_id", "n_sections", "avgdl", F.posexplode("tokens").alias("section_no", "words"))
+        .withColumn("dl", F.size("words"))
+        .select("article_id", "n_sections", "avgdl", "section_no", "dl", F.explode("words").alias("term"))
     )
 
 
@@ -71,8 +76,8 @@ def question_word_forms(articles: DataFrame, terms: DataFrame, min_sections: int
     words is a lookup in a small table.
     """
     vocabulary = _occurrences(articles, min_sections).select("term")
-    stems = terms.select(F.col("term").alias("stem")).distinct()
-    return stem_tokens(vocabulary, "term").join(broadcast_if_small(stems), "stem", "left_semi").select("term", "stem")
+    stems = terms.select(F.col("term").alias("stem"))
+    return stem_tokens(vocabulary, "term").join(stems, "stem", "left_semi").select("term", "stem")
 
 
 def section_term_stats(
@@ -84,16 +89,17 @@ def section_term_stats(
     """``(article_id, section_no, term, tf, dl, avgdl, n_sections, df)``.
 
     ``vocabulary`` (column ``term``) keeps only those words, ``word_forms`` maps words to the stems that replace them;
-    lengths always count every word. The one exchange puts an article's kept words in one partition, and both counts
-    use it. An article is one row to begin with, so no group can outgrow a task.
+    both are small tables made ready with ``held``. Lengths always count every word. The one exchange, by article and
+    word, serves both counts here and the join with the question's words after. An article is one row to begin with, so
+    no group can outgrow a task.
     """
     rows = _occurrences(articles, min_sections)
     if word_forms is not None:
-        rows = rows.join(broadcast_if_small(word_forms), "term").drop("term").withColumnRenamed("stem", "term")
+        rows = rows.join(word_forms, "term").drop("term").withColumnRenamed("stem", "term")
     elif vocabulary is not None:
-        rows = rows.join(broadcast_if_small(vocabulary.select("term").distinct()), "term", "left_semi")
+        rows = rows.join(vocabulary.select("term"), "term", "left_semi")
     counted = (
-        rows.repartition("article_id")
+        rows.repartition("article_id", "term")
         .groupBy("article_id", "term", "section_no", "dl", "avgdl", "n_sections")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -112,24 +118,23 @@ def bm25_weight() -> Column:
 
 
 def _term_scores(stats: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One score per (pair, section, term). A merge join, because neither side has a size known beforehand; a found
+    article that many questions share is a large key on the pairs' side only, which adaptive execution splits."""
     wanted = pairs.select("question_id", "article_id").join(terms, "question_id")
-    return stats.join(wanted, ["article_id", "term"]).select(
+    return stats.join(wanted.hint("merge"), ["article_id", "term"]).select(
         "question_id", "article_id", "section_no", (bm25_weight() * F.col("qtf")).alias("score")
     )
 
 
-def _summed(rows: DataFrame) -> DataFrame:
-    """Rounded so that the order of additions cannot change a rank; left partitioned by pair for the window after."""
-    return (
-        rows.repartition("question_id", "article_id")
-        .groupBy("question_id", "article_id", "section_no")
-        .agg(F.round(F.sum("score"), fixed.SCORE_DIGITS).alias("score"))
-    )
+def _rounded_sum() -> Column:
+    """Rounded so that the order of additions cannot change a rank."""
+    return F.round(F.sum("score"), fixed.SCORE_DIGITS)
 
 
 def bm25_scores(stats: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(question_id, article_id, section_no, score)`` for every section that shares a term with the question."""
-    return _summed(_term_scores(stats, terms, pairs))
+    scores = _term_scores(stats, terms, pairs)
+    return scores.groupBy("question_id", "article_id", "section_no").agg(_rounded_sum().alias("score"))
 
 
 def top_sections(
@@ -137,26 +142,26 @@ def top_sections(
 ) -> DataFrame:
     """``(question_id, article_id, section_no, score, rank)``: the best ``k`` sections of each pair.
 
-    Articles with at most ``k`` sections keep them all in document order, unscored. In longer ones a section without a
-    matching term scores 0 and equal scores keep document order; at most the first ``k`` sections can be needed to fill
-    up with zeros, so only those are added.
+    ``stats`` covers the articles with more than ``k`` sections. The others keep all sections in document order,
+    unscored. A section without a matching term scores 0 and equal scores keep document order, so at most the first
+    ``k`` sections can be needed to fill up with zeros, and only those are added. One exchange by pair serves the sums
+    and the window.
     """
     keys = ["question_id", "article_id"]
-    count = F.col("n_sections")
-    long = sized_pairs.filter(count > k)
-    zeros = long.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("section_no"), F.lit(0.0).alias("score"))
+    first_k = F.sequence(F.lit(0), F.least(F.col("n_sections"), F.lit(k)) - 1)
+    zeros = sized_pairs.filter(F.col("n_sections") > 0).select(
+        *keys, F.explode(first_k).alias("section_no"), F.lit(0.0).alias("score"), (F.col("n_sections") <= k).alias("whole")
+    )
+    scored = _term_scores(stats, terms, sized_pairs).withColumn("whole", F.lit(False))
     best = Window.partitionBy(*keys).orderBy(F.desc("score"), "section_no")
-    ranked = (
-        _summed(_term_scores(stats, terms, long).unionByName(zeros))
+    return (
+        scored.unionByName(zeros)
+        .repartition(*keys)
+        .groupBy(*keys, "section_no")
+        .agg(F.when(~F.bool_or("whole"), _rounded_sum()).alias("score"))
         .withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)
     )
-    whole = sized_pairs.filter((count > 0) & (count <= k)).select(
-        *keys, F.explode(F.sequence(F.lit(0), count - 1)).alias("section_no")
-    )
-    return ranked.unionByName(
-        whole.select(*keys, "section_no", F.lit(None).cast("double").alias("score"), (F.col("section_no") + 1).alias("rank"))
-    )
 
 
 def rank_sections(
@@ -170,15 +175,14 @@ def rank_sections(
 
     ``pairs`` and ``articles`` are read several times: hand in stored tables, with ``articles`` cut to the pairs.
     """
-    terms = question_terms(questions, stem)
+    terms = held(question_terms(questions, stem), "question-terms")
     if stem:
-        forms = stage(question_word_forms(articles, terms, k + 1), "word-forms")
+        forms = held(question_word_forms(articles, terms, k + 1), "word-forms")
         stats = section_term_stats(articles, word_forms=forms, min_sections=k + 1)
     else:
         stats = section_term_stats(articles, vocabulary=terms, min_sections=k + 1)
-    sizes = articles.select("article_id", F.size(_texts()).alias("n_sections"))
-    sized = pairs.select("question_id", "article_id").join(sizes, "article_id")
-    return top_sections(stats, terms, sized, k)
+    sizes = articles.select("article_id", section_count(articles).alias("n_sections"))
+    return top_sections(stats, terms, pairs.select("question_id", "article_id").join(sizes, "article_id"), k)
 
 
 def with_section_text(ranked: DataFrame, articles: DataFrame) -> DataFrame:

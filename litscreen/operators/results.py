@@ -55,8 +55,9 @@ def serialise_record(df: DataFrame) -> DataFrame:
 # -- lookups ---------------------------------------------------------------------------------------------------------
 
 
-def _lowest_ids(results: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
-    return results.groupBy(*keys).agg(F.min(id_col).alias(id_col))
+def _stored_for(pairs: DataFrame, results: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Stored rows with a key of ``pairs``. While the work list is small (measured) the table does not shuffle."""
+    return results.join(broadcast_if_small(pairs.select(*keys)), list(keys), "left_semi")
 
 
 def find_existing(pairs: DataFrame, results: DataFrame, keys: Sequence[str], id_col: str = "id") -> DataFrame:
@@ -64,7 +65,8 @@ def find_existing(pairs: DataFrame, results: DataFrame, keys: Sequence[str], id_
 
     Minimum per key combines before it shuffles, so a key stored very often costs one row per task.
     """
-    return pairs.join(_lowest_ids(results, keys, id_col), list(keys), "left")
+    lowest = _stored_for(pairs, results.select(*keys, id_col), keys).groupBy(*keys).agg(F.min(id_col).alias(id_col))
+    return pairs.join(lowest, list(keys), "left")
 
 
 def pending_extractions(
@@ -73,7 +75,7 @@ def pending_extractions(
     """Pairs still to do: those without a stored record, or all of them when overwriting."""
     if overwrite:
         return pairs
-    return pairs.join(results.select(*keys).distinct(), list(keys), "left_anti")
+    return pairs.join(_stored_for(pairs, results.select(*keys), keys).distinct(), list(keys), "left_anti")
 
 
 def assign_record_ids(new_rows: DataFrame, results: DataFrame, order_by: Sequence[str], id_col: str = "id") -> DataFrame:
@@ -92,7 +94,7 @@ def assign_record_ids(new_rows: DataFrame, results: DataFrame, order_by: Sequenc
     row = F.col("__place").bitwiseAND((1 << 33) - 1)
     return (
         placed.withColumn("__part", part)
-        .join(broadcast_if_small(offsets), "__part")
+        .join(F.broadcast(offsets), "__part")  # one row per partition
         .withColumn(id_col, F.lit(start) + F.col("__offset") + row + 1)
         .select(id_col, *new_rows.columns)
     )
@@ -182,11 +184,12 @@ def write_results(
     stored = spark.table(table)
     nearby = stored.filter(F.col(BUCKET).isin(touched))
     found = stage(find_existing(rows, nearby, keys), "found")
-    fresh = stage(assign_record_ids(found.filter(F.col("id").isNull()).drop("id"), stored, keys), "new-records")
     known = found.filter(F.col("id").isNotNull())
+    n_new, n_known = found.agg(F.count_if(F.col("id").isNull()), F.count("id")).first()
+    fresh = assign_record_ids(found.filter(F.col("id").isNull()).drop("id"), stored, keys) if n_new else found.limit(0)
     columns = stored.columns
 
-    if overwrite and not known.isEmpty():
+    if overwrite and n_known:
         whole = _merged(nearby, known, "id").select(*columns).unionByName(fresh.select(*columns))
         copy = stage(whole, "buckets")
         previous = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
@@ -195,8 +198,7 @@ def write_results(
             copy.hint("rebalance", BUCKET).write.insertInto(table, overwrite=True)
         finally:
             spark.conf.set("spark.sql.sources.partitionOverwriteMode", previous)
-    elif not fresh.isEmpty():
+    elif n_new:
         fresh.select(*columns).hint("rebalance", BUCKET).write.insertInto(table)
-    spark.catalog.refreshTable(table)
     written = fresh.select("id", *keys, F.lit(True).alias("is_new"))
     return written.unionByName(known.select("id", *keys, F.lit(False).alias("is_new"))) if overwrite else written

@@ -6,11 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from litscreen.functions import fixed
-from litscreen.functions.scale import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS
-from litscreen.functions.text import search_words, section_texts, word_runs
+from litscreen.functions.scale import held
+from litscreen.functions.text import listed_only, search_words, section_texts, word_runs
 from litscreen.operators.planning import normalise_terms
 
 
+# Up to this many distinct terms are tested inside the article's row, before any row per word is made.
+MAX_INLINE_TERMS = 5_000
+
+
+def _wanted(terms: DataFrame) -> DataFrame:
+    """Terms with their question's number of groups."""
+    groups = F.size(F.collect_set("group_no").over(Window.partitionBy("question_id")))
+    return held(normalise_terms(terms).withColumn("n_groups", groups), "search-terms")
+
+
 def search_corpus(
     articles: DataFrame, terms: DataFrame, top_n: int = fixed.TOP_ARTICLES_PER_SEARCH
 ) -> DataFrame:
@@ -19,33 +29,37 @@ def search_corpus(
     An article is found when every group of the question has a matching term; a term of several words matches them side
     by side within one paragraph. Articles with more matching terms come first, then the lower article id.
 
-    The corpus never shuffles: a broadcast of the terms (size checked) keeps the few words that are searched for, and
-    only (article, term) pairs move, once, to their article's partition. Counting groups per (question, article)
+    The corpus never shuffles: words that are searched for are picked out inside the article's row (or, for a long list
+    of terms, by a broadcast whose size was checked), and only (article, term) pairs move, once, to their article's partition. Counting groups per (question, article)
     happens there without another exchange, and the window keeps the best N of each task before the last one, so a
     question that matches a third of the corpus sends N rows per task.
     """
-    terms = normalise_terms(terms)
-    n, size, lengths = terms.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term") + 24), F.lit(0)), F.collect_set("n_words")
-    ).first()
-    small = n <= BROADCAST_MAX_ROWS and size <= BROADCAST_MAX_BYTES
-    hint = F.broadcast if small else (lambda df: df)
-
+    wanted = _wanted(terms)
+    distinct = wanted.select("n_words", "term").distinct().limit(MAX_INLINE_TERMS + 1).collect()
+    inline = len(distinct) <= MAX_INLINE_TERMS
+    lengths = sorted({r["n_words"] for r in (distinct if inline else wanted.select("n_words").distinct().collect())})
     paragraphs = F.transform(section_texts(F.col("abstract"), F.col("sections")), search_words)
-    runs = [F.flatten(F.transform("paragraphs", lambda w: word_runs(w, length))) for length in sorted(lengths)]
-    words = F.array_distinct(F.concat(F.array().cast("array<string>"), *runs))
-    exploded = articles.select("article_id", paragraphs.alias("paragraphs")).select(
-        "article_id", F.explode(words).alias("term")
+
+    runs = [F.flatten(F.transform("paragraphs", lambda w: word_runs(w, n))).alias(f"runs_{n}") for n in lengths]
+    kept = [F.col(f"runs_{n}") for n in lengths]
+    if inline:
+        kept = [listed_only(f"runs_{n}", {r["term"] for r in distinct if r["n_words"] == n}) for n in lengths]
+    words = F.array_distinct(F.concat(F.array().cast("array<string>"), *kept))
+    rows = (
+        articles.select("article_id", paragraphs.alias("paragraphs"))
+        .select("article_id", *runs)
+        .select("article_id", F.explode(words).alias("term"))
     )
-    found = exploded.join(hint(terms.select("term").distinct()), "term", "left_semi").repartition("article_id")
+    if not inline:
+        rows = rows.join(wanted.select("term"), "term", "left_semi")
 
-    needed = terms.groupBy("question_id").agg(F.count_distinct("group_no").alias("n_groups"))
-    wanted = terms.join(hint(needed), "question_id").select("question_id", "group_no", "term", "n_groups")
+    keys = ["article_id", "question_id", "n_groups"]
     matches = (
-        found.join(hint(wanted), "term")
-        .groupBy("article_id", "question_id", "n_groups", "group_no")
+        rows.repartition("article_id")
+        .join(wanted, "term")
+        .groupBy(*keys, "group_no")
         .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("article_id", "question_id", "n_groups")
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n_matched"), F.sum("n").alias("n_terms"))
         .filter(F.col("n_matched") == F.col("n_groups"))
     )

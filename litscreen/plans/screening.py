@@ -29,9 +29,11 @@ def review_hits(spark: SparkSession, spec: ReviewSpec, articles: DataFrame) -> D
 
 
 def cut_to_pairs(articles: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The articles of the work list, stored: the one pass over the corpus texts that ranking needs."""
-    wanted = broadcast_if_small(pairs.select("article_id").distinct())
-    return stage(articles.join(wanted, "article_id", "left_semi"), "articles")
+    """The articles of the work list, stored with their number of sections: the one pass over the corpus texts that
+    ranking needs."""
+    wanted = broadcast_if_small(pairs.select("article_id"))
+    needed = articles.join(wanted, "article_id", "left_semi")
+    return stage(needed.withColumn("n_sections", ranking.section_count(articles)), "articles")
 
 
 def ranked_evidence(pairs: DataFrame, articles: DataFrame, k: int, stem: bool = True) -> DataFrame:
@@ -62,9 +64,9 @@ def screen(
     key = F.col("article_id").cast("string").alias(fixed.ARTICLE_KEY)
 
     pairs = planning.screening_pairs(plan, hits, drop_empty_articles(articles))
-    keyed = pairs.select("question_id", "article_id", "question", *spec.params, key)
+    keyed = stage(pairs.select("question_id", "article_id", "question", *spec.params, key), "pairs")
     done = results.read_results(spark, table)
-    pending = stage(results.pending_extractions(keyed, done, spec.keys, spec.overwrite_existing), "pairs")
+    pending = stage(results.pending_extractions(keyed, done, spec.keys, spec.overwrite_existing), "pending")
     texts = cut_to_pairs(articles, pending)
 
     evidence = ranked_evidence(pending, texts, spec.top_sections, stem)
@@ -80,7 +82,7 @@ def screen(
     rows = results.serialise_record(results.project_columns(records, spec, "question_id"))
     written = results.write_results(spark, table, rows, spec, "question_id", spec.overwrite_existing)
 
-    added = broadcast_if_small(written.select(*spec.keys, F.lit(True).alias("added")))
+    added = written.select(*spec.keys, F.lit(True).alias("added"))
     failed = rejected.select("question_id", "article_id", F.lit(True).alias("failed"))
     outcomes = (
         keyed.join(answers.select("question_id", "article_id", "cost"), ["question_id", "article_id"], "left")

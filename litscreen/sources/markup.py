@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litscreen.functions.scale import once
+
 # Tags whose whole content is not article text, tags that start a heading or a paragraph, and tags that
 # end one.
 DROPPED_TAGS = ("script", "style", "nav", "head")
@@ -54,21 +56,22 @@ def sections_from_markup(
     text = F.regexp_replace(text, rf"(?i)<({'|'.join(paragraph_tags)})(\s[^>]*)?>", _PARAGRAPH)
     text = F.regexp_replace(text, rf"(?i)</?({ends})(\s[^>]*)?/?>", _BREAK)
 
-    # Cut at headings first; in each piece the text before the next mark is the title, paragraphs follow theirs.
-    marks = f"[{_BREAK}{_PARAGRAPH}]"
-
-    def paragraphs(piece: Column, position: Column) -> Column:
-        title = F.when(position == 0, F.lit("")).otherwise(_plain(F.element_at(F.split(piece, marks), 1)))
+    # Cut at headings first; in each piece the text before the next mark is the title, paragraphs follow theirs. Each
+    # piece is read into its title and texts once, before titles and texts are paired.
+    def read(piece: Column, position: Column) -> Column:
+        before = F.substring_index(F.replace(piece, F.lit(_PARAGRAPH), F.lit(_BREAK)), _BREAK, 1)
         starts = F.split(piece, _PARAGRAPH)
         texts = F.transform(
-            F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))),
-            lambda t: _plain(F.element_at(F.split(t, _BREAK), 1)),
+            F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), lambda t: _plain(F.substring_index(t, _BREAK, 1))
         )
-        kept = F.filter(texts, lambda t: t != "")
-        return F.transform(kept, lambda t: F.struct(title.alias("title"), t.alias("text")))
+        title = F.when(position > 0, _plain(before)).otherwise(F.lit(""))
+        return F.struct(title.alias("title"), F.filter(texts, lambda t: t != "").alias("texts"))
+
+    def paired(piece: Column) -> Column:
+        return F.transform(piece["texts"], lambda t: F.struct(piece["title"].alias("title"), t.alias("text")))
 
-    cut = pages.select(F.col(id_col), F.split(text, _HEADING).alias("pieces"))
-    return cut.select(id_col, F.flatten(F.transform("pieces", paragraphs)).alias("sections"))
+    pieces = F.transform(F.split(text, _HEADING), read)
+    return pages.select(F.col(id_col), once(F.flatten(F.transform(pieces, paired))).alias("sections"))
 
 
 def articles_from_markup(pages: DataFrame, id_col: str = "page_id", markup_col: str = "html", **tags) -> DataFrame:
