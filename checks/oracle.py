@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from checks import shared
+from checks.stemming_sql import stem_tables
 from litscreen.functions import fixed
 from litscreen.sources import markup
 
@@ -29,7 +30,7 @@ TOKENS = f"""{SECTIONS}, tokens AS (
            list_filter(regexp_extract_all(lower(text), '{WORDS}'), lambda t: t NOT IN ({STOP})) AS tokens
     FROM sections)"""
 
-STATS = f"""{TOKENS}, sizes AS (
+_STATS = """sizes AS (
     SELECT article_id, CAST(count(*) AS INTEGER) AS n_sections, sum(len(tokens)) / count(*) AS avgdl
     FROM tokens GROUP BY article_id),
 counted AS (
@@ -39,6 +40,7 @@ counted AS (
 stats AS (
     SELECT article_id, section_no, term, tf, dl, avgdl, n_sections, count(*) OVER (PARTITION BY article_id, term) AS df
     FROM counted JOIN sizes USING (article_id))"""
+STATS = f"{TOKENS}, {_STATS}"
 
 HITS = f"""asked AS (
     SELECT item_id AS question_id, regexp_extract_all(lower(text), '[\\p{{L}}]{{4,}}') AS long,
@@ -68,17 +70,21 @@ hits AS (
 WEIGHT = f"""ln(1 + (n_sections - df + 0.5) / (df + 0.5)) * tf
     / (tf + {fixed.BM25_K1} * (1 - {fixed.BM25_B} + {fixed.BM25_B} * dl / avgdl))"""
 
-SCORES = f"""{STATS}, {HITS}, question_terms AS (
-    SELECT question_id, term, count(*) AS qtf FROM (
-        SELECT item_id AS question_id,
-               unnest(list_filter(regexp_extract_all(lower(text), '{WORDS}'), lambda t: t NOT IN ({STOP}))) AS term
-        FROM benchmark) GROUP BY question_id, term),
+ASKED_TOKENS = f"""asked_tokens AS (
+    SELECT item_id AS question_id,
+           list_filter(regexp_extract_all(lower(text), '{WORDS}'), lambda t: t NOT IN ({STOP})) AS tokens
+    FROM benchmark)"""
+
+_SCORES = f"""{HITS}, question_terms AS (
+    SELECT question_id, term, count(*) AS qtf FROM (SELECT question_id, unnest(tokens) AS term FROM asked_tokens)
+    GROUP BY question_id, term),
 scores AS (
     SELECT question_id, article_id, section_no, round(sum(qtf * {WEIGHT}), {fixed.SCORE_DIGITS}) AS score
     FROM hits JOIN question_terms USING (question_id) JOIN stats USING (article_id, term)
     GROUP BY question_id, article_id, section_no)"""
+SCORES = f"{STATS}, {ASKED_TOKENS}, {_SCORES}"
 
-TOP = f"""{SCORES}, every_section AS (
+_TOP = f"""every_section AS (
     SELECT question_id, article_id, s.section_no, s.text, n_sections, coalesce(score, 0.0) AS score
     FROM hits JOIN sections s USING (article_id) JOIN sizes USING (article_id)
     LEFT JOIN scores USING (question_id, article_id, section_no)),
@@ -88,6 +94,26 @@ top AS (
                PARTITION BY question_id, article_id
                ORDER BY CASE WHEN n_sections > {K} THEN score ELSE 0 END DESC, section_no) AS INTEGER) AS rank
     FROM every_section QUALIFY rank <= {K})"""
+TOP = f"{SCORES}, {_TOP}"
+
+# The same ranking over stems: the tokens of sections and questions are replaced, everything else stays.
+STEMMED_TOP = f"""{TOKENS.replace("tokens AS (", "plain_tokens AS MATERIALIZED (", 1)},
+{ASKED_TOKENS.replace("asked_tokens AS (", "plain_asked AS MATERIALIZED (", 1)},
+vocabulary AS (
+    SELECT DISTINCT token FROM (
+        SELECT unnest(tokens) AS token FROM plain_tokens UNION ALL SELECT unnest(tokens) FROM plain_asked)),
+{stem_tables().replace("stems AS (", "stems AS MATERIALIZED (", 1)},
+token_stems AS MATERIALIZED (
+    SELECT article_id, section_no, list(stem) AS stems
+    FROM (SELECT article_id, section_no, unnest(tokens) AS token FROM plain_tokens) JOIN stems USING (token)
+    GROUP BY article_id, section_no),
+tokens AS MATERIALIZED (
+    SELECT article_id, section_no, coalesce(stems, []) AS tokens
+    FROM plain_tokens LEFT JOIN token_stems USING (article_id, section_no)),
+asked_tokens AS (
+    SELECT question_id, list(stem) AS tokens
+    FROM (SELECT question_id, unnest(tokens) AS token FROM plain_asked) JOIN stems USING (token) GROUP BY question_id),
+{_STATS}, {_SCORES}, {_TOP}"""
 
 LABELLED = f"""{TOP}, labelled AS (
     SELECT question_id, article_id,
@@ -306,9 +332,13 @@ ORACLE = {
         array_to_string(regexp_extract_all(lower(text), '{WORDS}'), ' ') AS tokens FROM sections""",
     "remove_stopwords": f"""WITH {TOKENS} SELECT article_id, section_no, CAST(len(tokens) AS INTEGER) AS dl,
         array_to_string(tokens, ' ') AS tokens FROM tokens""",
+    "stem_tokens": f"""WITH vocabulary AS (
+            SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{WORDS}')) AS token FROM documents), {stem_tables()}
+        SELECT token, stem FROM stems""",
     "section_term_stats": f"WITH {STATS} SELECT * FROM stats",
     "bm25_scores": f"WITH {SCORES} SELECT * FROM scores",
     "top_sections": f"WITH {TOP} SELECT question_id, article_id, section_no, score, rank FROM top",
+    "top_sections_stemmed": f"WITH {STEMMED_TOP} SELECT question_id, article_id, section_no, score, rank FROM top",
     "label_sections": f"WITH {LABELLED} SELECT * FROM labelled",
     "render_examples": """SELECT u.conv_id, u.turn, 'QUESTION: ' || u.text || chr(10) || '{"section_1":' || to_json(u.text)::VARCHAR
             || '}' || chr(10) || '{"answer":' || to_json(a.text)::VARCHAR || '}' AS example
