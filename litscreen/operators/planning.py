@@ -57,7 +57,7 @@ def _all_names(item: str) -> Column:
 def build_search_query(grid: DataFrame, params: Sequence[str], extra_keywords: str = "") -> DataFrame:
     """Add the boolean search text, such as ``(a OR b) AND (c)``."""
     groups = [F.concat(F.lit("("), F.array_join(_all_names(p), " OR "), F.lit(")")) for p in params]
-    return grid.withColumn("search_query", F.trim(F.concat_ws(" ", F.concat_ws(" AND ", *groups), F.lit(extra_keywords))))
+    return grid.withColumn("search_query", F.trim(F.concat_ws(" ", F.concat_ws(" AND ", *groups), F.lit(extra_keywords.strip()))))
 
 
 def search_terms(grid: DataFrame, params: Sequence[str], extra_groups: Sequence[Sequence[str]] = ()) -> DataFrame:
