@@ -35,7 +35,8 @@ def input_grid(inputs: DataFrame, params: Sequence[str]) -> DataFrame:
     value up by an equality join, so no Cartesian join is planned however long the lists get.
     """
     spark = inputs.sparkSession
-    counts = {r["param"]: r["n"] for r in inputs.groupBy("param").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = inputs.filter(F.col("param").isin(*params)).groupBy("param").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["param"]: r["n"] for r in sizes.collect()}
     total = reduce(lambda n, p: n * counts.get(p, 0), params, 1)
     grid, stride = spark.range(total).withColumnRenamed("id", "question_id"), total
     for p in params:

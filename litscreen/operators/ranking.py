@@ -117,11 +117,38 @@ def bm25_weight() -> Column:
     return idf * tf / (tf + fixed.BM25_K1 * length)
 
 
+# An article found by more questions than this is scored in as many parts as keep each part below it.
+PAIRS_PER_PART = 10_000
+
+
+def _parts(pairs: DataFrame) -> DataFrame | None:
+    """``(article_id, n_parts)`` of the articles that very many questions share, or nothing.
+
+    There is at most one such article per ``PAIRS_PER_PART`` pairs, so the table is small by construction.
+    """
+    counted = pairs.groupBy("article_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PAIRS_PER_PART)
+    shared = held(counted.select("article_id", F.ceil(F.col("n") / PAIRS_PER_PART).cast("int").alias("n_parts")), "parts")
+    return None if shared.isEmpty() else shared
+
+
 def _term_scores(stats: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One score per (pair, section, term). A merge join, because neither side has a size known beforehand; a found
-    article that many questions share is a large key on the pairs' side only, which adaptive execution splits."""
-    wanted = pairs.select("question_id", "article_id").join(terms, "question_id")
-    return stats.join(wanted.hint("merge"), ["article_id", "term"]).select(
+    """One score per (pair, section, term).
+
+    A merge join, because neither side has a size known beforehand. Each matching section of an article is repeated for
+    every question that found it, so an article many questions share is split: its questions are dealt out to parts by
+    a hash, and its few statistics are copied to each part.
+    """
+    keys = ["article_id", "term"]
+    wanted = pairs.select("question_id", "article_id")
+    parts = _parts(wanted)
+    if parts is not None:
+        keys = [*keys, "part"]
+        n_parts = F.coalesce("n_parts", F.lit(1))
+        dealt = F.pmod(F.xxhash64("question_id"), n_parts).cast("int")
+        wanted = wanted.join(parts, "article_id", "left").withColumn("part", dealt).drop("n_parts")
+        copies = F.explode(F.sequence(F.lit(0), n_parts - 1))
+        stats = stats.join(parts, "article_id", "left").withColumn("part", copies).drop("n_parts")
+    return stats.join(wanted.join(terms, "question_id").hint("merge"), keys).select(
         "question_id", "article_id", "section_no", (bm25_weight() * F.col("qtf")).alias("score")
     )
 

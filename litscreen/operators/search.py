@@ -17,8 +17,9 @@ MAX_INLINE_TERMS = 5_000
 
 def _wanted(terms: DataFrame) -> DataFrame:
     """Terms with their question's number of groups."""
-    groups = F.size(F.collect_set("group_no").over(Window.partitionBy("question_id")))
-    return held(normalise_terms(terms).withColumn("n_groups", groups), "search-terms")
+    terms = normalise_terms(terms)
+    groups = terms.groupBy("question_id").agg(F.count_distinct("group_no").alias("n_groups"))
+    return held(terms.join(groups, "question_id"), "search-terms")
 
 
 def search_corpus(

@@ -44,6 +44,12 @@ def ranked_evidence(pairs: DataFrame, articles: DataFrame, k: int, stem: bool =
     return ranking.label_sections(ranking.with_section_text(ranked, articles))
 
 
+def prompt_head(spark: SparkSession, spec: ReviewSpec) -> tuple[str, str]:
+    """The examples and the opening text, which all prompts of a review share."""
+    block = prompts.few_shot_block(prompts.example_rows(spark, spec)) if spec.examples else ""
+    return block, prompts.prompt_opening(spec)
+
+
 def screen(
     spark: SparkSession,
     spec: ReviewSpec,
@@ -54,13 +60,13 @@ def screen(
     extractor: extraction.Extractor,
     concurrency: int = fixed.EXTRACTOR_CONCURRENCY,
     stem: bool = True,
+    head: tuple[str, str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Extract and write what is not in the result table yet: (summary row, rejected answers).
 
     ``articles`` are resolved and carry ``format``. Finished pairs are dropped before any text is read for ranking.
     """
-    block = prompts.few_shot_block(prompts.example_rows(spark, spec)) if spec.examples else ""
-    opening = prompts.prompt_opening(spec)
+    block, opening = head or prompt_head(spark, spec)
     key = F.col("article_id").cast("string").alias(fixed.ARTICLE_KEY)
 
     pairs = planning.screening_pairs(plan, hits, drop_empty_articles(articles))

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from litscreen.functions import fixed
 from litscreen.operators.extraction import Extractor
 from litscreen.operators.results import create_result_table
-from litscreen.plans.screening import screen
+from litscreen.plans.screening import prompt_head, screen
 from litscreen.sources.articles import ARTICLES, drop_empty_articles
 from litscreen.spec import ReviewSpec
 
@@ -41,10 +41,11 @@ def stream_screen(
     A batch that is run again finds its rows in the table and adds nothing, so the table ends up the same.
     """
     create_result_table(spark, table, spec)
+    head = prompt_head(spark, spec)
 
     def handle(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
-        screen(session, spec, plan, hits, batch, table, extractor, concurrency, stem)
+        screen(session, spec, plan, hits, batch, table, extractor, concurrency, stem, head)
 
     return (
         articles.writeStream.foreachBatch(handle)

@@ -15,11 +15,9 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in q.QUERIES if not n.startswith(("stream", "result_table"))])
-def test_no_cartesian_product_and_no_python(spark, name):
-    text = plan(q.QUERIES[name](spark, SF))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    assert ("Python" in text or "MapInPandas" in text) == (name == "run_extractor")
+def test_no_python_worker_in_stemmed_ranking(spark):
+    text = plan(q.top_sections_stemmed(spark, SF))
+    assert "Python" not in text and "InPandas" not in text
 
 
 def test_scan_reads_only_what_it_needs(spark):

@@ -100,8 +100,10 @@ def test_random_articles(spark, make_articles, corpus, question):
         close(got, best(all_texts(texts[a]), question, K))
 
 
-def test_one_article_found_by_every_question(spark, make_articles):
-    """A hot article: the ranking of each pair is that of the pair alone, however rows are spread."""
+@pytest.mark.parametrize("pairs_per_part", [10_000, 7])
+def test_one_article_found_by_every_question(spark, make_articles, monkeypatch, pairs_per_part):
+    """A hot article: the ranking of each pair is that of the pair alone, in one part or in many."""
+    monkeypatch.setattr(ranking, "PAIRS_PER_PART", pairs_per_part)
     questions = {q: f"drug channel word{q % 7}" for q in range(300)}
     found = ours(spark, make_articles, {1: TEXTS[1]}, questions)
     for q, text in questions.items():
