@@ -63,7 +63,8 @@ def held(df: DataFrame, name: str, max_rows: int = LOCAL_MAX_ROWS) -> DataFrame:
     Up to ``max_rows`` rows (what people type in, or a question's words) become part of the plan. A larger table is
     staged instead, and broadcast only if its measured size allows it.
     """
-    rows = df.limit(max_rows + 1).collect()
+    # The coalesce makes every partition work on its share at once; a bare limit would try them a few at a time.
+    rows = df.limit(max_rows + 1).coalesce(1).collect()
     if len(rows) > max_rows:
         return broadcast_if_small(stage(df, name))
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

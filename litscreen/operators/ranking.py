@@ -42,8 +42,12 @@ def remove_stopwords(df: DataFrame, col: str = "tokens", stop_words: Sequence[st
 
 
 def stem_tokens(df: DataFrame, col: str, out: str = "stem") -> DataFrame:
-    """English stem of each distinct value of ``col``: the vocabulary is stemmed, not every occurrence."""
-    return df.select(col).distinct().withColumn(out, english_stem(F.col(col)))
+    """English stem of each distinct value of ``col``: the vocabulary is stemmed, not every occurrence.
+
+    Words are few bytes but much work, so they are dealt out by number rather than merged into partitions by size.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(col).distinct().repartition(tasks).select(col, once(english_stem(F.col(col))).alias(out))
 
 
 def question_terms(questions: DataFrame, stem: bool = False) -> DataFrame:
