@@ -131,8 +131,9 @@ def _parts(pairs: DataFrame) -> DataFrame | None:
     There is at most one such article per ``PAIRS_PER_PART`` pairs, so the table is small by construction.
     """
     counted = pairs.groupBy("article_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PAIRS_PER_PART)
-    shared = held(counted.select("article_id", F.ceil(F.col("n") / PAIRS_PER_PART).cast("int").alias("n_parts")), "parts")
-    return None if shared.isEmpty() else shared
+    if counted.isEmpty():
+        return None
+    return held(counted.select("article_id", F.ceil(F.col("n") / PAIRS_PER_PART).cast("int").alias("n_parts")), "parts")
 
 
 def _term_scores(stats: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFrame:
