@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from litscreen.llm.common import bounded, keyed_text
+from litscreen.llm.common import bounded, keyed_text, ship_package
 
 CAPACITY = 4096
 POOL = 1024  # pieces that wait to be packed; twice as many start a round of packing
@@ -212,6 +212,7 @@ def pack_documents(
     if capacity & (capacity - 1) or capacity < 1:
         raise ValueError("capacity must be a power of two")
     texts = keyed_text(docs, id_col, text_col)
+    ship_package(texts.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as file:
         sent = texts.sparkSession.sparkContext.broadcast(file.read())
     end = struct.pack("<I", end_id)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litscreen.llm import decontaminate, packing
+from litscreen.llm import decontaminate, extract, packing, quality, toxicity
 from litscreen.llm.common import table
 
 
@@ -16,13 +16,29 @@ def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate.find_benchmark(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return decontaminate.contamination_report(found)
 
 
+def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op10_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return extract.extract_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op4_toxicity": op4_toxicity,
     "op6_decontamination": op6_decontamination,
+    "op7_quality": op7_quality,
+    "op10_extraction": op10_extraction,
 }
 ORACLE: dict[str, str] = {}
