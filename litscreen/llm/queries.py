@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litscreen.llm import decontaminate, extract, packing, quality, toxicity
+from litscreen.llm import decontaminate, extract, minhash, packing, quality, toxicity
 from litscreen.llm.common import table
 
 
@@ -29,6 +29,11 @@ def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_report(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_extraction(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
     return extract.extract_text(pages).select("page_id", "url", "text", "n_chars")
@@ -39,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_extraction": op10_extraction,
 }
 ORACLE: dict[str, str] = {}
