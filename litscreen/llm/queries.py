@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litscreen.llm import decontaminate, extract, minhash, packing, quality, toxicity
+from litscreen.llm import decontaminate, extract, lines, minhash, packing, quality, toxicity
 from litscreen.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.dedup_report(table(spark, sf, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,6 +44,7 @@ def op10_extraction(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
     "op4_toxicity": op4_toxicity,
     "op6_decontamination": op6_decontamination,
@@ -47,4 +52,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_extraction": op10_extraction,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_line_dedup": lines.ORACLE}
