@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litscreen.llm import decontaminate, extract, lines, minhash, packing, quality, toxicity
+from litscreen.llm import decontaminate, extract, lines, minhash, packing, quality, repeats, toxicity
 from litscreen.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.repeats_report(table(spark, sf, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -46,6 +50,7 @@ def op10_extraction(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
+    "op3_repeats": op3_repeats,
     "op4_toxicity": op4_toxicity,
     "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
