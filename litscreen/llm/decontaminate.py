@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,18 +121,17 @@ def find_benchmark(
     ``max_windows`` windows are counted and sent to the tasks; a larger benchmark is searched in several such parts and
     the parts of a document are put together by one grouping on a key that is unique to the row.
     """
-    spark = docs.sparkSession
     windows = benchmark_windows(benchmark, window, item_col)
     count = windows.count()
     parts = max(1, -(-count // max_windows))
     texts = keyed_text(docs, id_col, text_col)
     if parts == 1:
-        return _search(texts, _collected(windows), spark)
+        return _search(texts, _collected(windows))
     texts = texts.withColumn("row", F.monotonically_increasing_id())
     found = None
     for part in range(parts):
         some = windows.filter(F.pmod(F.xxhash64("words"), F.lit(parts)) == part)
-        one = _search(texts, _collected(some), spark)
+        one = _search(texts, _collected(some))
         found = one if found is None else found.unionByName(one)
     hit = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1)))
     grouped = found.groupBy("row").agg(
@@ -148,12 +146,37 @@ def find_benchmark(
     return grouped.select("doc_id", "n_words", spans.alias("spans"), "items")
 
 
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, max_windows: int = MAX_WINDOWS, text_col: str = "text"
+) -> DataFrame:
+    """The documents, with all their columns, in which no window of the benchmark occurs. Nothing is shuffled.
+
+    Nulls, repeated rows and empty tables are treated as by ``find_benchmark``; a benchmark of more than ``max_windows``
+    windows is searched in parts, one after another, and what a part finds isn't searched again.
+    """
+    windows = benchmark_windows(benchmark, window)
+    parts = max(1, -(-windows.count() // max_windows))
+    left = docs
+    for part in range(parts):
+        some = windows.filter(F.pmod(F.xxhash64("words"), F.lit(parts)) == part)
+        rows = left.withColumn("_searched_text", F.col(text_col).cast("string"))
+        found = map_texts(rows, "_searched_text", "_spans array<struct<start: long, end: long>>", _maker(_collected(some), docs, ["spans"], "_"))
+        left = found.filter(F.size("_spans") == 0).drop("_spans")
+    return left
+
+
 def _collected(windows: DataFrame) -> list[tuple[list[bytes], list[str]]]:
     return [([w.encode("utf-8", "surrogatepass") for w in r["words"]], r["items"]) for r in windows.toLocalIterator()]
 
 
-def _search(texts: DataFrame, windows: list, spark) -> DataFrame:
-    sent = spark.sparkContext.broadcast(windows)
+def _search(texts: DataFrame, windows: list) -> DataFrame:
+    schema = "n_words long, spans array<struct<start: long, end: long>>, items array<string>"
+    return map_texts(texts, "text", schema, _maker(windows, texts, ["n_words", "spans", "items"]))
+
+
+def _maker(windows: list, df: DataFrame, columns: list[str], prefix: str = "") -> Callable[[], Callable]:
+    """What a task does, with the windows sent to all tasks once."""
+    sent = df.sparkSession.sparkContext.broadcast(windows)
 
     def make() -> Callable[[list[str | None]], dict[str, list]]:
         searches = searchers(sent.value)
@@ -166,12 +189,11 @@ def _search(texts: DataFrame, windows: list, spark) -> DataFrame:
                 out["n_words"].append(len(words))
                 out["spans"].append([{"start": a, "end": b} for a, b in runs])
                 out["items"].append(sorted(items))
-            return out
+            return {prefix + c: out[c] for c in columns}
 
         return work
 
-    schema = "n_words long, spans array<struct<start: long, end: long>>, items array<string>"
-    return map_texts(texts, "text", schema, make)
+    return make
 
 
 def contamination_report(found: DataFrame) -> DataFrame:
