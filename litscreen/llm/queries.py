@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from litscreen.llm import decontaminate, extract, lines, minhash, packing, quality, repeats, toxicity
+from litscreen.llm import decontaminate, extract, lines, minhash, neighbours, packing, quality, repeats, toxicity
 from litscreen.llm.common import table
 
 
@@ -37,6 +38,10 @@ def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_report(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op8_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
+    "op8_neighbours": op8_neighbours,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_extraction": op10_extraction,
 }
