@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litscreen.llm import decontaminate, extract, lines, minhash, neighbours, packing, quality, repeats, toxicity
+from litscreen.llm import decontaminate, extract, licences, lines, minhash, neighbours, packing, quality, repeats, toxicity
 from litscreen.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op5_licences(spark: SparkSession, sf: str) -> DataFrame:
+    return licences.licence_report(table(spark, sf, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate.find_benchmark(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return decontaminate.contamination_report(found)
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_repeats": op3_repeats,
     "op4_toxicity": op4_toxicity,
+    "op5_licences": op5_licences,
     "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
     "op8_neighbours": op8_neighbours,
