@@ -15,7 +15,8 @@ from litscreen.llm.decontaminate import words_of
 from litscreen.llm.labelled import TERMS_KEPT, crc, held_out, training_sample
 
 MAX_LABELLED = 6_000
-MAX_TERMS = 4_096
+MAX_TERMS = 2_048
+COMMON, SURE = 128, 2.5  # of them by document count; least score of the others, in standard deviations
 FACTORS = 8
 STEMS = (4, 5, 6, 7)  # a word's first bytes count as terms too, so that forms of a word that no label has seen tell
 OFTEN = (1, 2, 4)  # a term that occurs at least so often is a term of its own
@@ -81,7 +82,7 @@ class Machine:
 
 
 def choose_terms(sample: list[tuple[np.ndarray, int]], most: int = MAX_TERMS) -> np.ndarray:
-    """Half of the terms by how surely they tell the labels apart, half by how many documents hold them."""
+    """The terms that tell the labels apart most surely, and a few of the commonest, for pairs with them."""
     if not sample:
         return np.zeros(0, np.uint32)
     ids, at = np.unique(np.concatenate([s[0] for s in sample]), return_inverse=True)
@@ -91,8 +92,9 @@ def choose_terms(sample: list[tuple[np.ndarray, int]], most: int = MAX_TERMS) ->
     rate = float(np.mean([s[1] for s in sample]))
     z = np.abs(positive - df * rate) / np.sqrt(df * rate * (1 - rate) + 0.5)
     z[df < 3] = 0
-    telling = np.argsort(-z, kind="stable")[: most // 2]
-    common = np.argsort(-df, kind="stable")[: most // 2]
+    telling = np.argsort(-z, kind="stable")[: most - COMMON]
+    telling = telling[z[telling] >= SURE]
+    common = np.argsort(-df, kind="stable")[:COMMON]
     return ids[np.unique(np.concatenate([telling, common]))]
 
 
