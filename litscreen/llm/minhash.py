@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from litscreen.functions.scale import stage
 from litscreen.llm.common import keyed_text, map_texts, ship_package, text_version
-from litscreen.llm.graph import components
+from litscreen.llm.graph import components, follow
 
 SHINGLE = 5
 # Two collections of so many hash tuples, of so many minimum hashes each. All pairs of a left and a right tuple are table
@@ -230,7 +230,7 @@ def _rest(members: DataFrame, texts: DataFrame, percent: int, block: int = BLOCK
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 75, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, percent: int = 75, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: ``doc_id, version, n_shingles, component_id, kept``.
 
@@ -248,8 +248,7 @@ def near_duplicates(
     repeated rows give the same result each. An empty table gives no rows. ``version`` tells texts of one id apart. Extra
     columns play no part.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
+    ship_package(docs.sparkSession)
     texts = keyed_text(docs, id_col, text_col)
     rows = stage(signatures(texts), "signatures")
     classes = (
@@ -266,50 +265,38 @@ def near_duplicates(
     found = keyed.join(wanted, match).select(wanted["class"], keyed["text"]).dropDuplicates(["class"])
     candidates = stage(found, "candidates")
 
-    labels = None  # class, component; a class without a link yet is its own component
-    links = None
+    labels = classes.select("class", F.col("class").alias("component"))
 
-    def merged(new: DataFrame) -> tuple[DataFrame, DataFrame]:
-        every = new if links is None else stage(links.unionByName(new), "links")
-        return every, components(every)
+    def merge(members: DataFrame, labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links between components join those; buckets that are one component by then are done."""
+        of = members.select("class", "component").distinct()
+        ends = [of.select(F.col("class").alias(x), F.col("component").alias("_" + x)) for x in ("a", "b")]
+        between = links.join(ends[0], "a").join(ends[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+        joined = components(between).select("node", F.col("component").alias("up"))
+        moved = stage(follow(members, joined, "component"), "buckets")
+        apart = moved.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q")
+        return moved.join(apart.select("bucket"), "bucket", "left_semi"), follow(labels, joined, "component")
 
     members = members.withColumn("component", F.col("class"))
     for seed in range(rounds):
-        new = stage(verified(_star(members, seed), candidates, percent), "links")
-        if new.isEmpty():
+        links = stage(verified(_star(members, seed), candidates, percent), "links")
+        if links.isEmpty():
             break
-        links, labels = merged(new)
-        members = stage(_apart(members, labels), "buckets")
-        if members.isEmpty():
-            break
-    if not members.isEmpty():
-        new = stage(_rest(members, candidates, percent), "links")
-        if not new.isEmpty():
-            links, labels = merged(new)
-
-    owners = classes.select("class", "first_id")
-    if labels is None:
-        owners = owners.withColumn("component_id", F.col("first_id"))
-    else:
-        named = labels.select(F.col("node").alias("class"), "component")
-        joined = owners.join(named, "class", "left").withColumn("component", F.coalesce("component", "class"))
-        ids = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-        owners = joined.join(ids, "component").select("class", "component_id")
-    out = rows.select("doc_id", "version", "n_shingles", "class").join(owners.select("class", "component_id"), "class", "left")
+        members, labels = merge(members, labels, links)
+    links = stage(_rest(members, candidates, percent), "links")
+    if not links.isEmpty():
+        _, labels = merge(members, labels, links)
+
+    joined = classes.select("class", "first_id").join(labels, "class")
+    ids = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    owners = joined.join(ids, "component").select("class", "component_id")
+    out = rows.select("doc_id", "version", "n_shingles", "class").join(owners, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "version", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
 
 
-def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members with their new component, of the buckets that still hold more than one."""
-    named = labels.select(F.col("node").alias("class"), F.col("component").alias("_new"))
-    moved = members.join(named, "class", "left").withColumn("component", F.coalesce("_new", "class")).drop("_new")
-    ends = moved.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q")
-    return moved.join(ends.select("bucket"), "bucket").select("bucket", "class", "n", "component")
-
-
 def brute_force(docs: list[tuple], percent: int = 75) -> dict:
     """All pairs of all documents: for tests. ``{doc_id: (n_shingles, component_id, kept)}``."""
     def words(text):
