@@ -185,19 +185,22 @@ def _star(members: DataFrame, seed: int) -> DataFrame:
 def _rest(members: DataFrame, texts: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """All links between components of a bucket that the stars have not found, without listing pairs.
 
-    In each bucket the members outside its largest component are compared with all others, in blocks of bounded size on
-    either side: a task counts the shared shingles of one block of each and returns links alone.
+    Buckets of the same crowd have the same largest component, so they are taken together under its name, each member
+    once. There the members outside that component are compared with all others, in blocks of bounded size on either
+    side: a task counts the shared shingles of one block of each and returns links alone.
     """
     sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
     top = sizes.groupBy("bucket").agg(
-        F.max(F.struct("k", "component"))["component"].alias("top"), F.sum("k").alias("n"), F.max("k").alias("most"), F.count(F.lit(1)).alias("parts")
+        F.max(F.struct("k", "component"))["component"].alias("top"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("parts")
     )
-    top = top.filter("parts > 1 AND n > 2").select(
-        "bucket", "top", F.ceil(F.col("n") / block).cast("int").alias("tb"), F.ceil((F.col("n") - F.col("most")) / block).cast("int").alias("qb")
-    )
-    rows = members.join(top, "bucket")
+    top = top.filter("parts > 1 AND n > 2").select("bucket", "top")
+    crowds = stage(members.join(top, "bucket").select(F.col("top").alias("bucket"), "class", "component").distinct(), "crowds")
+    outside = F.col("component") != F.col("bucket")
+    counts = crowds.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if(outside).alias("c"))
+    counts = counts.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("tb"), F.ceil(F.col("c") / block).cast("int").alias("qb"))
+    rows = crowds.join(counts, "bucket")
     spot = F.xxhash64(F.lit("spot"), "class")
-    asked = rows.filter(F.col("component") != F.col("top")).select(
+    asked = rows.filter(outside).select(
         "bucket", "class", "component", F.lit(True).alias("asked"), F.pmod(spot, "qb").cast("int").alias("q"),
         F.explode(F.sequence(F.lit(0), F.col("tb") - 1)).alias("t"),
     )
@@ -222,7 +225,9 @@ def _rest(members: DataFrame, texts: DataFrame, percent: int, block: int = BLOCK
             at = np.minimum(np.searchsorted(own, held), len(own) - 1)
             both = np.bincount(owner[own[at] == held], minlength=len(targets))
             near = 100 * both >= percent * (sizes + len(own) - both)
-            out += [(r["class"], targets[i]["class"]) for i in np.flatnonzero(near) if targets[i]["component"] != r["component"]]
+            # One link joins two components; further ones between them would say nothing new.
+            joined = {targets[i]["component"]: targets[i]["class"] for i in np.flatnonzero(near)}
+            out += [(r["class"], other) for component, other in joined.items() if component != r["component"]]
         columns = list(zip(*out, strict=True)) or [(), ()]
         return pa.table({"a": pa.array(columns[0], pa.binary()), "b": pa.array(columns[1], pa.binary())})
 
