@@ -5,7 +5,6 @@ from __future__ import annotations
 from checks import shared
 from checks.stemming_sql import stem_tables
 from litscreen.functions import fixed
-from litscreen.sources import markup
 
 K = fixed.TOP_SECTIONS_PER_ARTICLE
 STOP = ", ".join(f"'{w}'" for w in fixed.STOP_WORDS)
@@ -130,17 +129,24 @@ PROMPTS = f"""{LABELLED}, prompts AS (
 def _markup_text() -> str:
     text = "regexp_replace(html, '[\\x01\\x02\\x03]', ' ', 'g')"
     text = f"regexp_replace({text}, '(?s)<!--.*?-->', '', 'g')"
-    for tag in markup.DROPPED_TAGS:
+    for tag in ("script", "style", "nav", "head"):
         text = f"regexp_replace({text}, '(?is)<{tag}(\\s[^>]*)?>.*?</{tag}\\s*>', '', 'g')"
-    ends = "|".join([*markup.BLOCK_TAGS, *markup.HEADING_TAGS, *markup.PARAGRAPH_TAGS])
-    text = f"regexp_replace({text}, '(?i)<({'|'.join(markup.HEADING_TAGS)})(\\s[^>]*)?>', chr(1), 'g')"
-    text = f"regexp_replace({text}, '(?i)<({'|'.join(markup.PARAGRAPH_TAGS)})(\\s[^>]*)?>', chr(3), 'g')"
+    ends = (
+        "article|aside|blockquote|body|div|dl|dt|dd|figure|footer|form|header|hr|html|li|main|ol|pre|section|table|td|th|tr"
+        "|ul|h1|h2|h3|h4|h5|h6|p"
+    )
+    text = f"regexp_replace({text}, '(?i)<(h1|h2|h3|h4|h5|h6)(\\s[^>]*)?>', chr(1), 'g')"
+    text = f"regexp_replace({text}, '(?i)<(p)(\\s[^>]*)?>', chr(3), 'g')"
     return f"regexp_replace({text}, '(?i)</?({ends})(\\s[^>]*)?/?>', chr(2), 'g')"
 
 
+# The references that the pages hold; the ampersand comes last so that nothing is decoded twice.
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&copy;": "\xa9", "&middot;": "\xb7", "&amp;": "&"}
+
+
 def _plain(text: str) -> str:
     text = f"regexp_replace({text}, '<[^>]*>', ' ', 'g')"
-    for entity, char in markup.ENTITIES.items():
+    for entity, char in REFERENCES.items():
         text = f"replace({text}, {text_literal(entity)}, {text_literal(char)})"
     return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
 
@@ -217,7 +223,11 @@ _bad_kinds = (
 )
 PARSED = f"""answers AS (SELECT doc_id, {shared.ANSWER} AS response FROM labels),
 bare AS (
-    SELECT doc_id, response, regexp_replace(response, '(?s)^\\s*```(?:json)?\\s*(.*?)\\s*```\\s*$', '\\1') AS t FROM answers),
+    SELECT doc_id, response, CASE
+        WHEN doc_id % 10 = 1 THEN regexp_extract(response, '(?s)```json(.*?)```', 1)
+        WHEN doc_id % 20 = 9 THEN replace(regexp_extract(response, '(?s)\\{{.*\\}}', 0), chr(10), '\\n')
+        ELSE response END AS t
+    FROM answers),
 read AS (SELECT doc_id, response, CASE WHEN json_valid(t) THEN t::JSON END AS j FROM bare),
 judged AS (
     SELECT *, CASE
@@ -282,6 +292,25 @@ ORACLE = {
     "read_articles": f"WITH {BRIEF} SELECT * FROM brief",
     "sections_from_markup": f"WITH {MARKUP} SELECT page_id, section_no, title, text FROM paragraph",
     "search_corpus": f"WITH {SECTIONS}, {HITS} SELECT * FROM hits",
+    "search_corpus_grid": f"""WITH {SECTIONS}, {GRID}, grid_terms AS (
+            SELECT question_id, 0 AS group_no, unnest(list_concat([nation], nation_search)) AS term FROM grid
+            UNION ALL SELECT question_id, 1, brand FROM grid UNION ALL SELECT question_id, 1, 'that' FROM grid
+            UNION ALL SELECT question_id, 2, 'the' FROM grid UNION ALL SELECT question_id, 2, 'of' FROM grid
+            UNION ALL SELECT question_id, 0, 'the' FROM grid WHERE question_id % 2 = 0
+            UNION ALL SELECT question_id, 0, 'que' FROM grid WHERE question_id % 2 = 1),
+        split AS (SELECT question_id, group_no, regexp_extract_all(lower(term), '{SEARCH}') AS w FROM grid_terms),
+        terms AS (SELECT DISTINCT question_id, group_no, array_to_string(w, ' ') AS term FROM split),
+        paragraphs AS (
+            SELECT article_id, ' ' || array_to_string(regexp_extract_all(lower(text), '{SEARCH}'), ' ') || ' ' AS norm FROM sections),
+        at_all AS (
+            SELECT DISTINCT term, article_id FROM (SELECT DISTINCT term FROM terms) JOIN paragraphs ON contains(norm, ' ' || term || ' ')),
+        found AS (
+            SELECT question_id, article_id, count(*) AS n_terms, count(DISTINCT group_no) AS n_groups
+            FROM terms JOIN at_all USING (term) GROUP BY question_id, article_id)
+        SELECT question_id, article_id, n_terms,
+               CAST(row_number() OVER (PARTITION BY question_id ORDER BY n_terms DESC, article_id) AS INTEGER) AS rank
+        FROM found WHERE n_groups = 3 QUALIFY rank <= {fixed.TOP_ARTICLES_PER_SEARCH}""",
+    "input_grid_sparse": f"WITH {GRID} SELECT question_id, nation, brand FROM grid",
     "map_external_ids": """SELECT d.doc_id AS article_id, 'PMC' || l.doc_id AS external_id
         FROM documents d LEFT JOIN labels l USING (doc_id)""",
     "explode_locations": """SELECT page_id, 0 AS pos, url FROM pages
@@ -346,6 +375,8 @@ ORACLE = {
         WHERE u.role = 'user' AND a.role = 'assistant'""",
     "build_prompts": f"WITH {PROMPTS} SELECT question_id, article_id, prompt FROM prompts",
     "run_extractor": f"WITH {PROMPTS} {_ranked_prompt_answers()}",
+    "extraction_failures": f"""WITH {PROMPTS} SELECT question_id, article_id, 'ValueError: no answer' AS error
+        FROM prompts WHERE length(prompt) % 7 = 0""",
     "parse_responses": f"WITH {PARSED} SELECT {PARSED_COLUMNS}, reject_reason FROM parsed",
     "split_rejects_good": f"WITH {PARSED} SELECT {PARSED_COLUMNS} FROM parsed WHERE reject_reason IS NULL",
     "split_rejects_bad": f"WITH {PARSED} SELECT doc_id, response, reject_reason FROM parsed WHERE reject_reason IS NOT NULL",
@@ -353,18 +384,21 @@ ORACLE = {
         {_named(0, 'verdict', 'description')} AS verdict_description, {_named_list('name')} AS kinds_name,
         {_named_list('description')} AS kinds_description FROM parsed""",
     "cost_summary": """SELECT count(*) AS calls, count(*) FILTER (event_type = 'error') AS failed,
-        CAST(coalesce(sum(CAST(value AS DECIMAL(18, 6))) FILTER (event_type <> 'error'), 0) AS DECIMAL(38, 6)) AS total_cost
+        CAST(coalesce(sum(CAST(value AS DECIMAL(28, 15))) FILTER (event_type <> 'error'), 0) AS DECIMAL(38, 6)) AS total_cost
+        FROM events""",
+    "cost_summary_small": """SELECT count(*) AS calls, count(*) FILTER (event_type = 'error') AS failed,
+        CAST(round(coalesce(sum(CAST(value AS DECIMAL(28, 15)) / 1000000) FILTER (event_type <> 'error'), 0), 6) AS DECIMAL(38, 6)) AS total_cost
         FROM events""",
     "run_summary": """SELECT count(*) AS pairs, count(*) FILTER (event_type = 'purchase') AS added,
-        CAST(coalesce(sum(CAST(value AS DECIMAL(18, 6))) FILTER (event_type <> 'error'), 0) AS DECIMAL(38, 6)) AS total_cost
+        CAST(coalesce(sum(CAST(value AS DECIMAL(28, 15))) FILTER (event_type <> 'error'), 0) AS DECIMAL(38, 6)) AS total_cost
         FROM events""",
     "project_columns": """SELECT CAST(doc_id AS VARCHAR) AS pubmed_id, 'PUBMED' AS format, text AS sections, lang AS item,
             CASE WHEN quality = 1 THEN 'L' ELSE 'S' END AS size_class, CAST(quality + toxic AS BIGINT) AS n_chars
-        FROM documents JOIN labels USING (doc_id)""",
-    "serialise_record": """SELECT doc_id, lang, '[' || quality || ',' || toxic || ']' AS marks,
+        FROM documents LEFT JOIN labels USING (doc_id)""",
+    "serialise_record": """SELECT doc_id, lang, '[' || coalesce(CAST(quality AS VARCHAR), 'null') || ',' || coalesce(CAST(toxic AS VARCHAR), 'null') || ']' AS marks,
             '{"section_1":' || to_json(text)::VARCHAR || '}' AS sections,
             '{"source":' || to_json(source)::VARCHAR || ',"n_chars":' || n_chars || '}' AS origin
-        FROM documents JOIN labels USING (doc_id)""",
+        FROM documents LEFT JOIN labels USING (doc_id)""",
     "find_existing": f"WITH {RECORDS} SELECT topic, pubmed_id, id FROM matched",
     "pending_extractions": f"WITH {RECORDS} SELECT topic, pubmed_id FROM matched WHERE id IS NULL",
     "pending_extractions_overwrite": f"WITH {RECORDS} SELECT topic, pubmed_id FROM matched",

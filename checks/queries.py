@@ -18,6 +18,7 @@ from litscreen.operators.search import search_corpus as search
 from litscreen.plans import screening
 from litscreen.sources import articles as art
 from litscreen.sources import lookups, markup
+from litscreen.spec import keyword_groups
 from litscreen.streaming import screening as streams
 
 K = fixed.TOP_SECTIONS_PER_ARTICLE
@@ -154,6 +155,16 @@ def search_corpus(spark, sf):
     return hits(spark, sf)
 
 
+def search_corpus_grid(spark, sf):
+    """Every combination of input values, with common words in every question and keywords that all of them share."""
+    grid = planning.input_grid(inputs(spark, sf), shared.INPUTS)
+    terms = planning.search_terms(grid, shared.INPUTS, keyword_groups("AND (the OR of)"))
+    common = F.when(F.col("question_id") % 2 == 0, "the").otherwise("que")
+    more = grid.select("question_id", F.lit(0).alias("group_no"), common.alias("term"))
+    also = grid.select("question_id", F.lit(1).alias("group_no"), F.lit("that").alias("term"))
+    return search(documents(spark, sf), terms.unionByName(more).unionByName(also))
+
+
 def map_external_ids(spark, sf):
     ids = table(spark, sf, "documents").select(F.col("doc_id").alias("article_id"))
     known = table(spark, sf, "labels").select(
@@ -225,6 +236,13 @@ def input_grid(spark, sf):
     return grid.select("question_id", *[F.col(f"{p}.name").alias(p) for p in shared.INPUTS])
 
 
+def input_grid_sparse(spark, sf):
+    """As ``input_grid``, from values whose positions have gaps and start anywhere."""
+    apart = inputs(spark, sf).withColumn("pos", F.col("pos") * 3 + 7)
+    grid = planning.input_grid(apart, shared.INPUTS)
+    return grid.select("question_id", *[F.col(f"{p}.name").alias(p) for p in shared.INPUTS])
+
+
 def build_search_query(spark, sf):
     grid = planning.input_grid(inputs(spark, sf), shared.INPUTS)
     return planning.build_search_query(grid, shared.INPUTS, shared.EXTRA_KEYWORDS).select("question_id", "search_query")
@@ -330,6 +348,16 @@ def run_extractor(spark, sf):
     )
 
 
+def extraction_failures(spark, sf):
+    def answer(prompt: str) -> tuple[str, float]:
+        if len(prompt) % 7 == 0:
+            raise ValueError("no answer")
+        return "{}", 0.0
+
+    answers = extraction.run_extractor(_prompts(spark, sf), answer, ["question_id", "article_id"], 8, attempts=2, wait=(0.0, 0.0))
+    return answers.filter(F.col("error").isNotNull()).select("question_id", "article_id", "error")
+
+
 def _parsed_flat(df):
     return df.select(
         "doc_id", "verdict", F.array_join(F.col("evidence").cast("array<string>"), ",").alias("evidence"),
@@ -371,6 +399,14 @@ def cost_summary(spark, sf):
     return summary.cost_summary(calls)
 
 
+def cost_summary_small(spark, sf):
+    """Costs far below the last digit of the total."""
+    calls = table(spark, sf, "events").select(
+        (F.col("value").cast("decimal(28,15)") / 1_000_000).alias("cost"), F.when(F.col("event_type") == "error", "failed").alias("error")
+    )
+    return summary.cost_summary(calls)
+
+
 def run_summary(spark, sf):
     outcomes = table(spark, sf, "events").select(
         F.when(F.col("event_type") == "error", 0.0).otherwise(F.col("value")).alias("cost"),
@@ -384,7 +420,7 @@ def run_summary(spark, sf):
 
 def project_columns(spark, sf):
     spec = shared.item_review()
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     wide = docs.select(
         (F.col("quality") + F.col("toxic")).cast("long").alias("n_chars"),
         F.when(F.col("quality") == 1, "L").otherwise("S").alias("size_class"),
@@ -398,7 +434,7 @@ def project_columns(spark, sf):
 
 
 def serialise_record(spark, sf):
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     nested = docs.select(
         "doc_id", "lang",
         F.array("quality", "toxic").alias("marks"),
@@ -498,13 +534,13 @@ def stream_screen(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        read_articles, sections_from_markup, search_corpus, map_external_ids, explode_locations, first_valid_candidate,
+        read_articles, sections_from_markup, search_corpus, search_corpus_grid, map_external_ids, explode_locations, first_valid_candidate,
         pending_fetch, full_text_gate, drop_empty_articles, resolve_articles,
-        parse_aliases, input_grid, build_search_query, search_terms, format_question, screening_pairs,
+        parse_aliases, input_grid, input_grid_sparse, build_search_query, search_terms, format_question, screening_pairs,
         explode_sections, tokenize, remove_stopwords, stem_tokens, section_term_stats, bm25_scores, top_sections,
         top_sections_stemmed, label_sections,
-        render_examples, build_prompts, run_extractor, parse_responses, split_rejects_good, split_rejects_bad,
-        expand_allowed_values, cost_summary, run_summary,
+        render_examples, build_prompts, run_extractor, extraction_failures, parse_responses, split_rejects_good, split_rejects_bad,
+        expand_allowed_values, cost_summary, cost_summary_small, run_summary,
         project_columns, serialise_record, find_existing, pending_extractions, pending_extractions_overwrite,
         assign_record_ids, upsert_results, upsert_results_overwrite, result_table,
         stream_articles, stream_screen,

@@ -50,7 +50,9 @@ _GOOD = {
 _REST = ', "weight": 0.5, "flagged": true, "analysis": {"section 2": "b", "section 1": "a"}'
 ANSWER = f"""CASE doc_id % 10
     WHEN 0 THEN {_answer(**_GOOD, rest=_REST)}
-    WHEN 1 THEN '```json' || chr(10) || {_answer(**_GOOD)} || chr(10) || '```'
+    WHEN 1 THEN CASE doc_id % 40 WHEN 1 THEN '' WHEN 11 THEN 'Here is the JSON:' || chr(10) ELSE '' END
+        || '```json' || chr(10) || {_answer(**_GOOD)} || chr(10) || '```'
+        || CASE doc_id % 40 WHEN 1 THEN '' WHEN 31 THEN '' ELSE chr(10) || 'Hope this helps.' END
     WHEN 2 THEN '{{"verdict": "US", "kinds": ['
     WHEN 3 THEN '["PR"]'
     WHEN 4 THEN {_answer(verdict=_GOOD["verdict"], evidence=_GOOD["evidence"], kinds=_KINDS)}
@@ -58,7 +60,9 @@ ANSWER = f"""CASE doc_id % 10
     WHEN 6 THEN {_answer(**_GOOD | {"evidence": "'" + '[1, "x"]' + "'"})}
     WHEN 7 THEN {_answer(**_GOOD | {"verdict": "'null'"}, rest=', "weight": 3')}
     WHEN 8 THEN {_answer(**_GOOD | {"kinds": "'" + '"PR"' + "'"})}
-    ELSE {_answer(kinds=_KINDS, note="'7'")}
+    WHEN 9 THEN CASE doc_id % 20
+        WHEN 9 THEN 'Sure: ' || {_answer(**_GOOD | {"note": "'" + '"two' + "' || chr(10) || '" + 'lines"' + "'"})} || ' Done.'
+        ELSE {_answer(kinds=_KINDS, note="'7'")} END
 END"""
 
 OPENING = "Read the sections and answer in JSON."

@@ -27,6 +27,7 @@ TOP_SECTIONS_PER_ARTICLE = 5
 MIN_FULL_TEXT_SECTIONS = 2
 MIN_PDF_BYTES = 10_000
 EXTRACTOR_ATTEMPTS = 5
+EXTRACTOR_WAIT = (0.1, 0.5)
 EXTRACTOR_CONCURRENCY = 5
 
 # Tags that say where an article's text came from.

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="litscreen-")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -46,6 +48,35 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/litscreen-stage/{name}-{uuid.uuid4().hex}"
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def stages_dropped(spark: SparkSession) -> Iterator[None]:
+    """Delete every table staged inside, at the end. Nothing that reads them may be used after that."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete_folder(spark, path)
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    system, where = _folder(spark, path)
+    system.delete(where, True)
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    system, where = _folder(spark, path)
+    return system.exists(where)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -53,6 +84,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     planner the true size. Used for results far smaller than the corpus.
     """
     path = stage_path(df.sparkSession, name)
+    for scope in _SCOPES[-1:]:
+        scope.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -25,10 +27,12 @@ def run_extractor(
     keys: Sequence[str],
     concurrency: int = fixed.EXTRACTOR_CONCURRENCY,
     attempts: int = fixed.EXTRACTOR_ATTEMPTS,
+    wait: tuple[float, float] = fixed.EXTRACTOR_WAIT,
 ) -> DataFrame:
     """Call ``fn(prompt) -> (response, cost)`` for every row: ``keys`` + ``(response, cost, error)``.
 
-    The number of partitions is the number of calls made at once. A call is tried ``attempts`` times; a row that still
+    The number of partitions is the number of calls made at once. A call is tried ``attempts`` times, with a random pause of
+    ``wait`` seconds in between; a row that still
     fails carries the message in ``error`` and does not stop the others. Only keys and prompts cross to Python.
     """
     schema = T.StructType([prompts.schema[k] for k in keys])
@@ -37,7 +41,9 @@ def run_extractor(
 
     def call(prompt: str) -> tuple[str | None, float, str | None]:
         error = None
-        for _ in range(attempts):
+        for attempt in range(attempts):
+            if attempt:
+                time.sleep(random.uniform(*wait))
             try:
                 response, cost = fn(prompt)
                 return response, float(cost), None
@@ -103,6 +109,29 @@ def _checker(feature: OutputFeature) -> Callable[[Column], Column]:
     return lambda value: _checked(feature, value)
 
 
+def answer_json(response: Column) -> Column:
+    """The JSON text of an answer: the whole answer if it is JSON, else its first fenced block, else what stands from the
+    first ``{`` to the last ``}``. Raw line breaks and tabs inside strings are escaped."""
+
+    def escaped(text: Column) -> Column:
+        # Every second piece between unescaped quotes is inside a string.
+        pieces = F.split(F.replace(text, F.lit('\\"'), F.lit("\x01")), '"')
+        for raw, safe in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            pieces = _odd_replaced(pieces, raw, safe)
+        return F.replace(F.array_join(pieces, '"'), F.lit("\x01"), F.lit('\\"'))
+
+    fenced = F.regexp_extract(response, r"(?s)```(?:[A-Za-z]*)\s*\n?(.*?)```", 1)
+    span = F.regexp_extract(response, r"(?s)\{.*\}", 0)
+    plain = F.trim(response)
+    choices = [plain, *[F.nullif(F.trim(x), F.lit("")) for x in (fenced, span)]]
+    readable = [F.when(F.try_parse_json(escaped(c)).isNotNull(), escaped(c)) for c in choices]
+    return F.coalesce(*readable, response)
+
+
+def _odd_replaced(pieces: Column, raw: str, safe: str) -> Column:
+    return F.transform(pieces, lambda x, i: F.when(i % 2 == 1, F.replace(x, F.lit(raw), F.lit(safe))).otherwise(x))
+
+
 def parse_responses(responses: DataFrame, features: Sequence[OutputFeature], response_col: str = "response") -> DataFrame:
     """Add one typed column per feature and ``reject_reason`` (null when the answer is good).
 
@@ -111,9 +140,7 @@ def parse_responses(responses: DataFrame, features: Sequence[OutputFeature], res
     feature is null. Columns of rejected rows are null.
     """
     names = responses.columns
-    # An answer may be wrapped in a fenced code block.
-    bare = F.regexp_replace(F.col(response_col), r"(?s)^\s*```(?:json)?\s*(.*?)\s*```\s*$", "$1")
-    df = responses.withColumn("__text", bare).withColumn("__json", F.try_parse_json("__text"))
+    df = responses.withColumn("__text", answer_json(F.col(response_col))).withColumn("__json", F.try_parse_json("__text"))
     is_object = F.schema_of_variant("__json").startswith("OBJECT")
     reason = F.when(F.col("__json").isNull(), "invalid_json").when(~is_object, "not_object")
 

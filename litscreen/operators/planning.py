@@ -10,7 +10,7 @@ import string
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litscreen.functions.scale import broadcast_if_small
@@ -32,7 +32,8 @@ def input_grid(inputs: DataFrame, params: Sequence[str]) -> DataFrame:
     """Every combination of input values, numbered so that the last parameter varies fastest.
 
     The combination number is counted out by ``range`` and read as one digit per parameter; each digit then looks its
-    value up by an equality join, so no Cartesian join is planned however long the lists get.
+    value up by an equality join, so no Cartesian join is planned however long the lists get. Values are numbered anew in
+    the order of ``pos``, so gaps and equal positions lose nothing.
     """
     spark = inputs.sparkSession
     sizes = inputs.filter(F.col("param").isin(*params)).groupBy("param").agg(F.count(F.lit(1)).alias("n"))
@@ -42,8 +43,9 @@ def input_grid(inputs: DataFrame, params: Sequence[str]) -> DataFrame:
     for p in params:
         stride //= max(counts.get(p, 1), 1)
         digit = F.pmod(F.floor(F.col("question_id") / F.lit(max(stride, 1))), F.lit(counts.get(p, 1)))
+        order = Window.orderBy("pos", "name")  # the values of one parameter, as a user listed them
         values = inputs.filter(F.col("param") == p).select(
-            F.col("pos").cast("long").alias("__pos"),
+            (F.row_number().over(order) - 1).cast("long").alias("__pos"),
             F.struct("name", "search_aliases", "question_aliases").alias(p),
         )
         grid = grid.withColumn("__pos", digit.cast("long")).join(broadcast_if_small(values), "__pos").drop("__pos")

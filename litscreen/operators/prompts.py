@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litscreen.functions import fixed
 from litscreen.operators.extraction import parse_responses
 from litscreen.spec import ReviewSpec
 
-MAX_EXAMPLES = 1_000
-
 
 def render_examples(examples: DataFrame, out: str = "example") -> DataFrame:
     """``(.., question, sections, answer)`` to the text of one example; sections and answer are JSON text."""
@@ -21,7 +19,7 @@ def render_examples(examples: DataFrame, out: str = "example") -> DataFrame:
 
 
 def example_rows(spark, spec: ReviewSpec) -> DataFrame:
-    """The spec's examples as ``(pos, question, sections, answer)``, answers checked against the features."""
+    """The spec's examples as ``(pos, question, sections, answer)``; answers are checked and written with typed values."""
 
     def answer(outputs) -> str:
         return json.dumps({f.name: outputs.get(f.name) for f in spec.features}, ensure_ascii=False, separators=(",", ":"))
@@ -31,18 +29,27 @@ def example_rows(spark, spec: ReviewSpec) -> DataFrame:
         for i, e in enumerate(spec.examples)
     ]
     examples = spark.createDataFrame(rows, "pos int, question string, sections string, answer string")
-    bad = parse_responses(examples, spec.features, "answer").filter(F.col("reject_reason").isNotNull()).first()
+    parsed = parse_responses(examples, spec.features, "answer")
+    bad = parsed.filter(F.col("reject_reason").isNotNull()).first()
     if bad is not None:
         raise ValueError(f"example {bad['pos']} does not fit the features: {bad['reject_reason']}")
-    return examples
+    typed = F.concat(F.lit("{"), F.concat_ws(",", *[_member(f) for f in spec.features]), F.lit("}"))
+    return parsed.select("pos", "question", "sections", typed.alias("answer"))
+
+
+def _member(feature) -> Column:
+    """One name and value of an answer as JSON text. Objects and lists without a declared element are JSON already."""
+    value = F.col(feature.name)
+    raw = feature.data_type in ("list", "dict") and not feature.multiple_values and not feature.allowed_values
+    # A struct of one field gives the JSON of any type; its braces are cut off again.
+    text = value if raw else F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    return F.concat(F.lit(json.dumps(feature.name, ensure_ascii=False) + ":"), F.when(value.isNull(), F.lit("null")).otherwise(text))
 
 
-def few_shot_block(examples: DataFrame, max_examples: int = MAX_EXAMPLES) -> str:
-    """All examples in order of ``pos`` as one text. Examples are written by hand, and that is checked."""
-    rows = render_examples(examples).select("pos", "example").orderBy("pos").limit(max_examples + 1).collect()
-    if len(rows) > max_examples:
-        raise ValueError(f"a prompt takes at most {max_examples} examples")
-    return fixed.PROMPT_SEPARATOR.join(r["example"] for r in rows)
+def few_shot_block(examples: DataFrame) -> str:
+    """All examples in order of ``pos`` as one text, put together in Spark; the one row that comes back is the prompt's."""
+    rows = render_examples(examples).agg(F.array_sort(F.collect_list(F.struct("pos", "example"))).alias("e"))
+    return rows.select(F.array_join(F.transform("e", lambda x: x["example"]), fixed.PROMPT_SEPARATOR)).first()[0]
 
 
 def prompt_opening(spec: ReviewSpec) -> str:

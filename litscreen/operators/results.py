@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from litscreen.functions import fixed
-from litscreen.functions.scale import broadcast_if_small, stage
+from litscreen.functions.scale import broadcast_if_small, delete_folder, folder_exists, stage
 from litscreen.spec import ReviewSpec
 
 BUCKETS = 256
@@ -145,25 +145,43 @@ def key_bucket(keys: Sequence[str], buckets: int) -> Column:
 def create_result_table(
     spark: SparkSession, table: str, spec: ReviewSpec, buckets: int = BUCKETS, location: str | None = None
 ) -> None:
-    """Create the table if it is not there yet."""
+    """Create the table if it is not there yet. Rows that lie at ``location`` already belong to it."""
     where = f" LOCATION '{location}'" if location else ""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in result_schema(spec))
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {table} ({columns}, {BUCKET} int) USING parquet PARTITIONED BY ({BUCKET}) "
         f"TBLPROPERTIES ('{_BUCKETS_PROPERTY}' = '{buckets}'){where}"
     )
+    if location and folder_exists(spark, location):
+        spark.sql(f"MSCK REPAIR TABLE {table}")
 
 
 def reset_result_table(spark: SparkSession, table: str, spec: ReviewSpec, buckets: int = BUCKETS) -> None:
-    """Drop the table with its rows and create it anew."""
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    create_result_table(spark, table, spec, buckets)
+    """Delete the table with its rows and create it anew where it was."""
+    location = None
+    if spark.catalog.tableExists(table):
+        about = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+        location = about["Location"] if about.get("Type") == "EXTERNAL" else None
+        spark.sql(f"DROP TABLE {table}")
+        if location:
+            delete_folder(spark, location)
+    create_result_table(spark, table, spec, buckets, location)
 
 
 def read_results(spark: SparkSession, table: str) -> DataFrame:
     return spark.table(table).drop(BUCKET)
 
 
+def _n_buckets(spark: SparkSession, table: str) -> int:
+    return int(spark.sql(f"SHOW TBLPROPERTIES {table} ('{_BUCKETS_PROPERTY}')").first()["value"])
+
+
+def results_near(spark: SparkSession, table: str, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The stored rows of the partitions that hold a key of ``pairs``; the others are not read."""
+    touched = pairs.select(key_bucket(keys, _n_buckets(spark, table)).alias(BUCKET)).distinct().collect()
+    return spark.table(table).filter(F.col(BUCKET).isin([r[0] for r in touched])).drop(BUCKET)
+
+
 def write_results(
     spark: SparkSession, table: str, incoming: DataFrame, spec: ReviewSpec, order_col: str, overwrite: bool = False
 ) -> DataFrame:
@@ -173,9 +191,7 @@ def write_results(
     shared folder, then put in place by a dynamic partition overwrite; writing the same rows again changes nothing.
     """
     keys = spec.keys
-    buckets = int(
-        spark.sql(f"SHOW TBLPROPERTIES {table} ('{_BUCKETS_PROPERTY}')").first()["value"]
-    )
+    buckets = _n_buckets(spark, table)
     rows = one_per_key(incoming, keys, order_col, overwrite).withColumn(BUCKET, key_bucket(keys, buckets))
     rows = stage(rows, "incoming")
     touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]  # at most one per bucket

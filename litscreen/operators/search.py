@@ -2,24 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litscreen.functions import fixed
-from litscreen.functions.scale import held
-from litscreen.functions.text import listed_only, search_words, section_texts, word_runs
+from litscreen.functions.scale import broadcast_if_small, stage
+from litscreen.functions.text import search_words, section_texts, word_runs
 from litscreen.operators.planning import normalise_terms
 
 
-# Up to this many distinct terms are tested inside the article's row, before any row per word is made.
-MAX_INLINE_TERMS = 5_000
+def term_groups(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct groups as ``(group_id, term, n_words)``, and what each question needs as ``(question_id, needs)``.
+
+    A group is known by its set of terms, so values that many questions share, and keywords that all of them share, are
+    one group each. ``needs`` lists every group of the question with how often the question names it.
+    """
+    named = normalise_terms(terms)
+    sets = named.groupBy("question_id", "group_no").agg(
+        F.sort_array(F.collect_set("term")).alias("terms"), F.max("n_words").alias("most")
+    )
+    sets = stage(sets.select("question_id", F.md5(F.array_join("terms", "\n")).alias("group_id"), "terms"), "term-groups")
+    groups = sets.groupBy("group_id").agg(F.first("terms").alias("terms")).select("group_id", F.explode("terms").alias("term"))
+    groups = groups.withColumn("n_words", F.size(F.split("term", " ")))
+    needed = sets.groupBy("question_id", "group_id").agg(F.count(F.lit(1)).alias("times"))
+    return groups, needed.groupBy("question_id").agg(F.collect_list(F.struct("group_id", "times")).alias("needs"))
+
 
+def _runs(length: int) -> Callable[[Column], Column]:
+    return lambda words: word_runs(words, length)
 
-def _wanted(terms: DataFrame) -> DataFrame:
-    """Terms with their question's number of groups."""
-    terms = normalise_terms(terms)
-    groups = terms.groupBy("question_id").agg(F.count_distinct("group_no").alias("n_groups"))
-    return held(terms.join(groups, "question_id"), "search-terms")
+
+def matched_groups(articles: DataFrame, groups: DataFrame) -> DataFrame:
+    """``(article_id, matched)``: for each article, its matching groups with the number of terms that match.
+
+    How many rows come out doesn't depend on the questions, only on the distinct groups. Words and word runs are made
+    distinct inside the article's row; a checked broadcast then keeps those that some group asks for.
+    """
+    lengths = sorted(r["n_words"] for r in groups.select("n_words").distinct().collect())
+    paragraphs = F.transform(section_texts(F.col("abstract"), F.col("sections")), search_words)
+    runs = [F.flatten(F.transform("paragraphs", _runs(n))) for n in lengths]
+    words = F.array_distinct(F.concat(F.array().cast("array<string>"), *runs))
+    rows = articles.select("article_id", paragraphs.alias("paragraphs")).select("article_id", F.explode(words).alias("term"))
+    return (
+        rows.join(broadcast_if_small(stage(groups.select("term", "group_id"), "group-terms")), "term")
+        .groupBy("article_id", "group_id")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("article_id")
+        .agg(F.map_from_entries(F.collect_list(F.struct("group_id", "n"))).alias("matched"))
+    )
 
 
 def search_corpus(
@@ -30,42 +62,25 @@ def search_corpus(
     An article is found when every group of the question has a matching term; a term of several words matches them side
     by side within one paragraph. Articles with more matching terms come first, then the lower article id.
 
-    The corpus never shuffles: words that are searched for are picked out inside the article's row (or, for a long list
-    of terms, by a broadcast whose size was checked), and only (article, term) pairs move, once, to their article's partition. Counting groups per (question, article)
-    happens there without another exchange, and the window keeps the best N of each task before the last one, so a
-    question that matches a third of the corpus sends N rows per task.
+    Articles are matched to distinct groups once. A question then starts from the articles of its rarest group, and its
+    other groups are tested inside the article's row. The corpus itself never shuffles: only (article, group) pairs move,
+    and the window keeps the best N of each task before its exchange, so a question that matches a third of the corpus
+    sends N rows per task.
     """
-    wanted = _wanted(terms)
-    distinct = wanted.select("n_words", "term").distinct().limit(MAX_INLINE_TERMS + 1).collect()
-    inline = len(distinct) <= MAX_INLINE_TERMS
-    lengths = sorted({r["n_words"] for r in (distinct if inline else wanted.select("n_words").distinct().collect())})
-    paragraphs = F.transform(section_texts(F.col("abstract"), F.col("sections")), search_words)
-
-    runs = [F.flatten(F.transform("paragraphs", lambda w: word_runs(w, n))).alias(f"runs_{n}") for n in lengths]
-    kept = [F.col(f"runs_{n}") for n in lengths]
-    if inline:
-        kept = [listed_only(f"runs_{n}", {r["term"] for r in distinct if r["n_words"] == n}) for n in lengths]
-    words = F.array_distinct(F.concat(F.array().cast("array<string>"), *kept))
-    rows = (
-        articles.select("article_id", paragraphs.alias("paragraphs"))
-        .select("article_id", *runs)
-        .select("article_id", F.explode(words).alias("term"))
-    )
-    if not inline:
-        rows = rows.join(wanted.select("term"), "term", "left_semi")
-
-    keys = ["article_id", "question_id", "n_groups"]
-    matches = (
-        rows.repartition("article_id")
-        .join(wanted, "term")
-        .groupBy(*keys, "group_no")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n_matched"), F.sum("n").alias("n_terms"))
-        .filter(F.col("n_matched") == F.col("n_groups"))
-    )
+    groups, needs = term_groups(terms)
+    matched = stage(matched_groups(articles, groups), "matched-groups")
+    each = matched.select("article_id", "matched", F.explode(F.map_keys("matched")).alias("group_id"))
+    spread = each.groupBy("group_id").agg(F.count(F.lit(1)).alias("articles"))
+    asked = needs.select("question_id", "needs", F.explode("needs.group_id").alias("group_id")).join(spread, "group_id", "left")
+    order = F.struct(F.coalesce("articles", F.lit(0)).alias("articles"), "group_id")
+    rarest = asked.groupBy("question_id").agg(F.min(order)["group_id"].alias("group_id"), F.first("needs").alias("needs"))
+    found = each.join(broadcast_if_small(stage(rarest, "rarest-groups")), "group_id")
+    all_there = F.forall("needs", lambda g: F.map_contains_key("matched", g["group_id"]))
+    n_terms = F.aggregate("needs", F.lit(0).cast("long"), lambda n, g: n + g["times"] * F.element_at("matched", g["group_id"]))
     best = Window.partitionBy("question_id").orderBy(F.desc("n_terms"), "article_id")
     return (
-        matches.select("question_id", "article_id", "n_terms", F.row_number().over(best).alias("rank"))
+        found.filter(all_there)
+        .select("question_id", "article_id", n_terms.alias("n_terms"))
+        .select("question_id", "article_id", "n_terms", F.row_number().over(best).alias("rank"))
         .filter(F.col("rank") <= top_n)
     )

@@ -9,8 +9,8 @@ COST = "decimal(38,6)"
 
 
 def _total(cost: Column) -> Column:
-    """Decimal addition gives the same total in any order."""
-    return F.coalesce(F.sum(cost.cast("decimal(18,6)")), F.lit(0)).cast(COST)
+    """Decimal addition gives the same total in any order; only the total is rounded, so small costs add up."""
+    return F.coalesce(F.sum(cost.cast("decimal(28,15)")), F.lit(0)).cast(COST)
 
 
 def cost_summary(responses: DataFrame, cost_col: str = "cost", error_col: str = "error") -> DataFrame:
@@ -23,8 +23,11 @@ def cost_summary(responses: DataFrame, cost_col: str = "cost", error_col: str =
     )
 
 
-def run_summary(outcomes: DataFrame, cost_col: str = "cost", added_col: str = "added") -> DataFrame:
-    """Pairs handled, records really written, and the cost, from one row per pair."""
-    return outcomes.agg(
-        F.count(F.lit(1)).alias("pairs"), F.count_if(F.col(added_col)).alias("added"), _total(F.col(cost_col)).alias("total_cost")
-    )
+def run_summary(
+    outcomes: DataFrame, cost_col: str = "cost", added_col: str = "added", failed_col: str | None = None
+) -> DataFrame:
+    """Pairs handled, records really written, and the cost, from one row per pair; with ``failed_col`` the failures too."""
+    counts = [F.count(F.lit(1)).alias("pairs"), F.count_if(F.col(added_col)).alias("added")]
+    if failed_col:
+        counts.append(F.count_if(F.col(failed_col)).alias("failed"))
+    return outcomes.agg(*counts, _total(F.col(cost_col)).alias("total_cost"))

@@ -24,7 +24,7 @@ def review_plan(spark: SparkSession, spec: ReviewSpec) -> DataFrame:
 def review_hits(spark: SparkSession, spec: ReviewSpec, articles: DataFrame) -> DataFrame:
     """The articles each question's search finds, stored."""
     grid = planning.input_grid(spec.input_rows(spark), spec.params)
-    terms = planning.search_terms(grid, spec.params, spec.extra_groups)
+    terms = planning.search_terms(grid, spec.params, spec.search_groups)
     return stage(search_corpus(articles, terms, spec.top_articles), "hits")
 
 
@@ -64,6 +64,7 @@ def screen(
 ) -> tuple[DataFrame, DataFrame]:
     """Extract and write what is not in the result table yet: (summary row, rejected answers).
 
+    Pairs whose extractor failed every time are among the rejected, with the reason ``failed`` and their ``error``.
     ``articles`` are resolved and carry ``format``. Finished pairs are dropped before any text is read for ranking.
     """
     block, opening = head or prompt_head(spark, spec)
@@ -71,7 +72,7 @@ def screen(
 
     pairs = planning.screening_pairs(plan, hits, drop_empty_articles(articles))
     keyed = stage(pairs.select("question_id", "article_id", "question", *spec.params, key), "pairs")
-    done = results.read_results(spark, table)
+    done = results.results_near(spark, table, keyed, spec.keys)
     pending = stage(results.pending_extractions(keyed, done, spec.keys, spec.overwrite_existing), "pending")
     texts = cut_to_pairs(articles, pending)
 
@@ -83,23 +84,26 @@ def screen(
     )
     parsed = stage(extraction.parse_responses(answers.filter(F.col("error").isNull()), spec.features), "parsed")
     good, rejected = extraction.split_rejects(parsed)
+    failures = answers.filter(F.col("error").isNotNull())
+    rejected = rejected.unionByName(failures.withColumn("reject_reason", F.lit("failed")), allowMissingColumns=True)
 
     records = work.drop("prompt", "question").join(good, ["question_id", "article_id"])
     rows = results.serialise_record(results.project_columns(records, spec, "question_id"))
     written = results.write_results(spark, table, rows, spec, "question_id", spec.overwrite_existing)
 
     added = written.select(*spec.keys, F.lit(True).alias("added"))
-    failed = rejected.select("question_id", "article_id", F.lit(True).alias("failed"))
+    lost = rejected.select("question_id", "article_id", F.lit(True).alias("lost"), F.col("error").isNotNull().alias("failed"))
     outcomes = (
         keyed.join(answers.select("question_id", "article_id", "cost"), ["question_id", "article_id"], "left")
-        .join(failed, ["question_id", "article_id"], "left")
+        .join(lost, ["question_id", "article_id"], "left")
         .join(added, spec.keys, "left")
         .select(
-            F.when(F.col("failed"), 0.0).otherwise(F.coalesce("cost", F.lit(0.0))).alias("cost"),
+            F.when(F.col("lost"), 0.0).otherwise(F.coalesce("cost", F.lit(0.0))).alias("cost"),
             F.coalesce("added", F.lit(False)).alias("added"),
+            F.coalesce("failed", F.lit(False)).alias("failed"),
         )
     )
-    return summary.run_summary(outcomes), rejected
+    return summary.run_summary(outcomes, failed_col="failed"), rejected
 
 
 def run_review(

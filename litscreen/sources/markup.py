@@ -8,6 +8,7 @@ names are parameters: the defaults read web pages; ``heading_tags=("title",)`` r
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,18 +24,32 @@ BLOCK_TAGS = (
     "article", "aside", "blockquote", "body", "div", "dl", "dt", "dd", "figure", "footer", "form", "header", "hr",
     "html", "li", "main", "ol", "pre", "section", "table", "td", "th", "tr", "ul",
 )
-# Character entities; the ampersand comes last so that nothing is decoded twice.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 
 _HEADING, _BREAK, _PARAGRAPH = "\x01", "\x02", "\x03"
 
 
 def _plain(text: Column) -> Column:
     """Inline tags out, entities decoded, white space collapsed."""
-    text = F.regexp_replace(text, "<[^>]*>", " ")
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    text = decode_entities(F.regexp_replace(text, "<[^>]*>", " "))
+    return F.trim(F.regexp_replace(F.replace(text, F.lit("\xa0"), F.lit(" ")), r"\s+", " "))
+
+
+def decode_entities(text: Column) -> Column:
+    """Named, decimal and hexadecimal character references to their characters, each once; unknown ones stay."""
+    names = F.create_map(*[F.lit(x) for name, point in sorted(name2codepoint.items()) for x in (name, chr(point))])
+
+    def read(piece: Column, i: Column) -> Column:
+        name = F.regexp_extract(piece, r"^(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
+        digits = F.substring(name, 2, 8)
+        point = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.rlike("^#"), digits).cast("int")
+        valid = point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF)
+        number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+        char = F.when(name != "", F.coalesce(number, F.try_element_at(names, name)))
+        decoded = F.concat(char, F.substr(piece, F.length(name) + 2))
+        return F.when(i == 0, piece).otherwise(F.coalesce(decoded, F.concat(F.lit("&"), piece)))
+
+    # Texts without a reference, which most are, skip the work.
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&"), read), "")).otherwise(text)
 
 
 def sections_from_markup(
@@ -49,7 +64,7 @@ def sections_from_markup(
     """One row per page: ``sections`` holds (title, text) in page order; the title is the nearest heading before."""
     text = F.regexp_replace(F.col(markup_col), "[\x01\x02\x03]", " ")
     text = F.regexp_replace(text, "(?s)<!--.*?-->", "")
-    for tag in dropped_tags:
+    for tag in (t for t in dropped_tags if t not in heading_tags):  # a heading is never dropped
         text = F.regexp_replace(text, rf"(?is)<{tag}(\s[^>]*)?>.*?</{tag}\s*>", "")
     ends = "|".join([*block_tags, *heading_tags, *paragraph_tags])
     text = F.regexp_replace(text, rf"(?i)<({'|'.join(heading_tags)})(\s[^>]*)?>", _HEADING)

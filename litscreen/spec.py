@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -11,21 +12,17 @@ from pyspark.sql import types as T
 
 from litscreen.functions import fixed
 
-# The closed list of declared types.
-TYPES = ("str", "int", "float", "bool", "list", "dict")
+# What each declared type is stored as; text, and every choice, goes by its greatest width instead.
+STORED_AS = {"bool": "BOOL", "int": "INT", "float": "FLOAT", "list": "JSON", "dict": "JSON"}
+TEXT_WIDTHS = ((29, "VARCHAR({0})"), (255, "TINYTEXT"))
+WIDE_TEXT = "LONGTEXT"
+SEVERAL_VALUES = STORED_AS["list"]
 
 
-def _sql_type(name: str, data_type: str, max_length: int | None, multiple: bool, is_choice: bool) -> str:
-    if data_type in ("list", "dict") or multiple:
-        return "JSON"
-    if is_choice or data_type == "str":
-        if max_length is None or max_length > 255:
-            return "LONGTEXT"
-        return f"VARCHAR({max_length})" if max_length < 30 else "TINYTEXT"
-    plain = {"bool": "BOOL", "int": "INT", "float": "FLOAT"}
-    if data_type not in plain:
-        raise ValueError(f"unknown type {data_type!r} of {name}; choose one of {', '.join(TYPES)}")
-    return plain[data_type]
+def text_type(width: int | None) -> str:
+    """The narrowest text type that holds ``width`` characters; an unknown width may be any."""
+    fitting = (name for most, name in TEXT_WIDTHS if width is not None and width <= most)
+    return next(fitting, WIDE_TEXT).format(width)
 
 
 def _aliases(value: Any) -> list[str] | None:
@@ -34,6 +31,64 @@ def _aliases(value: Any) -> list[str] | None:
     return list(found) if found else None
 
 
+def keyword_groups(text: str) -> list[list[str]]:
+    """Free keywords such as ``AND (cortex OR (brain AND region))`` as OR-groups that must all match.
+
+    ``a OR (b AND c)`` is written out as ``(a OR b) AND (a OR c)``. A term may be several words, quoted or not, but the
+    words AND and OR, and brackets, always structure the text. Text that can't be read this way raises, so that no search
+    runs without its keywords.
+    """
+    marks = re.findall(r'"[^"]*"|[()]|[^\s()"]+|"', text)
+    if marks and marks[0] == "AND":
+        marks = marks[1:]
+    where = iter([*marks, None])
+    now = next(where)
+
+    def fail():
+        raise ValueError(f"cannot read the search keywords {text!r}; use AND, OR, brackets and plain or quoted terms")
+
+    def step():
+        nonlocal now
+        now = next(where)
+
+    def term() -> list[list[str]]:
+        if now == "(":
+            step()
+            inner = both()
+            if now != ")":
+                fail()
+            step()
+            return inner
+        words = []
+        while now not in (None, "(", ")", "AND", "OR", "NOT", '"'):
+            words.append(now.strip('"'))
+            step()
+        if not "".join(words):
+            fail()
+        return [[" ".join(words)]]
+
+    def either() -> list[list[str]]:
+        groups = term()
+        while now == "OR":
+            step()
+            groups = [[*g, *h] for h in term() for g in groups]
+        return groups
+
+    def both() -> list[list[str]]:
+        groups = either()
+        while now == "AND":
+            step()
+            groups = groups + either()
+        return groups
+
+    if not marks:
+        return []
+    groups = both()
+    if now is not None:
+        fail()
+    return groups
+
+
 @dataclass(frozen=True)
 class InputItem:
     name: str
@@ -50,7 +105,7 @@ class InputParameter:
 
     @property
     def sql_type(self) -> str:
-        return _sql_type(self.name, "str", self.max_length, False, False)
+        return text_type(self.max_length)
 
 
 @dataclass(frozen=True)
@@ -72,7 +127,10 @@ class OutputFeature:
 
     @property
     def sql_type(self) -> str:
-        return _sql_type(self.name, self.data_type, self.max_length, self.multiple_values, bool(self.allowed_values))
+        if self.data_type != "str" and self.data_type not in STORED_AS:
+            raise ValueError(f"{self.name} is declared as {self.data_type!r}; known are str, {', '.join(STORED_AS)}")
+        one = text_type(self.max_length) if self.allowed_values else STORED_AS.get(self.data_type) or text_type(self.max_length)
+        return SEVERAL_VALUES if self.multiple_values else one
 
     @property
     def element_type(self) -> T.DataType:
@@ -117,6 +175,12 @@ class ReviewSpec:
             raise ValueError(f"unknown metadata columns: {sorted(unknown)}")
         for column in (*self.inputs, *self.features):
             _ = column.sql_type  # an undeclared type fails here, before any work starts
+        _ = self.search_groups  # and so do keywords that can't be read
+
+    @property
+    def search_groups(self) -> list[list[str]]:
+        """Keyword groups that every search must match besides its inputs: those listed, and those of the keyword text."""
+        return [list(g) for g in self.extra_groups] + keyword_groups(self.extra_keywords)
 
     @property
     def params(self) -> list[str]:

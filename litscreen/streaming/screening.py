@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from litscreen.functions import fixed
+from litscreen.functions.scale import stages_dropped
 from litscreen.operators.extraction import Extractor
 from litscreen.operators.results import create_result_table
 from litscreen.plans.screening import prompt_head, screen
@@ -38,14 +39,16 @@ def stream_screen(
 ) -> StreamingQuery:
     """Screen each micro-batch of the articles that ``hits`` names and upsert the answers.
 
-    A batch that is run again finds its rows in the table and adds nothing, so the table ends up the same.
+    A batch that is run again finds its rows in the table and adds nothing, so the table ends up the same. What a batch
+    stages is deleted once it is written.
     """
     create_result_table(spark, table, spec)
     head = prompt_head(spark, spec)
 
     def handle(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
-        screen(session, spec, plan, hits, batch, table, extractor, concurrency, stem, head)
+        with stages_dropped(session):
+            screen(session, spec, plan, hits, batch, table, extractor, concurrency, stem, head)
 
     return (
         articles.writeStream.foreachBatch(handle)

@@ -118,7 +118,18 @@ def test_examples_must_fit_the_features(spark):
         prompts.example_rows(spark, spec_with({"dose": "a", "effect": "MAYBE"}))
 
 
-def test_too_many_examples(spark):
-    rows = prompts.example_rows(spark, spec_with({"dose": "a"}))
-    with pytest.raises(ValueError, match="at most 1"):
-        prompts.few_shot_block(rows, max_examples=1)
+def test_examples_are_written_with_typed_values(spark):
+    block = prompts.few_shot_block(prompts.example_rows(spark, spec_with({"ids": ["4", 5.0], "dose": "a", "effect": "OPEN"})))
+    assert block.splitlines()[2] == '{"effect":"OPEN","ids":[4,5],"dose":"a"}'
+
+
+@pytest.mark.parametrize("response, dose", [
+    ('Here is the JSON:\n```json\n{"dose": "x"}\n```\nHope this helps.', "x"),
+    ('```\n{"dose": "x"}```', "x"),
+    ('Sure: {"dose": "two\nlines\tand a \\"quote\\""} Done.', 'two\nlines\tand a "quote"'),
+    ('{"dose": "a ```json``` word"}', "a ```json``` word"),
+])
+def test_answers_as_models_write_them(spark, response, dose):
+    df = spark.createDataFrame([(response,)], "response string")
+    row = extraction.parse_responses(df, [OutputFeature("dose")]).first()
+    assert (row["reject_reason"], row["dose"]) == (None, dose)

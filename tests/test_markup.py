@@ -22,6 +22,12 @@ def test_journal_and_converter_tags(spark):
     assert cut(spark, xml, heading_tags=("title",), dropped_tags=()) == [("Aim", "a"), ("Aim", "b"), ("End", "c")]
     tei = "<text><body><div><head>Aim</head><p>a <ref>[1]</ref></p></div></body></text>"
     assert cut(spark, tei, heading_tags=("head",), dropped_tags=()) == [("Aim", "a [1]")]
+    assert cut(spark, tei, heading_tags=("head",)) == [("Aim", "a [1]")]  # a heading is not dropped
+
+
+def test_character_references(spark):
+    text = "<p>&#945;-toxin &alpha; &#x1F600; &amp;lt; &unknown; a & b &copy;&nbsp;x &#0; &#1114112;</p>"
+    assert cut(spark, text) == [("", "\u03b1-toxin \u03b1 \U0001f600 &lt; &unknown; a & b \xa9 x &#0; &#1114112;")]
 
 
 def test_no_paragraph(spark):

@@ -54,3 +54,10 @@ def test_pairs_need_the_article(spark, make_articles):
     hits = spark.createDataFrame([(0, 1, 1), (0, 2, 2)], "question_id long, article_id long, rank int")
     out = planning.screening_pairs(plan, hits, make_articles({2: (["x"], [])}))
     assert [(r["question_id"], r["article_id"]) for r in out.select(F.col("question_id"), "article_id").collect()] == [(0, 2)]
+
+
+def test_positions_with_gaps_lose_nothing(spark):
+    schema = "param string, pos int, name string, search_aliases array<string>, question_aliases array<string>"
+    rows = [("a", p, f"v{p}", None, None) for p in (0, 2, 5, 5)]
+    out = planning.input_grid(spark.createDataFrame(rows, schema), ["a"]).orderBy("question_id").collect()
+    assert [(r["question_id"], r["a"]["name"]) for r in out] == [(0, "v0"), (1, "v2"), (2, "v5"), (3, "v5")]

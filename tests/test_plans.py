@@ -30,7 +30,8 @@ def test_scan_reads_only_what_it_needs(spark):
 def test_search_keeps_the_best_before_the_last_exchange(spark):
     text = plan(q.search_corpus(spark, SF))
     assert text.count("WindowGroupLimit") == 2
-    assert text.count("Exchange hashpartitioning") == 2
+    assert text.count("Exchange hashpartitioning") <= 2
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
 def test_broadcast_needs_a_measured_size(spark):

@@ -85,3 +85,24 @@ def test_one_key_holding_most_rows(spark):
 def test_nested_columns_become_json(spark):
     df = spark.createDataFrame([([1, 2], {"k": "é"}, 5, None)], "l array<int>, m map<string,string>, n int, e array<int>")
     assert tuple(results.serialise_record(df).first()) == ("[1,2]", '{"k":"é"}', 5, None)
+
+
+def test_rows_at_a_location_survive_the_catalog_and_reset_stays_there(spark, tmp_path):
+    place = str(tmp_path / "table")
+    results.create_result_table(spark, "first_name", SPEC, 4, place)
+    results.write_results(spark, "first_name", rows(spark, ("a", "1", 1), ("b", "2", 2)), SPEC, "seq")
+    results.create_result_table(spark, "second_name", SPEC, 4, place)  # as after a restart without a metastore
+    assert [r[1:] for r in content(spark, "second_name")] == [("a", "1", 1), ("b", "2", 2)]
+    added = results.write_results(spark, "second_name", rows(spark, ("a", "1", 1)), SPEC, "seq")
+    assert added.count() == 0
+    results.reset_result_table(spark, "second_name", SPEC, 4)
+    assert content(spark, "second_name") == []
+    results.write_results(spark, "second_name", rows(spark, ("c", "3", 3)), SPEC, "seq")
+    assert spark.read.parquet(place).select("drug").collect()[0][0] == "c"
+
+
+def test_only_buckets_of_the_pairs_are_read(spark):
+    results.create_result_table(spark, "near", SPEC, 64)
+    results.write_results(spark, "near", rows(spark, *[("a", str(i), i) for i in range(200)]), SPEC, "seq")
+    near = results.results_near(spark, "near", rows(spark, ("a", "7", 7)), KEYS)
+    assert "7" in [r["pubmed_id"] for r in near.collect()] and near.count() < 30

@@ -94,4 +94,20 @@ def test_stream_gives_the_batch_table(spark, corpus, batch):
             stage_path(spark, "stream-state"), concurrency=2,
         )
         query.awaitTermination()
+        assert query.exception() is None
         assert content(spark, "stream_review") == content(spark, "batch_review")
+
+
+def test_failed_extractions_are_returned_and_counted(spark, corpus):
+    def fn(prompt):
+        asked = prompt[prompt.rindex("QUESTION: "):]
+        if "blocks" in asked:
+            raise RuntimeError("no service")
+        return answers()(prompt)
+
+    results.reset_result_table(spark, "failing_review", SPEC, 4)
+    summary, rejected = screening.run_review(spark, SPEC, corpus, "failing_review", fn, 2)
+    row = summary.first()
+    assert (row["pairs"], row["added"], row["failed"]) == (4, 2, 1)
+    found = {(r["article_id"], r["reject_reason"], r["error"]) for r in rejected.collect()}
+    assert found == {(1, "failed", "RuntimeError: no service"), (4, "invalid_json", None)}

@@ -37,9 +37,25 @@ def test_best_n(found):
     assert found(1) == [(7, 1, 3, 3), (9, 1, 1, 1)]
 
 
-def test_long_term_lists_give_the_same(found, monkeypatch):
-    monkeypatch.setattr(search, "MAX_INLINE_TERMS", 0)
-    monkeypatch.setattr(search, "held", lambda df, name: scale.held(df, name, max_rows=0))
-    assert found() == EXPECTED
+def test_terms_too_large_to_broadcast_give_the_same(found, monkeypatch):
     monkeypatch.setattr(scale, "fits_broadcast", lambda *_: False)
     assert found() == EXPECTED
+
+
+def test_rows_do_not_grow_with_the_questions(spark, make_articles):
+    """Questions that share their groups are matched to the articles once."""
+    texts = make_articles(TEXTS)
+
+    def matched(n):
+        terms = [(q, g, t) for q in range(n) for g, t in ((0, "lidocaine"), (1, "kcna1"))]
+        groups, needs = search.term_groups(spark.createDataFrame(terms, "question_id long, group_no int, term string"))
+        assert needs.count() == n
+        return groups.count(), search.matched_groups(texts, groups).selectExpr("sum(size(matched))").first()[0]
+
+    assert matched(2) == matched(400) == (2, 6)
+
+
+def test_a_group_named_twice_counts_twice(spark, make_articles):
+    terms = spark.createDataFrame([(1, 0, "kcna1"), (1, 1, "kcna1"), (2, 0, "kcna1")], "question_id long, group_no int, term string")
+    rows = search.search_corpus(make_articles(TEXTS), terms, 1).collect()
+    assert sorted((r["question_id"], r["article_id"], r["n_terms"]) for r in rows) == [(1, 3, 2), (2, 3, 1)]

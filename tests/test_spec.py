@@ -3,7 +3,7 @@ import json
 import pytest
 
 from litscreen.operators.results import project_columns, result_schema, sql_columns
-from litscreen.spec import ReviewSpec
+from litscreen.spec import ReviewSpec, keyword_groups, text_type
 
 SETTINGS = {
     "scholar_search": {"top_sections_per_article": 10, "pubmed": {"top_articles_per_search": 200}},
@@ -68,7 +68,7 @@ def changed(path, value):
 
 
 def test_unknown_type_fails():
-    with pytest.raises(ValueError, match="unknown type"):
+    with pytest.raises(ValueError, match="is declared as"):
         ReviewSpec.from_dict(changed(["prompt", "output_features", 3, "data_type"], "date"))
 
 
@@ -88,3 +88,24 @@ def test_format_instructions_name_features_and_choices():
     schema = json.loads(text[text.index("{"):])
     assert schema["required"] == ["dose_response", "study_type", "subject"]
     assert schema["properties"]["study_type"]["items"]["enum"] == ["CELL", "ANIMAL"]
+
+
+@pytest.mark.parametrize("text, groups", [
+    ("", []),
+    ("AND (trade OR port)", [["trade", "port"]]),
+    ("AND (cortex OR (brain AND region))", [["cortex", "brain"], ["cortex", "region"]]),
+    ('"brain stem" AND human cell', [["brain stem"], ["human cell"]]),
+])
+def test_keyword_text_becomes_groups(text, groups):
+    assert keyword_groups(text) == groups
+
+
+@pytest.mark.parametrize("text", ["AND (a OR", "a NOT b", "OR a", 'a "b', "a ) b"])
+def test_unreadable_keywords_raise(text):
+    with pytest.raises(ValueError, match="cannot read the search keywords"):
+        keyword_groups(text)
+
+
+@pytest.mark.parametrize("width, name", [(1, "VARCHAR(1)"), (29, "VARCHAR(29)"), (30, "TINYTEXT"), (255, "TINYTEXT"), (256, "LONGTEXT"), (None, "LONGTEXT")])
+def test_text_widths(width, name):
+    assert text_type(width) == name
