@@ -375,6 +375,11 @@ ORACLE = {
         WHERE u.role = 'user' AND a.role = 'assistant'""",
     "build_prompts": f"WITH {PROMPTS} SELECT question_id, article_id, prompt FROM prompts",
     "run_extractor": f"WITH {PROMPTS} {_ranked_prompt_answers()}",
+    "few_shot_prompts": """SELECT item_id AS question_id, 'Read the sections and answer in JSON.' || chr(10) || chr(10)
+            || 'QUESTION: one' || chr(10) || '{"section_1": "A list."}' || chr(10) || '{"size_class":"S","n_chars":7}' || chr(10) || chr(10)
+            || 'QUESTION: two' || chr(10) || '{"section_1": "Text."}' || chr(10) || '{"size_class":"L","n_chars":2000}' || chr(10) || chr(10)
+            || 'QUESTION: ' || text || chr(10) || '{}' || chr(10) AS prompt
+        FROM benchmark""",
     "extraction_failures": f"""WITH {PROMPTS} SELECT question_id, article_id, 'ValueError: no answer' AS error
         FROM prompts WHERE length(prompt) % 7 = 0""",
     "parse_responses": f"WITH {PARSED} SELECT {PARSED_COLUMNS}, reject_reason FROM parsed",
@@ -416,6 +421,11 @@ ORACLE = {
         SELECT id, CAST(doc_id AS VARCHAR) AS pubmed_id, 'PUBMED' AS format, '{}' AS sections, 'all' AS item,
                'L' AS size_class, n_chars
         FROM (SELECT * FROM first UNION ALL SELECT * FROM fresh) JOIN documents USING (doc_id)""",
+    "reset_result_table": """SELECT row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) AS id,
+               CAST(doc_id AS VARCHAR) AS pubmed_id, 'PUBMED' AS format, '{}' AS sections, 'all' AS item, 'L' AS size_class, n_chars
+        FROM documents""",
+    "pending_extractions_stored": """SELECT 'all' AS item, CAST(doc_id AS VARCHAR) AS pubmed_id FROM documents
+        WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "stream_articles": f"WITH {MARKUP} SELECT * FROM web",
     "stream_screen": f"""WITH {LABELLED}, prompts AS (
             SELECT question_id, article_id, sections, length({_stream_prompt()}) AS n_chars

@@ -348,6 +348,13 @@ def run_extractor(spark, sf):
     )
 
 
+def few_shot_prompts(spark, sf):
+    """Prompts for every question, headed by the examples of the review."""
+    block = prompts.few_shot_block(prompts.example_rows(spark, shared.item_review(examples=shared.EXAMPLES)))
+    asked = questions(spark, sf).withColumn("sections", F.lit("{}"))
+    return prompts.build_prompts(asked, block, shared.OPENING).select("question_id", "prompt")
+
+
 def extraction_failures(spark, sf):
     def answer(prompt: str) -> tuple[str, float]:
         if len(prompt) % 7 == 0:
@@ -473,24 +480,45 @@ def upsert_results_overwrite(spark, sf):
     return results.upsert_results(stored_records(spark, sf), new_records(spark, sf), KEYS, "seq", overwrite=True)
 
 
-def result_table(spark, sf):
-    """Create a table, write the labels into it, then the documents over them, and read it back."""
+def _table_rows(df: DataFrame, lang: str, n) -> DataFrame:
+    return df.select(
+        F.col("doc_id").cast("string").alias("pubmed_id"), F.lit(fixed.FORMAT_ABSTRACT).alias("format"),
+        F.lit("{}").alias("sections"), F.lit("all").alias("item"), F.lit(lang).alias("size_class"),
+        n.cast("long").alias("n_chars"), F.lit(0).alias("seq"),
+    )
+
+
+def _label_table(spark: SparkSession, sf: str):
+    """A table at a place of its own, with the labels written into it."""
     spec, name = shared.item_review(), f"review_{uuid.uuid4().hex}"
     results.create_result_table(spark, name, spec, buckets=8, location=stage_path(spark, "result-table"))
+    labels = _table_rows(table(spark, sf, "labels"), "S", F.col("quality"))
+    results.write_results(spark, name, labels, spec, "seq")
+    return spec, name, _table_rows(table(spark, sf, "documents"), "L", F.col("n_chars"))
 
-    def rows(df, lang, n):
-        return df.select(
-            F.col("doc_id").cast("string").alias("pubmed_id"), F.lit(fixed.FORMAT_ABSTRACT).alias("format"),
-            F.lit("{}").alias("sections"), F.lit("all").alias("item"), F.lit(lang).alias("size_class"),
-            n.cast("long").alias("n_chars"), F.lit(0).alias("seq"),
-        )
 
-    results.write_results(spark, name, rows(table(spark, sf, "labels"), "S", F.col("quality")), spec, "seq")
-    docs = rows(table(spark, sf, "documents"), "L", F.col("n_chars"))
+def result_table(spark, sf):
+    """Write the documents over the labels, and read the table back."""
+    spec, name, docs = _label_table(spark, sf)
     results.write_results(spark, name, docs, spec, "seq", overwrite=True)
     return results.read_results(spark, name)
 
 
+def reset_result_table(spark, sf):
+    """Empty the table of labels, then write the documents."""
+    spec, name, docs = _label_table(spark, sf)
+    results.reset_result_table(spark, name, spec, buckets=8)
+    results.write_results(spark, name, docs, spec, "seq")
+    return results.read_results(spark, name)
+
+
+def pending_extractions_stored(spark, sf):
+    """Documents without a row in the stored table of labels; only the partitions of their keys are read."""
+    spec, name, docs = _label_table(spark, sf)
+    pairs = docs.select(*spec.keys)
+    return results.pending_extractions(pairs, results.results_near(spark, name, pairs, spec.keys), spec.keys)
+
+
 # -- streams ---------------------------------------------------------------------------------------------------------
 
 
@@ -539,10 +567,10 @@ QUERIES = {
         parse_aliases, input_grid, input_grid_sparse, build_search_query, search_terms, format_question, screening_pairs,
         explode_sections, tokenize, remove_stopwords, stem_tokens, section_term_stats, bm25_scores, top_sections,
         top_sections_stemmed, label_sections,
-        render_examples, build_prompts, run_extractor, extraction_failures, parse_responses, split_rejects_good, split_rejects_bad,
+        render_examples, build_prompts, run_extractor, few_shot_prompts, extraction_failures, parse_responses, split_rejects_good, split_rejects_bad,
         expand_allowed_values, cost_summary, cost_summary_small, run_summary,
         project_columns, serialise_record, find_existing, pending_extractions, pending_extractions_overwrite,
-        assign_record_ids, upsert_results, upsert_results_overwrite, result_table,
+        assign_record_ids, upsert_results, upsert_results_overwrite, result_table, reset_result_table, pending_extractions_stored,
         stream_articles, stream_screen,
     )
 }

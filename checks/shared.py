@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from litscreen.spec import AllowedValue, InputParameter, OutputFeature, ReviewSpec
+from litscreen.spec import AllowedValue, Example, InputParameter, OutputFeature, ReviewSpec
 
 FEATURES = [
     OutputFeature("verdict", required=False, allowed_values=[
@@ -81,7 +81,14 @@ ITEM_FEATURES = [
 LONG_PROMPT = 1_500
 
 
-def item_review(features=ITEM_FEATURES) -> ReviewSpec:
+# Two worked examples; the number given as text must come out as a number.
+EXAMPLES = [
+    Example({"item": "one"}, {"section_1": "A list."}, {"size_class": "S", "n_chars": "7"}),
+    Example({"item": "two"}, {"section_1": "Text."}, {"size_class": "L", "n_chars": 2_000}),
+]
+
+
+def item_review(features=ITEM_FEATURES, examples=()) -> ReviewSpec:
     return ReviewSpec(
-        question="{item}", goal="to sort texts", inputs=[InputParameter("item", [], 20)], features=features
+        question="{item}", goal="to sort texts", inputs=[InputParameter("item", [], 20)], features=features, examples=examples
     )

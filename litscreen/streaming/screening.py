@@ -7,9 +7,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from litscreen.functions import fixed
-from litscreen.functions.scale import stages_dropped
+from litscreen.functions.scale import stage, stages_dropped
 from litscreen.operators.extraction import Extractor
 from litscreen.operators.results import create_result_table
+from litscreen.operators.search import search_corpus
 from litscreen.plans.screening import prompt_head, screen
 from litscreen.sources.articles import ARTICLES, drop_empty_articles
 from litscreen.spec import ReviewSpec
@@ -30,25 +31,32 @@ def stream_screen(
     articles: DataFrame,
     spec: ReviewSpec,
     plan: DataFrame,
-    hits: DataFrame,
+    hits: DataFrame | None,
     table: str,
     extractor: Extractor,
     checkpoint: str,
     concurrency: int = fixed.EXTRACTOR_CONCURRENCY,
     stem: bool = True,
+    terms: DataFrame | None = None,
 ) -> StreamingQuery:
     """Screen each micro-batch of the articles that ``hits`` names and upsert the answers.
 
+    With ``terms`` instead (``hits`` is None then), each micro-batch is searched as it lands, so new articles are found.
+    The best N of a question are those of each micro-batch: what landed earlier was screened by then.
+
     A batch that is run again finds its rows in the table and adds nothing, so the table ends up the same. What a batch
     stages is deleted once it is written.
     """
+    if (hits is None) == (terms is None):
+        raise ValueError("give either hits or terms")
     create_result_table(spark, table, spec)
     head = prompt_head(spark, spec)
 
     def handle(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
         with stages_dropped(session):
-            screen(session, spec, plan, hits, batch, table, extractor, concurrency, stem, head)
+            found = hits if terms is None else stage(search_corpus(batch, terms, spec.top_articles), "hits")
+            screen(session, spec, plan, found, batch, table, extractor, concurrency, stem, head)
 
     return (
         articles.writeStream.foreachBatch(handle)

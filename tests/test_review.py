@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from litscreen.functions.scale import stage_path
-from litscreen.operators import results
+from litscreen.operators import planning, results
 from litscreen.plans import screening
 from litscreen.spec import AllowedValue, Example, InputItem, InputParameter, OutputFeature, ReviewSpec
 from litscreen.streaming.screening import stream_articles, stream_screen
@@ -111,3 +111,18 @@ def test_failed_extractions_are_returned_and_counted(spark, corpus):
     assert (row["pairs"], row["added"], row["failed"]) == (4, 2, 1)
     found = {(r["article_id"], r["reject_reason"], r["error"]) for r in rejected.collect()}
     assert found == {(1, "failed", "RuntimeError: no service"), (4, "invalid_json", None)}
+
+
+def test_stream_from_terms_finds_what_lands(spark, corpus, batch):
+    path = stage_path(spark, "landed")
+    corpus.repartition(2).write.parquet(path)
+    results.reset_result_table(spark, "terms_review", SPEC, 4)
+    grid = planning.input_grid(SPEC.input_rows(spark), SPEC.params)
+    stream = stream_articles(spark, path, corpus.schema, max_files_per_trigger=1)
+    query = stream_screen(
+        spark, stream, SPEC, screening.review_plan(spark, SPEC), None, "terms_review", answers(),
+        stage_path(spark, "stream-state"), concurrency=2, terms=planning.search_terms(grid, SPEC.params, SPEC.search_groups),
+    )
+    query.awaitTermination()
+    assert query.exception() is None
+    assert content(spark, "terms_review") == content(spark, "batch_review")
