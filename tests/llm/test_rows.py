@@ -142,3 +142,11 @@ def test_pages(spark):
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in extract.extract_text(df).collect()}
     assert got == {1: ("", 0), 2: ("", 0), 3: ("just words & more", 17), 4: ("open bold", 9), None: ("body text here", 14)}
     assert extract.extract_text(df.limit(0)).count() == 0
+
+
+def test_licence_negatives_count_repeats_once(spark):
+    rows = [(i, "Same text.") for i in range(50)] + [(99, "Other text.\nAll rights reserved."), (100, None), (101, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(licences.negatives(docs, 60)) == [[b"other", b"text"], [b"same", b"text"]]
+    assert len(licences.negatives(spark.range(5000).selectExpr("concat('line ', id) AS text"), 40)) == 40
+    assert licences.negatives(docs.limit(0)) == []
