@@ -175,6 +175,17 @@ BRIEF = f"""{LINES}, brief AS (
            array_to_string(lines[1:1], chr(10)) AS abstract, array_to_string(lines[2:], chr(10)) AS sections
     FROM lines)"""
 
+RESOLVED = f"""{MARKUP}, {BRIEF}, joined AS (
+    SELECT d.doc_id AS article_id, l.doc_id AS known, w.abstract AS w_abstract, w.sections AS w_sections,
+           w.n_sections AS w_n, b.*
+    FROM documents d JOIN brief b ON b.article_id = d.doc_id
+    LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN web w ON w.article_id = d.doc_id),
+tagged AS (
+    SELECT *, CASE WHEN w_n >= {fixed.MIN_FULL_TEXT_SECTIONS} THEN '{fixed.FORMAT_FULL_TEXT}'
+                   WHEN n_abstract > 0 AND known IS NOT NULL AND w_n > 0 THEN '{fixed.FORMAT_ABSTRACT_AND_PDF}'
+                   WHEN n_abstract > 0 THEN '{fixed.FORMAT_ABSTRACT}' END AS format
+    FROM joined)"""
+
 INPUTS = """inputs AS (
     SELECT 'nation' AS param, n_nationkey AS pos, n_name AS name, [r_name, r_name || ' region'] AS search_aliases,
            [r_name] AS question_aliases
@@ -323,22 +334,24 @@ ORACLE = {
         WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)""",
     "full_text_gate": f"WITH {BRIEF} SELECT * FROM brief WHERE n_sections >= {fixed.MIN_FULL_TEXT_SECTIONS}",
     "drop_empty_articles": f"WITH {MARKUP} SELECT * FROM web",
-    "resolve_articles": f"""WITH {MARKUP}, {BRIEF}, joined AS (
-            SELECT d.doc_id AS article_id, l.doc_id AS known, w.abstract AS w_abstract, w.sections AS w_sections,
-                   w.n_sections AS w_n, b.*
-            FROM documents d JOIN brief b ON b.article_id = d.doc_id
-            LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN web w ON w.article_id = d.doc_id),
-        tagged AS (
-            SELECT *, CASE WHEN w_n >= {fixed.MIN_FULL_TEXT_SECTIONS} THEN '{fixed.FORMAT_FULL_TEXT}'
-                           WHEN n_abstract > 0 AND known IS NOT NULL AND w_n > 0 THEN '{fixed.FORMAT_ABSTRACT_AND_PDF}'
-                           WHEN n_abstract > 0 THEN '{fixed.FORMAT_ABSTRACT}' END AS format
-            FROM joined)
+    "resolve_articles": f"""WITH {RESOLVED}
         SELECT article_id, format,
                CASE WHEN format = '{fixed.FORMAT_FULL_TEXT}' THEN 1 ELSE n_abstract END AS n_abstract,
                CASE WHEN format = '{fixed.FORMAT_ABSTRACT}' THEN n_sections ELSE w_n END AS n_sections,
                CASE WHEN format = '{fixed.FORMAT_FULL_TEXT}' THEN w_abstract ELSE abstract END AS abstract,
                CASE WHEN format = '{fixed.FORMAT_ABSTRACT}' THEN sections ELSE w_sections END AS sections
         FROM tagged WHERE format IS NOT NULL""",
+    "review_from_sources": f"""WITH {RESOLVED},
+        paragraphs AS (
+            SELECT article_id, ' ' || array_to_string(regexp_extract_all(lower(text), '{SEARCH}'), ' ') || ' ' AS norm
+            FROM (SELECT article_id, unnest(lines) AS text FROM lines)),
+        words AS (SELECT unnest([{", ".join(f"'{w}'" for w in shared.REVIEW_WORDS)}]) AS item),
+        found AS (
+            SELECT DISTINCT item, article_id FROM words JOIN paragraphs ON contains(norm, ' ' || item || ' ')),
+        best AS (
+            SELECT item, article_id FROM found
+            QUALIFY row_number() OVER (PARTITION BY item ORDER BY article_id) <= {fixed.TOP_ARTICLES_PER_SEARCH})
+        SELECT item, article_id, format FROM best JOIN tagged USING (article_id) WHERE format IS NOT NULL""",
     "parse_aliases": f"""WITH {INPUTS} SELECT param, pos, name, array_to_string(search_aliases, '|') AS search_aliases,
         array_to_string(question_aliases, '|') AS question_aliases FROM inputs""",
     "input_grid": f"WITH {GRID} SELECT question_id, nation, brand FROM grid",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from litscreen.operators.search import search_corpus as search
 from litscreen.plans import screening
 from litscreen.sources import articles as art
 from litscreen.sources import lookups, markup
-from litscreen.spec import keyword_groups
+from litscreen.spec import InputItem, InputParameter, keyword_groups
 from litscreen.streaming import screening as streams
 
 K = fixed.TOP_SECTIONS_PER_ARTICLE
@@ -220,6 +221,20 @@ def resolve_articles(spark, sf):
     return flat(resolve(ids, web, documents(spark, sf, doi=True), web), "format")
 
 
+def review_from_sources(spark, sf):
+    """Two one-word questions, from search over resolution to the result table."""
+    items = [InputItem(word) for word in shared.REVIEW_WORDS]
+    spec = replace(shared.item_review(), inputs=[InputParameter("item", items, 20)])
+    name, place = f"review_{uuid.uuid4().hex}", stage_path(spark, "result-table")
+    results.create_result_table(spark, name, spec, buckets=8, location=place)
+    web = stage(markup.articles_from_markup(pages(spark, sf)), "web")
+    screening.run_review_from_sources(
+        spark, spec, documents(spark, sf, doi=True), web, web, name, answer_by_length(10**9), 8, stem=False,
+        store=stage_path(spark, "answers-by-prompt"),
+    )
+    return results.read_results(spark, name).select("item", F.col("pubmed_id").cast("long").alias("article_id"), "format")
+
+
 # -- plan ------------------------------------------------------------------------------------------------------------
 
 
@@ -563,7 +578,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         read_articles, sections_from_markup, search_corpus, search_corpus_grid, map_external_ids, explode_locations, first_valid_candidate,
-        pending_fetch, full_text_gate, drop_empty_articles, resolve_articles,
+        pending_fetch, full_text_gate, drop_empty_articles, resolve_articles, review_from_sources,
         parse_aliases, input_grid, input_grid_sparse, build_search_query, search_terms, format_question, screening_pairs,
         explode_sections, tokenize, remove_stopwords, stem_tokens, section_term_stats, bm25_scores, top_sections,
         top_sections_stemmed, label_sections,

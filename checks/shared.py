@@ -79,6 +79,7 @@ ITEM_FEATURES = [
     OutputFeature("n_chars", "int"),
 ]
 LONG_PROMPT = 1_500
+REVIEW_WORDS = ["the", "que"]
 
 
 # Two worked examples; the number given as text must come out as a number.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from litscreen.functions import fixed
+from litscreen.functions.scale import broadcast_if_small, folder_exists, stage
 from litscreen.spec import AllowedValue, OutputFeature
 
 # Texts that count as a truth value.
@@ -20,6 +21,12 @@ FALSE_TEXTS = ("0", "off", "f", "false", "n", "no")
 
 Extractor = Callable[[str], tuple[str, float]]
 
+STORED = T.StructType([
+    T.StructField("prompt_hash", T.StringType()),
+    T.StructField("response", T.StringType()),
+    T.StructField("cost", T.DoubleType()),
+])
+
 
 def run_extractor(
     prompts: DataFrame,
@@ -63,6 +70,36 @@ def run_extractor(
     return prompts.select(*names, "prompt").repartition(concurrency).mapInPandas(batches, schema)
 
 
+def run_extractor_stored(
+    prompts: DataFrame,
+    fn: Extractor,
+    keys: Sequence[str],
+    store: str,
+    concurrency: int = fixed.EXTRACTOR_CONCURRENCY,
+    attempts: int = fixed.EXTRACTOR_ATTEMPTS,
+    wait: tuple[float, float] = fixed.EXTRACTOR_WAIT,
+) -> DataFrame:
+    """As ``run_extractor``, but answers are kept under the folder ``store`` by the hash of their prompt.
+
+    A prompt that has an answer there, from an earlier run or a batch that is replayed, makes no call, and equal prompts
+    make one. Failed calls are not kept, so the next run tries them again. ``cost`` is what the answer cost when it was
+    given. The store itself is only scanned: what is asked for is cut out of it before anything is joined.
+    """
+    spark = prompts.sparkSession
+    asked = prompts.select(*keys, "prompt", F.sha2("prompt", 256).alias("prompt_hash"))
+    kept = spark.createDataFrame([], STORED)
+    if folder_exists(spark, store):
+        wanted = broadcast_if_small(asked.select("prompt_hash").distinct())
+        stored = spark.read.schema(STORED).parquet(store).join(wanted, "prompt_hash", "left_semi")
+        once_each = stored.groupBy("prompt_hash").agg(F.min(F.struct("response", "cost")).alias("kept"))
+        kept = stage(once_each.select("prompt_hash", "kept.*"), "kept-answers")
+    fresh = asked.join(kept.select("prompt_hash"), "prompt_hash", "left_anti").dropDuplicates(["prompt_hash"])
+    given = stage(run_extractor(fresh, fn, ["prompt_hash"], concurrency, attempts, wait), "given-answers")
+    given.filter(F.col("error").isNull()).drop("error").write.mode("append").parquet(store)
+    answers = given.unionByName(kept.withColumn("error", F.lit(None).cast("string")))
+    return asked.drop("prompt").join(answers, "prompt_hash").select(*keys, "response", "cost", "error")
+
+
 def _checked(feature: OutputFeature, value: Column) -> Column:
     """``struct(ok, value)`` of one JSON value; conversions are those a lenient typed parser makes."""
     kind = F.schema_of_variant(value)

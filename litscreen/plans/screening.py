@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from litscreen.functions import fixed
 from litscreen.functions.scale import broadcast_if_small, stage
 from litscreen.operators import extraction, planning, prompts, ranking, results, summary
+from litscreen.operators.resolve import resolve_articles
 from litscreen.operators.search import search_corpus
 from litscreen.sources.articles import drop_empty_articles
 from litscreen.spec import ReviewSpec
@@ -61,11 +62,13 @@ def screen(
     concurrency: int = fixed.EXTRACTOR_CONCURRENCY,
     stem: bool = True,
     head: tuple[str, str] | None = None,
+    store: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Extract and write what is not in the result table yet: (summary row, rejected answers).
 
     Pairs whose extractor failed every time are among the rejected, with the reason ``failed`` and their ``error``.
-    ``articles`` are resolved and carry ``format``. Finished pairs are dropped before any text is read for ranking.
+    ``articles`` are resolved and carry ``format``. With ``store``, answers are kept in that folder by their prompt, and a
+    prompt answered before makes no call. Finished pairs are dropped before any text is read for ranking.
     """
     block, opening = head or prompt_head(spark, spec)
     key = F.col("article_id").cast("string").alias(fixed.ARTICLE_KEY)
@@ -79,9 +82,11 @@ def screen(
     evidence = ranked_evidence(pending, texts, spec.top_sections, stem)
     work = pending.join(evidence, ["question_id", "article_id"]).join(texts.select("article_id", "format"), "article_id")
     work = stage(prompts.build_prompts(work, block, opening), "prompts")
-    answers = stage(
-        extraction.run_extractor(work, extractor, ["question_id", "article_id"], concurrency), "answers"
-    )
+    ids = ["question_id", "article_id"]
+    if store:
+        answers = stage(extraction.run_extractor_stored(work, extractor, ids, store, concurrency), "answers")
+    else:
+        answers = stage(extraction.run_extractor(work, extractor, ids, concurrency), "answers")
     parsed = stage(extraction.parse_responses(answers.filter(F.col("error").isNull()), spec.features), "parsed")
     good, rejected = extraction.split_rejects(parsed)
     failures = answers.filter(F.col("error").isNotNull())
@@ -114,8 +119,32 @@ def run_review(
     extractor: extraction.Extractor,
     concurrency: int = fixed.EXTRACTOR_CONCURRENCY,
     stem: bool = True,
+    store: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Create the table, search the corpus and screen every article found."""
     results.create_result_table(spark, table, spec)
     hits = review_hits(spark, spec, articles)
-    return screen(spark, spec, review_plan(spark, spec), hits, articles, table, extractor, concurrency, stem)
+    return screen(spark, spec, review_plan(spark, spec), hits, articles, table, extractor, concurrency, stem, store=store)
+
+
+def run_review_from_sources(
+    spark: SparkSession,
+    spec: ReviewSpec,
+    abstracts: DataFrame,
+    full_text: DataFrame,
+    pdf_text: DataFrame,
+    table: str,
+    extractor: extraction.Extractor,
+    concurrency: int = fixed.EXTRACTOR_CONCURRENCY,
+    stem: bool = True,
+    store: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Search the landed ``abstracts``, give each article found its best landed text and its ``format``, and screen it.
+
+    Only found articles are resolved, so full texts and PDF texts are cut to them before anything is joined. A found
+    article without any text is not screened.
+    """
+    results.create_result_table(spark, table, spec)
+    hits = review_hits(spark, spec, abstracts)
+    articles = stage(resolve_articles(hits, full_text, abstracts, pdf_text), "resolved")
+    return screen(spark, spec, review_plan(spark, spec), hits, articles, table, extractor, concurrency, stem, store=store)

@@ -38,6 +38,7 @@ def stream_screen(
     concurrency: int = fixed.EXTRACTOR_CONCURRENCY,
     stem: bool = True,
     terms: DataFrame | None = None,
+    store: str | None = None,
 ) -> StreamingQuery:
     """Screen each micro-batch of the articles that ``hits`` names and upsert the answers.
 
@@ -45,7 +46,8 @@ def stream_screen(
     The best N of a question are those of each micro-batch: what landed earlier was screened by then.
 
     A batch that is run again finds its rows in the table and adds nothing, so the table ends up the same. What a batch
-    stages is deleted once it is written.
+    stages is deleted once it is written. With ``store``, answers outlive a batch that fails, and a replay makes no call for
+    what is kept there.
     """
     if (hits is None) == (terms is None):
         raise ValueError("give either hits or terms")
@@ -56,7 +58,7 @@ def stream_screen(
         session = batch.sparkSession
         with stages_dropped(session):
             found = hits if terms is None else stage(search_corpus(batch, terms, spec.top_articles), "hits")
-            screen(session, spec, plan, found, batch, table, extractor, concurrency, stem, head)
+            screen(session, spec, plan, found, batch, table, extractor, concurrency, stem, head, store)
 
     return (
         articles.writeStream.foreachBatch(handle)

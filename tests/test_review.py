@@ -1,12 +1,13 @@
 """A whole review, run in one go, again, and as a stream."""
 
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from litscreen.functions.scale import stage_path
-from litscreen.operators import planning, results
+from litscreen.operators import extraction, planning, results
 from litscreen.plans import screening
 from litscreen.spec import AllowedValue, Example, InputItem, InputParameter, OutputFeature, ReviewSpec
 from litscreen.streaming.screening import stream_articles, stream_screen
@@ -126,3 +127,50 @@ def test_stream_from_terms_finds_what_lands(spark, corpus, batch):
     query.awaitTermination()
     assert query.exception() is None
     assert content(spark, "terms_review") == content(spark, "batch_review")
+
+
+def counting(folder, fn):
+    def call(prompt):
+        answer = fn(prompt)
+        (folder / uuid.uuid4().hex).write_text(prompt)
+        return answer
+
+    return call
+
+
+def test_stored_answers_make_no_second_call(spark, tmp_path):
+    calls, store = tmp_path / "calls", str(tmp_path / "store")
+    calls.mkdir()
+    prompts = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "fails")], "k long, prompt string")
+
+    def fn(prompt):
+        if prompt == "fails":
+            raise RuntimeError("no service")
+        return prompt.upper(), 0.5
+
+    for _ in range(2):  # the second run finds every answer but the failed one
+        out = extraction.run_extractor_stored(prompts, counting(calls, fn), ["k"], store, 2, 2, (0.0, 0.0))
+        assert sorted(tuple(r) for r in out.select("k", "response", "error").collect()) == [
+            (1, "A", None), (2, "B", None), (3, "A", None), (4, None, "RuntimeError: no service")
+        ]
+        assert sorted(p.read_text() for p in calls.iterdir()) == ["a", "b"]
+
+
+def test_review_from_sources_resolves_what_it_finds(spark, make_articles, tmp_path):
+    abstracts = make_articles({k: (a, []) for k, (a, _) in TEXTS.items()})
+    full = make_articles({1: (["From the full text"], [f"kcna1 part {i}" for i in range(6)]), 3: (["Not found"], ["x"] * 9)})
+    calls, store = tmp_path / "calls", str(tmp_path / "store")
+    calls.mkdir()
+    tables = []
+    for name in ("sourced_review", "replayed_review"):  # the second table is filled from the stored answers alone
+        results.reset_result_table(spark, name, SPEC, 4)
+        summary, _ = screening.run_review_from_sources(
+            spark, SPEC, abstracts, full, full.limit(0), name, counting(calls, answers()), 2, store=store
+        )
+        row = summary.first()
+        assert (row["pairs"], row["added"]) == (3, 2)
+        assert len(list(calls.iterdir())) == 3
+        tables.append(content(spark, name))
+    assert tables[0] == tables[1]
+    formats = results.read_results(spark, "sourced_review").select("pubmed_id", "format").collect()
+    assert sorted(map(tuple, formats)) == [("1", "PMC"), ("2", "PUBMED")]
