@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from html import unescape
 from math import log
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,60 +47,99 @@ ARTICLE = frozenset(["article", "main"])
 # Scores: of a word and of a tag that no labelled page has, and how far a learned one may go.
 WORD, TAG, MOST = 1.0, -0.5, 4.0
 
-Event = tuple[str, str, bool, bool, str]  # kind ("tag" or "text"), feature, boilerplate, inside an article, name or text
+class Element:
+    """An element of a page: its name and feature, what it stands in, and whether it is boilerplate or in an article."""
 
+    __slots__ = ("name", "feature", "parent", "parts", "junk", "inside", "first", "last")
+
+    def __init__(self, name: str, feature: str, parent: Element | None, parts: frozenset[str] | set[str], first: int):
+        self.name, self.feature, self.parent, self.parts = name, feature, parent, parts
+        self.junk = self.inside = False
+        self.first = self.last = first  # its first event, and the one after its last
+
+    @property
+    def marked(self) -> bool:
+        return self.name in ARTICLE or "articlebody" in self.parts
+
+
+class Event(NamedTuple):
+    kind: str  # "tag" or "text"
+    feature: str
+    element: Element
+    data: str  # name or text
+    words: int  # of a text
+
+
+def settle(elements: list[Element]) -> None:
+    """Tell boilerplate from the rest. Elements come after those that they stand in."""
+    for e in reversed(elements[1:]):
+        e.parent.last = max(e.parent.last, e.last)
+    for e in elements[1:]:
+        up = e.parent
+        e.junk = up.junk or e.name in NEVER_CONTENT or e.name in PAGE_ONLY and not up.inside or bool(e.parts & NEVER_NAMED)
+        e.inside = up.inside or e.marked
+
+
+def read_page(html: str) -> tuple[list[Event], list[Element]]:
+    """Walk a page once, keeping the open elements: its tags and texts in order, and its elements."""
+    elements = [Element("", "", None, frozenset(), 0)]
+    stack = elements[:]
+    seen: list[Event] = []
+
+    def add(kind: str, feature: str, element: Element, data: str) -> None:
+        seen.append(Event(kind, feature, element, data, len(data.split()) if kind == "text" else 0))
+        element.last = len(seen)
 
-def events(html: str) -> Iterator[Event]:
-    """Walk a page once, keeping the open elements, and yield its tags and texts in order."""
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
     at = 0
     for m in TOKEN.finditer(html):
         if m.start() > at:
-            _, feature, junk, inside = stack[-1]
-            yield "text", feature, junk, inside, html[at : m.start()]
+            add("text", stack[-1].feature, stack[-1], html[at : m.start()])
         at = m.end()
         name = (m[3] or m[6] or "").lower()
         if not name:
             continue
         if m[2] or m[5]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
             if depth:
-                _, feature, junk, inside = stack[depth]
+                element = stack[depth]
                 del stack[depth:]
-                yield "tag", "/" + feature, junk, inside, name
+                add("tag", "/" + element.feature, element, name)
             else:
-                yield "tag", "/" + name, stack[-1][2], stack[-1][3], name
+                add("tag", "/" + name, stack[-1], name)
             continue
         named = [x for got in NAMES.findall(m[4] or m[7] or "") for x in (got[0] or got[1] or got[2]).lower().split()]
         feature = ".".join([name, *named[:2]])
         if name not in INLINE:  # a block ends an open paragraph and what stands open in it
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] not in INLINE), 0)
-            if depth and stack[depth][0] == "p":
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name not in INLINE), 0)
+            if depth and stack[depth].name == "p":
                 del stack[depth:]
             elif name == "p":
                 del stack[depth + 1 :]
-        _, _, junk, inside = stack[-1]
         parts = {p for x in named for p in re.split(r"[-_]+", x)}
-        junk = junk or name in NEVER_CONTENT or name in PAGE_ONLY and not inside or bool(parts & NEVER_NAMED)
-        inside = inside or name in ARTICLE or "articlebody" in parts
-        yield "tag", feature, junk, inside, name
+        element = Element(name, feature, stack[-1], parts, len(seen))
+        elements.append(element)
+        add("tag", feature, element, name)
         if name not in VOID:
-            stack.append((name, feature, junk, inside))
+            stack.append(element)
     if at < len(html):
-        _, feature, junk, inside = stack[-1]
-        yield "text", feature, junk, inside, html[at:]
+        add("text", stack[-1].feature, stack[-1], html[at:])
+    settle(elements)
+    return seen, elements
 
 
 def count_features(pages: list[str | None]) -> Counter:
-    """For pages that mark their article: how often each tag, and each word by its element, is inside and outside."""
+    """For pages that mark their article: how often each tag, and each word by its element, is inside and outside.
+
+    Boilerplate counts on neither side: what its list items and links hold says nothing of those of an article.
+    """
     out: Counter = Counter()
     for html in pages:
         if not html or not re.search(r"<(article|main)\b|articlebody", html, re.I):
             continue
-        for kind, feature, junk, inside, data in events(html):
-            n = len(data.split()) if kind == "text" else 1
-            if n:
-                out[kind, feature, inside and not junk] += n
+        for kind, feature, element, _, words in read_page(html)[0]:
+            n = words if kind == "text" else 1
+            if n and not element.junk:
+                out[kind, feature, element.inside] += n
     return out
 
 
@@ -138,38 +178,61 @@ def learn_weights(
         .orderBy(F.desc(F.col("inside") + F.col("outside")), "kind", "feature")
         .limit(max_features)
     )
-    weights = {}
+    counts: Counter = Counter()
     for r in total.collect():
-        if r["kind"] == "text":
-            w = log((r["inside"] + 3.0) / (r["outside"] + 1.0))
-            weights["text", r["feature"]] = max(-MOST, min(MOST, w))
+        counts[r["kind"], r["feature"], True] = r["inside"]
+        counts[r["kind"], r["feature"], False] = r["outside"]
+    return weights_of(counts)
+
+
+def weights_of(counts: Counter) -> dict[tuple[str, str], float]:
+    weights = {}
+    for kind, feature in {(k, f) for k, f, _ in counts}:
+        inside, outside = counts[kind, feature, True], counts[kind, feature, False]
+        if kind == "text":
+            weights[kind, feature] = max(-MOST, min(MOST, log((inside + 3.0) / (outside + 1.0))))
         else:
-            outside = (r["outside"] + 0.5) / (r["inside"] + r["outside"] + 1.0)
-            weights["tag", r["feature"]] = -0.05 - MOST * outside
+            weights[kind, feature] = -0.05 - MOST * (outside + 0.5) / (inside + outside + 1.0)
     return weights
 
 
+def widened(start: int, end: int, elements: list[Element]) -> tuple[int, int]:
+    """The whole of the smallest marked article that holds the region; if none does, of those that it cuts."""
+    marked = [(e.first, e.last) for e in elements if e.marked and not e.junk]
+    around = [(first, last) for first, last in marked if first <= start and end <= last]
+    if around:
+        return min(around, key=lambda span: span[1] - span[0])
+    cut = [(first, last) for first, last in marked if first < end and start < last]
+    return min([start, *(first for first, _ in cut)]), max([end, *(last for _, last in cut)])
+
+
 def main_text(html: str | None, weights: dict[tuple[str, str], float]) -> str:
     """Blocks of the best region, joined by empty lines.
 
-    One linear scan keeps the best sum that ends at each event. Boilerplate elements count as their tags alone, so that
-    an advert inside an article doesn't split it, and their texts are never returned.
+    One linear scan keeps the best sum that ends at each event. A boilerplate element counts as one tag whatever it
+    holds, so that an advert or a list of links inside an article doesn't split it, and its texts are never returned. A
+    region in an article that the page marks is widened to the whole article.
     """
     if not html:
         return ""
-    seen = list(events(html))
+    seen, elements = read_page(html)
     best = total = 0.0
     start, found = 0, (0, 0)
-    for i, (kind, feature, junk, _, data) in enumerate(seen):
-        if kind == "tag":
+    skipped = False
+    for i, (kind, feature, element, _, words) in enumerate(seen):
+        if element.junk:
+            total += 0.0 if skipped else TAG
+        elif kind == "tag":
             total += weights.get((kind, feature), TAG)
-        elif not junk:
-            n = len(data.split())
-            total += n * weights.get((kind, feature), WORD) if n else 0.0
+        elif words:
+            total += words * weights.get((kind, feature), WORD)
+        skipped = element.junk
         if total <= 0.0:
             total, start = 0.0, i + 1
         elif total > best:
             best, found = total, (start, i + 1)
+    if best > 0.0:
+        found = widened(*found, elements)
     blocks, held = [], []
 
     def close() -> None:
@@ -178,9 +241,9 @@ def main_text(html: str | None, weights: dict[tuple[str, str], float]) -> str:
         if text:
             blocks.append(text)
 
-    for kind, _, junk, _, data in seen[found[0] : found[1]]:
+    for kind, _, element, data, _ in seen[found[0] : found[1]]:
         if kind == "text":
-            if not junk:
+            if not element.junk:
                 held.append(data)
         elif data == "br":
             held.append(" ")

@@ -225,6 +225,23 @@ def test_article_without_its_surroundings():
     )
 
 
+def test_article_keeps_its_lists_and_links():
+    links = "".join(f"<li><a href=/{i}>link{i}</a></li>" for i in range(20))
+    page = "<html><body><nav><ul>{0}</ul></nav><article>{1}</article><footer><ul>{0}</ul></footer></body></html>"
+    plain = page.format(links, "<h1>Title of it</h1><p>" + "some words " * 40 + "</p>")
+    weights = extract.weights_of(extract.count_features([plain] * 5))
+    assert not any("li" in f or f == "a" for _, f in weights)
+    short = "<ul><li>one</li><li><a href=/x>two</a></li></ul>"
+    middle = f"<ul>{links}</ul>"
+    inner = f"{short}<h1>Title of it</h1><nav class=toc><ul>{links}</ul></nav><p>{'first half ' * 20}</p>{middle}<p>{'second half ' * 20}</p>{short}"
+    blocks = extract.main_text(page.format(links, inner), weights).split("\n\n")
+    want = ["one", "two", "Title of it", ("first half " * 20).strip(), *(f"link{i}" for i in range(20)), ("second half " * 20).strip(), "one", "two"]
+    assert blocks == want
+    # A contents list costs one tag, so that a short title before it stays also where no article is marked.
+    unmarked = f"<body><h1>Title of it</h1><nav><ul>{links}</ul></nav><p>{'first half ' * 20}</p></body>"
+    assert extract.main_text(unmarked, {}).split("\n\n")[0] == "Title of it"
+
+
 def plain_lines(docs, window=3):
     """The definition of line dedup, window by window."""
     seen, out = {}, {}
