@@ -42,25 +42,40 @@ NEVER_NAMED = frozenset(
     "comments disqus replies respond social share sharing related recommended newsletter subscribe subscription signup "
     "login footer masthead pagination pager skip complementary contentinfo search".split()
 )
+# A class of several parts is boilerplate if each part is one of the names above, one of these, or a number.
+LAYOUT = frozenset(
+    "site page main primary secondary top bottom left right post entry article articles posts blog wp mobile desktop global "
+    "area bar block box button buttons container form icons inner item items link links list panel section slot unit "
+    "wrap wrapper header google dfp".split()
+)
 ARTICLE = frozenset(["article", "main"])
+PAGE = frozenset(["html", "body"])
+WRAPPERS = frozenset(["form", "fieldset"])  # some pages stand in one whole
 
 # Scores: of a word and of a tag that no labelled page has, and how far a learned one may go.
 WORD, TAG, MOST = 1.0, -0.5, 4.0
 
+def boilerplate_name(name: str) -> bool:
+    """Whether a whole class, id or role says boilerplate: ``site-footer`` does, ``has-sidebar`` and ``related-work`` don't."""
+    if name in NEVER_NAMED:
+        return True
+    parts = [p for p in re.split(r"[-_]+", name) if p and not p.isdigit()]
+    return any(p in NEVER_NAMED for p in parts) and all(p in NEVER_NAMED or p in LAYOUT for p in parts)
+
+
 class Element:
     """An element of a page: its name and feature, what it stands in, and whether it is boilerplate or in an article."""
 
-    __slots__ = ("name", "feature", "parent", "parts", "junk", "inside", "first", "last")
+    __slots__ = ("name", "feature", "parent", "marked", "named", "barred", "wraps", "form", "junk", "inside", "words", "first", "last")
 
-    def __init__(self, name: str, feature: str, parent: Element | None, parts: frozenset[str] | set[str], first: int):
-        self.name, self.feature, self.parent, self.parts = name, feature, parent, parts
-        self.junk = self.inside = False
+    def __init__(self, name: str, feature: str, parent: Element | None, classes: list[str], first: int):
+        self.name, self.feature, self.parent = name, feature, parent
+        self.marked = name in ARTICLE or any("articlebody" in re.split(r"[-_]+", x) for x in classes)
+        self.named = any(boilerplate_name(x) for x in classes)
+        self.barred = self.wraps = self.form = self.junk = self.inside = False
+        self.words = 0
         self.first = self.last = first  # its first event, and the one after its last
 
-    @property
-    def marked(self) -> bool:
-        return self.name in ARTICLE or "articlebody" in self.parts
-
 
 class Event(NamedTuple):
     kind: str  # "tag" or "text"
@@ -71,24 +86,46 @@ class Event(NamedTuple):
 
 
 def settle(elements: list[Element]) -> None:
-    """Tell boilerplate from the rest. Elements come after those that they stand in."""
+    """Tell boilerplate from the rest. Elements come after those that they stand in.
+
+    What holds the content is no boilerplate because of its name or because it is a form. Content is a ``main`` or one of
+    the page's long articles; where none is marked, more than half of the words outside menus and the like.
+    """
     for e in reversed(elements[1:]):
         e.parent.last = max(e.parent.last, e.last)
+        if e.name in WRAPPERS or e.name not in NEVER_CONTENT:
+            e.parent.words += e.words
+    for e in elements[1:]:
+        e.barred = e.parent.barred or e.name in NEVER_CONTENT and e.name not in WRAPPERS and e.name != "head"
+    marks = [e for e in elements if e.marked and e.words and not e.barred and (e.name == "main" or not e.named)]
+    longest = max((e.words for e in marks), default=0)
+    for e in marks:
+        up = e if e.name == "main" or 2 * e.words >= longest else None
+        while up is not None and not up.wraps:
+            up.wraps = True
+            up = up.parent
     for e in elements[1:]:
         up = e.parent
-        e.junk = up.junk or e.name in NEVER_CONTENT or e.name in PAGE_ONLY and not up.inside or bool(e.parts & NEVER_NAMED)
+        wraps = e.wraps if marks else 2 * e.words > elements[0].words
+        form = e.name in WRAPPERS
+        e.form = form or up.form
+        e.junk = up.junk or e.name in PAGE_ONLY and not up.inside or e.form and e.name == "label"
+        e.junk = e.junk or e.name in NEVER_CONTENT and not (form and wraps) or e.named and not wraps and e.name not in ARTICLE
+        if e.name in PAGE and up.name in {"", "html", "head"}:
+            e.junk = False
         e.inside = up.inside or e.marked
 
 
 def read_page(html: str) -> tuple[list[Event], list[Element]]:
     """Walk a page once, keeping the open elements: its tags and texts in order, and its elements."""
-    elements = [Element("", "", None, frozenset(), 0)]
+    elements = [Element("", "", None, [], 0)]
     stack = elements[:]
     seen: list[Event] = []
 
     def add(kind: str, feature: str, element: Element, data: str) -> None:
         seen.append(Event(kind, feature, element, data, len(data.split()) if kind == "text" else 0))
         element.last = len(seen)
+        element.words += seen[-1].words
 
     at = 0
     for m in TOKEN.finditer(html):
@@ -115,8 +152,7 @@ def read_page(html: str) -> tuple[list[Event], list[Element]]:
                 del stack[depth:]
             elif name == "p":
                 del stack[depth + 1 :]
-        parts = {p for x in named for p in re.split(r"[-_]+", x)}
-        element = Element(name, feature, stack[-1], parts, len(seen))
+        element = Element(name, feature, stack[-1], named, len(seen))
         elements.append(element)
         add("tag", feature, element, name)
         if name not in VOID:

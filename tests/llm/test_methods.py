@@ -242,6 +242,28 @@ def test_article_keeps_its_lists_and_links():
     assert extract.main_text(unmarked, {}).split("\n\n")[0] == "Title of it"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='has-sidebar'><article>{0}</article></body>",
+        "<body class='sidebar'><main>{0}</main></body>",
+        "<body><main class='content with-sidebar'>{0}</main></body>",
+        "<body><article class='post comments-open'>{0}</article></body>",
+        "<body><div id='search-results-page'>{0}</div></body>",
+        "<body><div class='no-banner'>{0}</div></body>",
+        "<body><div class='widget'>{0}</div></body>",
+        "<body><form id=aspnet><label>Find</label><input name=q><button>Go</button><main>{0}</main></form></body>",
+        "<body><form><select><option>one</option></select><div>{0}</div></form></body>",
+        "<head><meta charset=utf-8><body><article>{0}</article><div class=comments><article class=comment><p>Nice one</p></article></div></body>",
+        "<body><article>{0}<div class='site-footer'>foot</div><div class='ad-slot-3'>Buy</div></article><form>Find<input></form></body>",
+    ],
+)
+def test_names_do_not_drop_the_content(page):
+    content = "<h1>Title of it</h1><p>Some words of the first.</p><h2 id='related-work'>Related work</h2><p>And more of the second.</p>"
+    want = "Title of it\n\nSome words of the first.\n\nRelated work\n\nAnd more of the second."
+    assert extract.main_text(f"<html>{page.format(content)}</html>", {}) == want
+
+
 def plain_lines(docs, window=3):
     """The definition of line dedup, window by window."""
     seen, out = {}, {}
