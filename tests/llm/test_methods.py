@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from litscreen.llm import decontaminate, extract, graph, labelled, lines, minhash, neighbours, packing, quality, repeats, toxicity
+from litscreen.llm import decontaminate, extract, graph, labelled, licences, lines, minhash, neighbours, packing, quality, repeats, toxicity
 from litscreen.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -242,6 +242,50 @@ def test_article_keeps_its_lists_and_links():
     assert extract.main_text(unmarked, {}).split("\n\n")[0] == "Title of it"
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+BSD = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:"""
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (MIT, [(0, 0, "MIT"), (4, 6, "MIT")]),
+        ("int x;\n\n" + GPL, [(2, 4, "GPL-3.0")]),
+        (BSD, [(0, 2, "BSD-3-Clause")]),
+        ("Distributed under the MIT License.", [(0, 0, "MIT")]),
+        ("The code is made available to all\nunder the terms of the MIT\nlicense, as is.", [(1, 2, "MIT")]),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", [(0, 1, "GPL-3.0")]),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", [(0, 1, "GPL-2.0")]),
+        ("Apache License\nVersion 2.0, January 2004", [(0, 1, "Apache-2.0")]),
+        ("Made available under the Apache 2.0 license", [(0, 0, "Apache-2.0")]),
+        ("This tool is free software under the GNU LGPL v3", [(0, 0, "LGPL-3.0")]),
+        ("Under the terms of the new law we had a licence, version 3.", []),
+        ("They spoke of the MIT License and other such names over a long lunch.", []),
+        ("It is under the GNU General Public License.", []),
+    ],
+)
+def test_wrapped_and_reworded_licences(text, want):
+    scanner = licences.fit([[b"alpha", b"beta"], [b"the", b"house", b"of", b"the", b"sea"]] * 20)
+    found = []
+    blocks, at = text.split("\n\n"), 0
+    for block in blocks:
+        found += [(at + a, at + b, f) for a, b, f, _ in scanner.block([licences.words_of(x) for x in block.split("\n")])]
+        at += block.count("\n") + 2
+    assert found == want
+
+
 @pytest.mark.parametrize(
     "page",
     [
