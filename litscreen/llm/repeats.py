@@ -224,12 +224,21 @@ BUCKET = "bucket long, doc_id {id}, version long, at long, before long, shared b
 
 
 def _load(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """The bytes of segments, from one join of the documents with their own segments."""
+    """The bytes of segments, from one join of the documents with their own segments; of repeated rows one is read.
+
+    The rows that remain are grouped by the columns that they are joined on, so they aren't shuffled again.
+    """
+
+    def keys(doc_id: Column) -> list[Column]:
+        return [doc_id.isNull().alias("_null"), F.coalesce(doc_id.cast("string"), F.lit("")).alias("_key")]
+
     kind = texts.schema["doc_id"].dataType.simpleString()
     lists = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct("anchor", "n", "place", "first", "last", "shared")).alias("s"))
-    lists = lists.select(F.col("doc_id").alias("_id"), F.col("version").alias("_v"), "s")
-    keyed = texts.withColumn("version", text_version(F.col("text")))
-    rows = keyed.join(lists, keyed["doc_id"].eqNullSafe(lists["_id"]) & (keyed["version"] == lists["_v"])).select("doc_id", "version", "s", "text")
+    lists = lists.select(*keys(F.col("doc_id")), "version", "s")
+    keyed = texts.select(*keys(F.col("doc_id")), text_version(F.col("text")).alias("version"), "doc_id", "text")
+    on = ["_null", "_key", "version"]
+    one = keyed.join(lists, on).groupBy(*on).agg(*[F.first(c).alias(c) for c in ("doc_id", "s", "text")])
+    rows = one.select("doc_id", "version", "s", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

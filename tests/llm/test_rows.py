@@ -75,6 +75,17 @@ def test_repeated_row_alone_is_one_place(spark):
     assert [r["n_removed"] for r in repeats.repeats_report(rows).collect()] == [0, 0]
 
 
+@pytest.mark.parametrize("most", [2000, 1])
+def test_repeated_row_with_a_variant_is_one_place(spark, most):
+    same = " ".join(f"same{i}" for i in range(30))
+    texts = {None: f"{'left ' * 3}" + " ".join(f"l{i}" for i in range(200)) + same + " ".join(f"m{i}" for i in range(200))}
+    texts[2] = " ".join(f"n{i}" for i in range(200)) + same + " ".join(f"o{i}" for i in range(200))
+    rows = spark.createDataFrame([(None, texts[None])] * 2 + [(2, texts[2])], "doc_id long, text string")
+    got = [tuple(r) for r in repeats.repeats_report(rows, most=most).collect()]
+    want = repeats.brute_force(list(texts.items()))
+    assert sorted(got, key=str) == sorted([(d, *want[d]) for d in (None, None, 2)], key=str)
+
+
 @pytest.mark.parametrize("report", [quality.quality_report, toxicity.toxicity_report])
 def test_scores(docs, labels, report):
     rows = report(docs, labels).collect()
