@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from litscreen.functions.scale import stage
 from litscreen.llm.common import keyed_text, map_texts
 
 # Lower-cases A-Z and turns every byte that is no part of a word into a space; bytes of 0x80 and above belong to words.
@@ -19,6 +21,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # The patterns sent to the tasks at a time: so many windows of ten words take some tens of megabytes there.
 MAX_WINDOWS = 100_000
+MAX_BYTES = 16_000_000  # of the words and item ids of a part
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -112,26 +115,28 @@ def find_benchmark(
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
+    max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """One row per document: ``doc_id, n_words, spans, items``; spans are the maximal runs of hit words.
 
     Words are runs of ASCII letters and digits and of all other non-ASCII characters, A-Z lower-cased. A null text has no
     words, and no document is left out. Null ids stay null, repeated rows give repeated results, an empty benchmark finds
     nothing, and extra columns play no part. Documents are searched where they are read: nothing is shuffled. Up to
-    ``max_windows`` windows are counted and sent to the tasks; a larger benchmark is searched in several such parts and
+    ``max_windows`` windows of ``max_bytes`` in all are counted and sent to the tasks; a larger benchmark is searched in
+    several parts of about that size. The result of each is stored and its windows released before the next is read, and
     the parts of a document are put together by one grouping on a key that is unique to the row.
     """
     windows = benchmark_windows(benchmark, window, item_col)
-    count = windows.count()
-    parts = max(1, -(-count // max_windows))
+    parts = _parts(windows, max_windows, max_bytes)
     texts = keyed_text(docs, id_col, text_col)
     if parts == 1:
-        return _search(texts, _collected(windows))
+        return _search(texts, _sent(windows))
     texts = texts.withColumn("row", F.monotonically_increasing_id())
     found = None
     for part in range(parts):
-        some = windows.filter(F.pmod(F.xxhash64("words"), F.lit(parts)) == part)
-        one = _search(texts, _collected(some))
+        sent = _sent(windows.filter(F.pmod(F.xxhash64("words"), F.lit(parts)) == part))
+        one = stage(_search(texts, sent), "benchmark-part")
+        sent.destroy()
         found = one if found is None else found.unionByName(one)
     hit = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1)))
     grouped = found.groupBy("row").agg(
@@ -147,21 +152,26 @@ def find_benchmark(
 
 
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, max_windows: int = MAX_WINDOWS, text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, max_windows: int = MAX_WINDOWS, text_col: str = "text",
+    max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """The documents, with all their columns, in which no window of the benchmark occurs. Nothing is shuffled.
 
     Nulls, repeated rows and empty tables are treated as by ``find_benchmark``; a benchmark of more than ``max_windows``
-    windows is searched in parts, one after another, and what a part finds isn't searched again.
+    windows, or of ``max_bytes``, is searched in parts, one after another, and what a part finds isn't searched again:
+    what it leaves is stored, and its windows are released.
     """
     windows = benchmark_windows(benchmark, window)
-    parts = max(1, -(-windows.count() // max_windows))
+    parts = _parts(windows, max_windows, max_bytes)
     left = docs
     for part in range(parts):
-        some = windows.filter(F.pmod(F.xxhash64("words"), F.lit(parts)) == part)
+        sent = _sent(windows.filter(F.pmod(F.xxhash64("words"), F.lit(parts)) == part))
         rows = left.withColumn("_searched_text", F.col(text_col).cast("string"))
-        found = map_texts(rows, "_searched_text", "_spans array<struct<start: long, end: long>>", _maker(_collected(some), docs, ["spans"], "_"))
+        found = map_texts(rows, "_searched_text", "_spans array<struct<start: long, end: long>>", _maker(sent, ["spans"], "_"))
         left = found.filter(F.size("_spans") == 0).drop("_spans")
+        if parts > 1:
+            left = stage(left, "benchmark-part")
+            sent.destroy()
     return left
 
 
@@ -169,14 +179,24 @@ def _collected(windows: DataFrame) -> list[tuple[list[bytes], list[str]]]:
     return [([w.encode("utf-8", "surrogatepass") for w in r["words"]], r["items"]) for r in windows.toLocalIterator()]
 
 
-def _search(texts: DataFrame, windows: list) -> DataFrame:
+def _parts(windows: DataFrame, max_windows: int, max_bytes: int) -> int:
+    size = F.octet_length(F.array_join("words", " ")) + F.octet_length(F.array_join("items", " "))
+    got = windows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return max(1, -(-got["n"] // max_windows), -(-got["bytes"] // max_bytes))
+
+
+def _sent(windows: DataFrame) -> Broadcast:
+    """The windows, sent to all tasks once."""
+    return windows.sparkSession.sparkContext.broadcast(_collected(windows))
+
+
+def _search(texts: DataFrame, sent: Broadcast) -> DataFrame:
     schema = "n_words long, spans array<struct<start: long, end: long>>, items array<string>"
-    return map_texts(texts, "text", schema, _maker(windows, texts, ["n_words", "spans", "items"]))
+    return map_texts(texts, "text", schema, _maker(sent, ["n_words", "spans", "items"]))
 
 
-def _maker(windows: list, df: DataFrame, columns: list[str], prefix: str = "") -> Callable[[], Callable]:
-    """What a task does, with the windows sent to all tasks once."""
-    sent = df.sparkSession.sparkContext.broadcast(windows)
+def _maker(sent: Broadcast, columns: list[str], prefix: str = "") -> Callable[[], Callable]:
+    """What a task does with the windows."""
 
     def make() -> Callable[[list[str | None]], dict[str, list]]:
         searches = searchers(sent.value)

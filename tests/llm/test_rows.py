@@ -123,6 +123,23 @@ def test_contamination(docs, items):
     assert decontaminate.find_benchmark(docs, items.limit(0)).filter("size(spans) > 0").count() == 0
 
 
+def test_parts_are_bounded_by_bytes_and_released(spark, monkeypatch):
+    from pyspark import Broadcast
+
+    held, most = [], []
+    destroy, sent = Broadcast.destroy, decontaminate._sent
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: (held.remove(self), destroy(self, *a))[1])
+    monkeypatch.setattr(decontaminate, "_sent", lambda windows: (held.append(sent(windows)), most.append(len(held)), held[-1])[2])
+    items = [(f"i{k}", " ".join("x" * 500 + f"{k}y{j}" for j in range(12))) for k in range(4)]
+    docs = [(k, f"before {text} after") for k, (_, text) in enumerate(items)] + [(9, "none of it"), (None, None)]
+    texts, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = {r["doc_id"]: ([tuple(s) for s in r["spans"]], r["items"]) for r in decontaminate.find_benchmark(texts, bench, max_bytes=20_000).collect()}
+    assert got == {**{k: ([(1, 13)], [f"i{k}"]) for k in range(4)}, 9: ([], []), None: ([], [])}
+    assert len(most) > 2 and set(most) == {1} and not held
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(texts, bench, max_bytes=20_000).collect()} == {9, None}
+    assert set(most) == {1} and not held
+
+
 def test_neighbours_edges(spark):
     rows = [
         (0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [1.0, None]),
