@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from litscreen.functions.scale import broadcast_if_small
+
 # Texts handed to one step of a Python function are cut to about this many characters in all, so that memory is bounded
 # by this and by the longest single text, whatever an Arrow batch holds.
 BATCH_CHARS = 8_000_000
@@ -52,6 +54,22 @@ def text_version(text: Column) -> Column:
     return F.coalesce(F.xxhash64(text), F.lit(0).cast("long"))
 
 
+def split_join(wide: DataFrame, counted: DataFrame, on: list[str], n: str, spread: list[str], at_once: int = 10_000) -> DataFrame:
+    """Inner join of ``wide`` with ``counted``, which has one row per key and in ``n`` how many rows of ``wide`` it meets.
+
+    The rows of a key of more than ``at_once`` are dealt over several tasks, by a hash of ``spread``, and its one row of
+    ``counted`` is copied to each. Such keys are few: ``at_once`` grows so that there are at most 20,000 of them, whatever
+    the tables hold, so they can be sent to all tasks, which tells ``wide`` how many ways each is dealt.
+    """
+    total = counted.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    at_once = max(at_once, -(-total // 20_000))
+    ways = F.ceil(F.col(n) / at_once).cast("int")
+    hot = broadcast_if_small(counted.filter(F.col(n) > at_once).select(*on, ways.alias("_ways")))
+    dealt = wide.join(hot, on, "left").withColumn("_way", F.when(F.col("_ways").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), "_ways")).cast("int"))
+    copied = counted.withColumn("_way", F.explode(F.sequence(F.lit(0), F.greatest(ways, F.lit(1)) - 1)))
+    return dealt.drop("_ways").join(copied, [*on, "_way"]).drop("_way")
+
+
 def map_texts(
     df: DataFrame, text_col: str, schema: str, make: Callable[[], Callable[[list[str | None]], dict[str, list]]]
 ) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litscreen.functions.scale import stage
-from litscreen.llm.common import bounded, keyed_text, ship_package, text_version
+from litscreen.llm.common import bounded, keyed_text, ship_package, split_join, text_version
 from litscreen.llm.minhash import BASE, DOWN, INVERSE, LETTERS, UP, mix
 
 LENGTH = 400
@@ -329,7 +329,7 @@ def _split(rows: DataFrame, length: int, width: int) -> DataFrame:
 
 def _sized(rows: DataFrame) -> DataFrame:
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return rows.join(sizes, "bucket")
+    return split_join(rows, stage(sizes, "sizes"), ["bucket"], "n", ["doc_id", "version", "at"])
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, most: int = MOST_VARIANTS) -> DataFrame:
@@ -343,14 +343,16 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, most: int = MOST_VARI
     """
     found = stage(find_segments(texts, length), "segments")
     where = F.struct("doc_id", "version", "first")
-    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    some = stage(found.join(twice, "anchor"), "segments")
-    contents = some.groupBy("anchor", "content").agg(F.min(where).alias("one"), F.max(where).alias("two"), F.min(F.struct(*[F.col(c) for c in ("doc_id", "version", "first", "last", "place")])).alias("here"))
-    contents = stage(contents.withColumn("shared", ~F.col("one").eqNullSafe(F.col("two"))).drop("one", "two"), "contents")
-    copies = contents.filter("shared").select("anchor", "content")
-    spans = some.join(copies, ["anchor", "content"]).select("doc_id", "version", F.col("first").alias("open"), (F.col("last") + length).alias("close"))
+    here = F.struct("doc_id", "version", "first", "last", "place")
+    folded = found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("places"), F.max(where).alias("two"), F.min(here).alias("here"))
+    one = F.struct(*[F.col("here")[c].alias(c) for c in ("doc_id", "version", "first")])
+    contents = stage(folded.withColumn("shared", ~one.eqNullSafe(F.col("two"))).drop("two"), "contents")
+    copies = contents.filter("shared").select("anchor", "content", "places")
+    same = split_join(found, copies, ["anchor", "content"], "places", ["doc_id", "version", "first"])
+    spans = same.select("doc_id", "version", F.col("first").alias("open"), (F.col("last") + length).alias("close"))
     variants = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("shared").alias("all_shared")).filter("n > 1 AND NOT all_shared")
-    wanted = contents.join(variants.select("anchor", "n"), "anchor").select("anchor", "n", "shared", "here.*")
+    variants = stage(variants.select("anchor", "n"), "variants")
+    wanted = split_join(contents, variants, ["anchor"], "n", ["content"]).select("anchor", "n", "shared", "here.*")
     rows = stage(_load(wanted, texts, length), "buckets")
     width = 64
     while True:
@@ -358,7 +360,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, most: int = MOST_VARI
         large = rows.filter(F.col("n") > most).drop("n")
         if large.isEmpty():
             return spans
-        rows = stage(_sized(_split(large, length, width)), "buckets")
+        rows = stage(_sized(stage(_split(large, length, width), "pieces")), "buckets")
         if width == 1:
             single = rows.filter(~F.col("shared"))
             return spans.unionByName(single.select("doc_id", "version", F.col("at").alias("open"), (F.col("at") + length).alias("close")))
