@@ -54,6 +54,18 @@ def text_version(text: Column) -> Column:
     return F.coalesce(F.xxhash64(text), F.lit(0).cast("long"))
 
 
+def rows_apart(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``row, doc_id, version, text``: the other columns are packed into ``row``, where no name of theirs can clash."""
+    text = F.col(text_col).cast("string")
+    others = F.struct(*[F.col(c) for c in docs.columns if c != text_col])
+    return docs.select(others.alias("row"), F.col(id_col).alias("doc_id"), text_version(text).alias("version"), text.alias("text"))
+
+
+def rows_together(docs: DataFrame, text: Column, text_col: str = "text") -> list[Column]:
+    """The columns of ``docs``, in their order, from ``row`` and a text."""
+    return [(text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns]
+
+
 def split_join(wide: DataFrame, counted: DataFrame, on: list[str], n: str, spread: list[str], at_once: int = 10_000) -> DataFrame:
     """Inner join of ``wide`` with ``counted``, which has one row per key and in ``n`` how many rows of ``wide`` it meets.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litscreen.functions.scale import stage
-from litscreen.llm.common import keyed_text, map_texts
+from litscreen.llm.common import keyed_text, map_texts, rows_apart, rows_together
 
 # Lower-cases A-Z and turns every byte that is no part of a word into a space; bytes of 0x80 and above belong to words.
 WORD_BYTES = bytes(
@@ -131,7 +131,8 @@ def find_benchmark(
     texts = keyed_text(docs, id_col, text_col)
     if parts == 1:
         return _search(texts, _sent(windows))
-    texts = texts.withColumn("row", F.monotonically_increasing_id())
+    # Stored, so that every part sees the same number for a row, whatever order the rows are read in.
+    texts = stage(texts.withColumn("row", F.monotonically_increasing_id()), "benchmark-rows")
     found = None
     for part in range(parts):
         sent = _sent(windows.filter(F.pmod(F.xxhash64("words"), F.lit(parts)) == part))
@@ -145,8 +146,8 @@ def find_benchmark(
         F.sort_array(F.array_distinct(F.flatten(F.collect_list(hit)))).alias("h"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    starts = F.filter("h", lambda x: ~F.array_contains("h", x - 1))
-    ends = F.filter("h", lambda x: ~F.array_contains("h", x + 1))
+    starts = F.filter("h", lambda x, i: (i == 0) | (F.get("h", i - 1) < x - 1))
+    ends = F.filter("h", lambda x, i: (i == F.size("h") - 1) | (F.get("h", i + 1) > x + 1))
     spans = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end")))
     return grouped.select("doc_id", "n_words", spans.alias("spans"), "items")
 
@@ -163,16 +164,16 @@ def drop_contaminated(
     """
     windows = benchmark_windows(benchmark, window)
     parts = _parts(windows, max_windows, max_bytes)
-    left = docs
+    left = rows_apart(docs, docs.columns[0], text_col).select("row", "text")
     for part in range(parts):
         sent = _sent(windows.filter(F.pmod(F.xxhash64("words"), F.lit(parts)) == part))
-        rows = left.withColumn("_searched_text", F.col(text_col).cast("string"))
-        found = map_texts(rows, "_searched_text", "_spans array<struct<start: long, end: long>>", _maker(sent, ["spans"], "_"))
-        left = found.filter(F.size("_spans") == 0).drop("_spans")
+        rows = left.withColumn("searched", F.col("text"))
+        found = map_texts(rows, "searched", "spans array<struct<start: long, end: long>>", _maker(sent, ["spans"]))
+        left = found.filter(F.size("spans") == 0).drop("spans")
         if parts > 1:
             left = stage(left, "benchmark-part")
             sent.destroy()
-    return left
+    return left.select(*rows_together(docs, F.col("text"), text_col))
 
 
 def _collected(windows: DataFrame) -> list[tuple[list[bytes], list[str]]]:

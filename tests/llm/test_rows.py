@@ -15,6 +15,7 @@ ROWS = [
 # Columns whose names operators use themselves.
 SCHEMA = "doc_id long, text string, source string"
 CLASHES = {"score": 1, "version": 2, "spans": 3, "n_words": 4, "class": 5, "length": 6, "anchor": 7, "found": 8}
+CLASHES |= {name: 9 for name in ("_lines", "_kept", "_at", "_spans", "_version", "_searched_text", "_v", "_id", "_way", "_ways", "row", "searched")}
 
 
 @pytest.fixture(scope="module")
@@ -38,9 +39,11 @@ def test_lines(docs):
     got = {(r["doc_id"], r["n_lines"], r["n_removed"]) for r in lines.dedup_report(docs).collect()}
     assert (1, 0, 0) in got and (2, 1, 0) in got and (9, 3, 0) in got
     assert (7, 4, 0) in got and (8, 4, 3) in got
+    assert (3, 1, 1) in got and (4, 1, 1) in got and (None, 1, 0) in got  # one line of many words is a run
     kept = lines.dedup_lines(docs)
     assert kept.count() == len(ROWS)
-    assert set(docs.columns) <= set(kept.columns)
+    assert kept.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert all(r[k] == v for r in kept.collect() for k, v in CLASHES.items())
     assert [r["text"] for r in kept.filter("doc_id = 8").collect()] == ["q"]
     assert lines.dedup_lines(docs.limit(0)).count() == 0
 
@@ -51,6 +54,14 @@ def test_lines_blank_lines_and_order(spark):
     assert got == {(1, "x\ny\n \nz"), (2, "end"), (3, "")}
 
 
+def test_lines_of_many_words(spark):
+    long, half, other = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 60), ("b", 30), ("c", 30)))
+    rows = [(1, f"start\n{long}\nx"), (2, f"{long}"), (3, f"p\n{half}\n{other}\nq"), (4, f"r\n{half}\n \n{other}\ns\n{half}"), (5, f"{long}\n\n{long}")]
+    got = {(r["doc_id"], r["text"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # Blank lines go only inside a run; one short line, wherever it repeats, stays.
+    assert got == {(1, rows[0][1]), (2, ""), (3, rows[2][1]), (4, f"r\ns\n{half}"), (5, "")}
+
+
 def test_packing(docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = packing.pack_documents(docs, path).collect()
@@ -114,11 +125,12 @@ def test_contamination(docs, items):
     got = {(r["doc_id"], r["n_words"], r["n_items"], r["contaminated"]) for r in rows}
     assert len(rows) == len(ROWS)
     assert (1, 0, 0, False) in got and (6, 2, 1, True) in got and (3, 120, 1, True) in got
-    assert (10, 4, 0, True) in got  # a window of an item without id counts, but names none
+    assert (10, 5, 0, True) in got  # a window of an item without id counts, but names none
     parts = decontaminate.contamination_report(decontaminate.find_benchmark(docs, items, max_windows=3)).collect()
     assert sorted(map(str, parts)) == sorted(map(str, rows))
     left = decontaminate.drop_contaminated(docs, items)
     assert left.columns == docs.columns
+    assert all(r[k] == v for r in left.collect() for k, v in CLASHES.items())
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 2, 5, 7, 8, 9]
     assert decontaminate.find_benchmark(docs, items.limit(0)).filter("size(spans) > 0").count() == 0
 
@@ -178,3 +190,15 @@ def test_licence_negatives_count_repeats_once(spark):
     assert sorted(licences.negatives(docs, 60)) == [[b"other", b"text"], [b"same", b"text"]]
     assert len(licences.negatives(spark.range(5000).selectExpr("concat('line ', id) AS text"), 40)) == 40
     assert licences.negatives(docs.limit(0)) == []
+
+
+def test_pipeline_stages(docs, labels, items, spark, tmp_path):
+    import corpus_pipeline
+
+    for name, df in (("labels", labels), ("benchmark", items)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    for function in (f for _, f in corpus_pipeline.STAGES[:-1]):
+        left = function(spark, docs, str(tmp_path))
+        assert left.columns == docs.columns
+        assert all(r[k] == v for r in left.collect() for k, v in CLASHES.items())
+        assert function(spark, docs.limit(0), str(tmp_path)).count() == 0
