@@ -13,30 +13,37 @@ from pyspark.sql import functions as F
 
 from litscreen.functions.scale import stage
 from litscreen.llm import decontaminate, lines, minhash, packing, quality
-from litscreen.llm.common import table, text_version
+from litscreen.llm.common import rows_apart, rows_together, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores 0.5 or more go on."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score_quality(docs.withColumn("_scored_text", F.col("text")), model, text_col="_scored_text")
-    return scored.filter("score >= 0.5").select(*docs.columns)
+    rows = rows_apart(docs).select("row", "text", F.col("text").alias("scored"))
+    scored = quality.score_quality(rows, model, text_col="scored")
+    return scored.filter("score >= 0.5").select(*rows_together(docs, F.col("text")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines are cut out; a document of which only blank lines are left goes."""
-    cut = lines.dedup_lines(docs)
-    left = cut.filter((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n", "")) != ""))
-    counted = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", counted).select(*docs.columns)
+    """Later repeats of runs of lines are cut out; a document of which only blank lines are left goes.
+
+    ``n_chars``, if there, is counted anew where something was cut out. Older ``n_lines`` and ``n_removed`` go.
+    """
+    others = docs.drop("n_lines", "n_removed")
+    left = lines.dedup_lines(docs).filter((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n", "")) != ""))
+    if "n_chars" in docs.columns:
+        counted = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        left = left.withColumn("n_chars", counted)
+    return left.select(*others.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays, and of repeated rows one."""
-    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("version").alias("_v")).distinct()
-    keyed = docs.withColumn("_version", text_version(F.col("text")))
-    match = keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_version"] == kept["_v"])
-    return keyed.join(kept, match, "left_semi").dropDuplicates(["doc_id", "_version"]).select(*docs.columns)
+    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("id"), F.col("version").alias("v")).distinct()
+    rows = rows_apart(docs)
+    match = rows["doc_id"].eqNullSafe(kept["id"]) & (rows["version"] == kept["v"])
+    one = rows.join(kept, match, "left_semi").dropDuplicates(["doc_id", "version"])
+    return one.select(*rows_together(docs, F.col("text")))
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
