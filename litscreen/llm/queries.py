@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litscreen.llm import decontaminate, extract, licences, lines, minhash, neighbours, packing, quality, repeats, toxicity
+from litscreen.llm import (
+    decontaminate, extract, language_model, licences, lines, minhash, negatives, neighbours, packing, phrases, quality, repeats, toxicity,
+)
 from litscreen.llm.common import table
 
 
@@ -56,6 +58,18 @@ def op10_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return extract.extract_text(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op11_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+def op12_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    return language_model.score_texts(table(spark, sf, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
@@ -67,5 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_extraction": op10_extraction,
+    "op11_phrases": op11_phrases,
+    "op12_language_model": op12_language_model,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLE: dict[str, str] = {"op1_line_dedup": lines.ORACLE}
+ORACLE: dict[str, str] = {"op1_line_dedup": lines.ORACLE, "op11_phrases": phrases.ORACLE, "op13_hard_negatives": negatives.ORACLE}
