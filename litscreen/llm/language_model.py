@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ from litscreen.llm.common import bounded, keyed_text, ship_package
 ORDER = 2
 ROUNDS = 15  # of expectation maximisation
 LEVELS = 24  # context frequencies fall into classes by powers of two: unseen, 1, 2-3, 4-7, ...
-CHUNK_BYTES = 16 << 20  # of text that a task counts at a time
-PART_BYTES = 16 << 20  # of text whose n-grams one task adds up
+CHUNK_BYTES = 4 << 20  # of text that a task counts at a time
+PART_BYTES = 12 << 20  # of text whose n-grams one task adds up
 COUNTED, DELETED, HELD_OUT = 0, 1, 2  # the documents of a chunk are of one kind
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -41,8 +42,6 @@ def words_of(text: str | None) -> list[bytes]:
 
 def word_key(word: bytes) -> int:
     """64 bits of a hash; the lowest three tell the length of the n-gram, here one."""
-    from hashlib import blake2b
-
     return int.from_bytes(blake2b(word, digest_size=8).digest(), "little") & ~7 | 1
 
 
@@ -52,30 +51,52 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """The keys of all n-grams of a run of documents, given the word keys of their tokens and their lengths.
+    """The n-grams of a run of documents, given the numbers of their tokens, the words' keys, and the documents' lengths.
 
-    ``full[k]`` has, for each token, the key of the k-gram that ends there, and ``context[k]`` that of the k - 1 tokens
-    before it; before a document stand start signs.
+    ``keys`` are the keys of all different n-grams in order: of words, of longer ones, and of the start signs before each
+    document. ``sizes`` says how many there are of each kind.
     """
 
-    def __init__(self, tokens: np.ndarray, lengths: np.ndarray, order: int):
+    def __init__(self, numbers: np.ndarray, words: np.ndarray, lengths: np.ndarray, order: int, inverse: bool = True):
         pad = order - 1
-        starts = np.cumsum(lengths) - lengths
-        at = np.arange(len(tokens)) + pad * (np.repeat(np.arange(len(lengths)), lengths) + 1)
-        line = np.full(len(tokens) + pad * len(lengths), START)
-        line[at] = tokens
-        self.full: dict[int, np.ndarray] = {1: tokens}
-        self.context: dict[int, np.ndarray] = {}
-        heads = [tokens]
-        before = line
+        self.order = order
+        self.first = np.cumsum(lengths) - lengths  # the first token of each document
+        at = np.arange(len(numbers)) + pad * (np.repeat(np.arange(len(lengths)), lengths) + 1)
+        line = np.full(len(numbers) + pad * len(lengths), START)
+        line[at] = words[numbers]
+        found, counts = [words], [np.bincount(numbers, minlength=len(words))]
+        heads, before = [START], line
+        self.where: dict[int, np.ndarray] = {1: numbers}
         for k in range(2, order + 1):
-            self.context[k] = before[at - 1]
-            heads.append(before[at[starts] - 1] if len(lengths) else tokens[:0])
             grown = before.copy()
             grown[1:] = _mix(before[:-1] * _A + line[1:]) & ~_LOW | np.uint64(k)
             before = grown
-            self.full[k] = before[at]
-        self.all = np.concatenate([*[self.full[k] for k in range(2, order + 1)], *heads])
+            if inverse:
+                values, self.where[k], times = np.unique(before[at], return_inverse=True, return_counts=True)
+            else:
+                values, times = np.unique(before[at], return_counts=True)
+            found.append(values)
+            counts.append(times)
+            if k < order:
+                heads.append(before[at[0] - 1])
+        found.append(np.array(heads, np.uint64))
+        counts.append(np.full(len(heads), len(lengths)))
+        self.sizes = [len(f) for f in found]
+        every = np.concatenate(found)
+        self.sorted = np.argsort(every)
+        self.keys, self.counts = every[self.sorted], np.concatenate(counts)[self.sorted]
+
+    def per_token(self, values: np.ndarray) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+        """From a value for each key: those of the k-gram that ends at each token, and of the k - 1 tokens before it."""
+        every = np.empty_like(values)
+        every[self.sorted] = values
+        *shares, heads = np.split(every, np.cumsum(self.sizes)[:-1])
+        full = {k: shares[k - 1][self.where[k]] for k in range(1, self.order + 1)}
+        context = {}
+        for k in range(2, self.order + 1):
+            context[k] = np.concatenate([full[k - 1][:1], full[k - 1][:-1]])
+            context[k][self.first] = heads[k - 2]
+        return full, context
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -91,48 +112,51 @@ def _unplanes(data: bytes, kind) -> np.ndarray:
 # ---------------------------------------------------------------- chunks of documents
 
 
+class _Numbers(dict):
+    """Numbers of words, given in order of first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class _Chunk:
     """Documents of one kind, as numbers of words in order of first use."""
 
     def __init__(self):
-        self.numbers: dict[bytes, int] = {}
+        self.numbers = _Numbers()
         self.docs: list = []
         self.lengths: list[int] = []
         self.tokens: list[np.ndarray] = []
         self.bytes = 0
 
     def add(self, doc, text: str | None) -> None:
-        words = [*words_of(text), END]
-        known = self.numbers
-        self.tokens.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint32, len(words)))
+        words = words_of(text)
+        words.append(END)
+        self.tokens.append(np.fromiter(map(self.numbers.__getitem__, words), np.uint32, len(words)))
         self.docs.append(doc)
         self.lengths.append(len(words))
         self.bytes += len(text or "")
 
-    def packed(self, kind: int) -> tuple[int, bytes, bytes, bytes]:
-        """``(id, tokens, lengths, word keys)``; the id is a hash of the content, so it is the same if built again."""
-        tokens = zlib.compress(_planes(np.concatenate(self.tokens)), 1)
-        keys = np.fromiter(map(word_key, self.numbers), np.uint64, len(self.numbers)).tobytes()
-        lengths = np.array(self.lengths, np.int64).tobytes()
-        from hashlib import blake2b
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the tokens, keys of the words, lengths of the documents."""
+        words = np.fromiter(map(word_key, self.numbers), np.uint64, len(self.numbers))
+        return np.concatenate(self.tokens), words, np.array(self.lengths, np.int64)
 
+    def name(self, kind: int, arrays: tuple) -> int:
+        """A hash of the content, so that it is the same if the chunk is built again."""
         digest = blake2b(digest_size=8)
-        for part in (tokens, keys, lengths, repr((kind, self.docs)).encode()):
+        for part in arrays:
             digest.update(part)
-        return int.from_bytes(digest.digest(), "little", signed=True), tokens, lengths, keys
-
-
-def _grams(tokens: bytes, lengths: bytes, keys: bytes, order: int) -> tuple[Grams, np.ndarray]:
-    sizes = np.frombuffer(lengths, np.int64)
-    stream = np.frombuffer(keys, np.uint64)[_unplanes(zlib.decompress(tokens), np.uint32)]
-    return Grams(stream, sizes, order), sizes
+        digest.update(repr((kind, self.docs)).encode())
+        return int.from_bytes(digest.digest(), "little", signed=True)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Chunk]]:
     """Chunks of the rows of a task (``doc_id, kind, text``), each of about ``CHUNK_BYTES`` or of one longer document."""
     open_: dict[int, _Chunk] = {}
     for batch in batches:
-        for piece in bounded(batch, "text"):
+        for piece in bounded(batch, "text", 1 << 20):
             for doc, kind, text in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "kind", "text")), strict=True):
                 chunk = open_.setdefault(kind, _Chunk())
                 chunk.add(doc, text)
@@ -147,8 +171,11 @@ def _counts(texts: DataFrame, order: int, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, chunk in _chunks(batches):
-            name, tokens, lengths, words = chunk.packed(kind)
-            keys, counts = np.unique(_grams(tokens, lengths, words, order)[0].all, return_counts=True)
+            arrays = chunk.arrays()
+            name = chunk.name(kind, arrays)
+            del chunk
+            grams = Grams(*arrays, order, inverse=False)
+            keys, counts = grams.keys, grams.counts
             cuts = np.searchsorted(keys, edges)
             rows = []
             for part, (own, n) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts), strict=True)):
@@ -205,24 +232,25 @@ def _chunk_rows(texts: DataFrame) -> DataFrame:
                 yield batch
 
         for kind, chunk in _chunks(seen(batches)):
-            name, tokens, lengths, words = chunk.packed(kind)
-            columns = [pa.array([name], pa.int64()), pa.array([kind], pa.int32()), pa.array([chunk.docs], pa.list_(id_type)),
-                       *(pa.array([x], pa.binary()) for x in (tokens, lengths, words))]
+            tokens, words, lengths = arrays = chunk.arrays()
+            packed = (zlib.compress(_planes(tokens), 1), lengths.tobytes(), words.tobytes())
+            columns = [pa.array([chunk.name(kind, arrays)], pa.int64()), pa.array([kind], pa.int32()), pa.array([chunk.docs], pa.list_(id_type)),
+                       *(pa.array([x], pa.binary()) for x in packed)]
             yield pa.RecordBatch.from_arrays(columns, names=["chunk", "kind", "docs", "tokens", "lengths", "words"])
 
     return texts.mapInArrow(run, f"chunk long, kind int, docs array<{kind_of_id}>, tokens binary, lengths binary, words binary")
 
 
-def _answered(row: dict, answers: pa.Table, column: str, order: int) -> tuple[Grams, np.ndarray, np.ndarray, np.ndarray]:
-    """A chunk's n-grams, its keys in order, and what each counts."""
-    grams, sizes = _grams(row["tokens"], row["lengths"], row["words"], order)
-    keys = np.unique(grams.all)
+def _answered(row: dict, answers: pa.Table, column: str, order: int) -> tuple[np.ndarray, dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """The lengths of a chunk's documents, and for each token what its n-grams and their contexts count."""
+    sizes = np.frombuffer(row["lengths"], np.int64)
+    numbers = _unplanes(zlib.decompress(row["tokens"]), np.uint32)
+    grams = Grams(numbers, np.frombuffer(row["words"], np.uint64), sizes, order)
     by_part = dict(zip(answers.column("part").to_pylist(), answers.column(column).to_pylist(), strict=True))
-    values = [_unplanes(by_part[p], np.int64) for p in sorted(by_part)]
-    values = np.concatenate(values) if values else np.zeros(0, np.int64)
-    if len(values) != len(keys):
+    values = np.concatenate([np.zeros(0, np.int64), *[_unplanes(by_part[p], np.int64) for p in sorted(by_part)]])
+    if len(values) != len(grams.keys):
         raise RuntimeError("the documents were read in another order than when they were counted; store them first")
-    return grams, sizes, keys, values
+    return sizes, *grams.per_token(values)
 
 
 # ---------------------------------------------------------------- weights
@@ -237,6 +265,14 @@ def _buckets(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(np.maximum(counts, 0))[1], LEVELS - 1)
 
 
+def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of a table, and how often each stands there."""
+    order = np.lexsort(columns)
+    rows = np.stack(columns, axis=1)[order]
+    new = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)])
+    return rows[new], np.diff(np.r_[new, len(rows)])
+
+
 def _events(chunks: DataFrame, answers: DataFrame, order: int) -> DataFrame:
     """The tokens of the deleted documents, as the counts that the others give: equal ones are one row with ``times``."""
     names = [f"c{k}" for k in range(1, order + 1)] + [f"d{k}" for k in range(2, order + 1)]
@@ -244,9 +280,9 @@ def _events(chunks: DataFrame, answers: DataFrame, order: int) -> DataFrame:
     def look(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
-            grams, _, keys, values = _answered(row, right, "counted", order)
-            columns = [values[np.searchsorted(keys, x)] for x in [grams.full[k] for k in range(1, order + 1)] + [grams.context[k] for k in range(2, order + 1)]]
-            rows, times = np.unique(np.stack(columns, axis=1), axis=0, return_counts=True)
+            _, full, context = _answered(row, right, "counted", order)
+            columns = [*[full[k] for k in range(1, order + 1)], *[context[k] for k in range(2, order + 1)]]
+            rows, times = _distinct(columns)
             out.append(np.concatenate([rows, times[:, None]], axis=1))
         found = np.concatenate(out) if out else np.zeros((0, len(names) + 1), np.int64)
         return pa.table([pa.array(c) for c in np.ascontiguousarray(found.T)], names=[*names, "times"])
@@ -338,13 +374,12 @@ def score_texts(
         pieces = []
         id_type = left.schema.field("docs").type.value_type
         for row in left.to_pylist():
-            grams, sizes, keys, values = _answered(row, right, "total", order)
-            count = lambda x: values[np.searchsorted(keys, x)].astype(np.float64)  # noqa: B023, E731
-            ones = count(grams.full[1])
+            sizes, full, context = _answered(row, right, "total", order)
+            ones = full[1].astype(np.float64)
             p = np.full(len(ones), 1.0 / (n_words + 1))
             p = table[1][0] * ones / max(1, n_total) + (1 - table[1][0]) * p
             for k in range(2, order + 1):
-                seen, own = count(grams.context[k]), count(grams.full[k])
+                seen, own = context[k].astype(np.float64), full[k].astype(np.float64)
                 weight = table[k][_buckets(seen)]
                 p = weight * np.divide(own, seen, out=np.zeros_like(own), where=seen > 0) + (1 - weight) * p
             base = np.log10((ones + 1) / (n_total + n_words + 1))

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litscreen.functions.scale import stage
-from litscreen.llm.common import BATCH_CHARS, bounded, ship_package, split_join
+from litscreen.llm.common import bounded, ship_package, split_join
 
-LONGEST = 4
+LONGEST = 4  # words; the most that the numbers of a phrase leave room for
 LEAST = 30
 BEST = 2_000  # phrases of a language
 HELD = 600_000  # phrases that a task holds before it spills
 BURST = 8_192  # phrases of a container
+AT_ONCE = 1_000_000  # words that wait to be sorted together before they go into the trie
+READ = 256 << 10  # bytes of texts whose words are looked up at a time: few enough to stay in a core's cache
+RUN = 200_000  # phrases of a run that are written at a time
 NAMES_HELD = 64 << 20  # bytes of different words that a task holds before it begins anew
 FILTER_BITS = 1 << 26  # of the filter of frequent shorter phrases that is sent to the tasks: 8 MB, whatever the corpus
 
@@ -29,78 +34,98 @@ BYTES = bytes(
 
 # ---------------------------------------------------------------- the trie
 
+WORD = 21  # bits of a word's number in a phrase; a task begins anew long before it holds so many words
 
-class Node:
-    """Below a prefix: ``found`` counts the rests as bytes, until it bursts into ``below``, a node for each next word."""
-
-    __slots__ = ("found", "below", "size")
 
-    def __init__(self):
-        self.found: dict[bytes, int] | None = {}
-        self.below: dict[bytes, Node] = {}
-        self.size = 0
+class Node:
+    """Below a prefix: ``found`` counts the rests, until it bursts into ``below``, a node for each next word."""
+
+    __slots__ = ("found", "below", "left")
+
+    def __init__(self, left: int):
+        self.found: dict[int, int] | None = {}
+        self.below: dict[int, Node] = {}
+        self.left = left  # words that follow the prefix
+
+    def add(self, rests: list[int], times: list[int], burst: int) -> int:
+        """Count ascending ``rests``; returns how many of them are new here."""
+        found = self.found
+        if found is None:
+            return self._below(rests, times, burst)
+        size = len(found)
+        get = found.get
+        for r, t in zip(rests, times, strict=True):
+            found[r] = get(r, 0) + t
+        new = len(found) - size
+        if len(found) > burst and self.left > 1:  # a last word needs no node of its own
+            self.found = None
+            ordered = sorted(found)
+            self._below(ordered, [found[r] for r in ordered], burst)
+        return new
+
+    def _below(self, rests: list[int], times: list[int], burst: int) -> int:
+        shift, new, i = WORD * (self.left - 1), 0, 0
+        mask = (1 << shift) - 1
+        while i < len(rests):
+            word, j = rests[i] >> shift, i + 1
+            while j < len(rests) and rests[j] >> shift == word:
+                j += 1
+            lower = self.below.get(word)
+            if lower is None:
+                lower = self.below[word] = Node(self.left - 1)
+            new += lower.add([r & mask for r in rests[i:j]], times[i:j], burst)
+            i = j
+        return new
+
+    def walk(self, prefix: int = 0) -> Iterator[tuple[int, dict[int, int]]]:
+        """``(prefix, container)`` of each container, with the prefix moved to its place in a rest."""
+        if self.found is not None:
+            yield prefix, self.found
+        else:
+            for word, lower in self.below.items():
+                yield from lower.walk(prefix | word << WORD * (self.left - 1))
 
 
 class Trie:
-    """Counts of phrases, written as the 4-byte numbers of their words. A first word is a subtree, and spilled whole."""
-
-    def __init__(self, burst: int = BURST):
-        self.roots: dict[bytes, Node] = {}
-        self.size, self.burst = 0, burst
-
-    def add(self, phrase: bytes, times: int) -> None:
-        node = self.roots.get(phrase[:4])
-        if node is None:
-            node = self.roots[phrase[:4]] = Node()
-        path, rest = [node], phrase[4:]
-        while node.found is None:
-            following = node.below.get(rest[:4])
-            if following is None:
-                following = node.below[rest[:4]] = Node()
-            node, rest = following, rest[4:]
-            path.append(node)
-        found = node.found
-        if rest in found:
-            found[rest] += times
-            return
-        found[rest] = times
-        self.size += 1
-        for passed in path:
-            passed.size += 1
-        if len(found) > self.burst and all(found):  # a phrase that ends here needs no further word to burst by
-            node.found = None
-            for tail, n in found.items():
-                lower = node.below.get(tail[:4])
-                if lower is None:
-                    lower = node.below[tail[:4]] = Node()
-                lower.found[tail[4:]] = n
-                lower.size += 1
-
-    def spill(self, leave: int) -> Iterator[tuple[bytes, int]]:
-        """Take out whole subtrees, the largest first, until at most ``leave`` phrases are held."""
-        for first in sorted(self.roots, key=lambda r: -self.roots[r].size):
+    """Counts of phrases of ``length`` words, given as numbers. A first word is a subtree, and spilled whole."""
+
+    def __init__(self, length: int, burst: int = BURST):
+        self.roots: dict[int, Node] = {}
+        self.sizes: dict[int, int] = {}
+        self.size, self.length, self.burst = 0, length, burst
+
+    def add(self, firsts: np.ndarray, rests: np.ndarray, times: np.ndarray) -> None:
+        """Count different phrases, ascending: the number of the first word, and those of the others in ``WORD`` bits each."""
+        rests, times = rests.tolist(), times.tolist()
+        starts = np.flatnonzero(np.r_[True, firsts[1:] != firsts[:-1]]) if len(firsts) else firsts
+        for first, i, j in zip(firsts[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(rests)], strict=True):
+            node = self.roots.get(first)
+            if node is None:
+                node = self.roots[first] = Node(max(1, self.length - 1))
+                self.sizes[first] = 0
+            new = node.add(rests[i:j], times[i:j], self.burst)
+            self.sizes[first] += new
+            self.size += new
+
+    def spill(self, leave: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Take out whole subtrees, the largest first, until at most ``leave`` phrases are held: as added, in any order."""
+        firsts, rests, times = [], [], []
+        for first in sorted(self.sizes, key=self.sizes.__getitem__, reverse=True):
             if self.size <= leave:
-                return
-            node = self.roots.pop(first)
-            self.size -= node.size
-            yield from self._walk(first, node)
-
-    def _walk(self, prefix: bytes, node: Node) -> Iterator[tuple[bytes, int]]:
-        if node.found is None:
-            for word, lower in node.below.items():
-                yield from self._walk(prefix + word, lower)
-        else:
-            for rest, n in node.found.items():
-                yield prefix + rest, n
+                break
+            self.size -= self.sizes.pop(first)
+            for prefix, found in self.roots.pop(first).walk():
+                firsts.append(np.full(len(found), first))
+                rests.append(np.fromiter(found, np.int64, len(found)) | prefix)
+                times.append(np.fromiter(found.values(), np.int64, len(found)))
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate([none, *x]) for x in (firsts, rests, times))
 
 
 # ---------------------------------------------------------------- counting in a task
 
 
-def word_hash(word: bytes) -> int:
-    from hashlib import blake2b
-
-    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+word_hash = zlib.crc32  # what only chooses bits of a filter need not be longer
 
 
 _A, _B = np.uint64(0x9E37_79B9_7F4A_7C15), np.uint64(0xC2B2_AE3D_27D4_EB4F)
@@ -116,110 +141,150 @@ def slots(hashes: list[np.ndarray], lang: str, bits: int) -> np.ndarray:
     return (x % np.uint64(bits)).astype(np.int64)
 
 
-class Counter:
-    """Counts the phrases of ``length`` words of a task's texts, holding at most about ``held`` different ones."""
+def folded(firsts: np.ndarray, rests: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different phrases, ascending, and how often each occurs."""
+    if length <= 3:
+        shift = WORD * max(1, length - 1)
+        both, times = np.unique(firsts << shift | rests, return_counts=True)
+        return both >> shift, both & ((1 << shift) - 1), times
+    order = np.lexsort((rests, firsts))
+    firsts, rests = firsts[order], rests[order]
+    new = np.flatnonzero(np.r_[True, (firsts[1:] != firsts[:-1]) | (rests[1:] != rests[:-1])])
+    return firsts[new], rests[new], np.diff(np.r_[new, len(firsts)])
 
-    def __init__(self, length: int, known: np.ndarray | None, held: int, burst: int):
-        self.length, self.known, self.held, self.burst = length, known, held, burst
-        self.clear()
 
-    def clear(self) -> None:
-        self.numbers: dict[bytes, int] = {b"": -2, BREAK: -1}
+class Numbers(dict):
+    """Numbers of words, given in order of first use."""
+
+    def __init__(self):
+        super().__init__({b"": -2, BREAK: -1})
         self.words: list[bytes] = []
-        self.hashes = np.zeros(1024, np.uint64)
         self.bytes = 0
-        self.tries: dict[str, Trie] = {}
 
-    def number(self, word: bytes) -> int:
-        n = len(self.words)
-        self.numbers[word] = n
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.words)
         self.words.append(word)
         self.bytes += len(word) + 150
-        if self.known is not None:
-            if n >= len(self.hashes):
-                self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-            self.hashes[n] = word_hash(word)
         return n
 
+
+class Counter:
+    """Counts the phrases of some lengths of a task's texts, holding at most about ``held`` different ones.
+
+    ``known`` has a bit for each phrase of one word less than the shortest that may be frequent.
+    """
+
+    def __init__(self, lengths: tuple[int, ...], known: np.ndarray | None, held: int, burst: int, at_once: int = AT_ONCE):
+        self.lengths, self.known, self.held, self.burst, self.at_once = lengths, known, held, burst, at_once
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers = Numbers()
+        self.hashes = np.zeros(0, np.uint64)
+        self.tries: dict[tuple[str, int], Trie] = {}
+        self.lines: dict[str, list[np.ndarray]] = {}
+        self.waiting = 0
+
     def add(self, lang: str, data: bytes) -> None:
-        """Count the phrases of a text, or of several with line feeds between them."""
-        numbers, words = self.numbers, data.translate(BYTES).replace(b"\n", b" \n ").split(b" ")
-        try:
-            line = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
-        except KeyError:
-            line = np.fromiter((numbers[w] if w in numbers else self.number(w) for w in words), np.int32, len(words))
-        line = line[line != -2]
-        k = self.length
+        """Read a text, or several with line feeds between them, and count what is waiting if that is enough."""
+        words = data.translate(BYTES).replace(b"\n", b" \n ").split(b" ")
+        line = np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))
+        self.lines.setdefault(lang, []).append(np.r_[line[line != -2], np.int32(-1)])
+        self.waiting += len(words)
+        if self.waiting >= self.at_once:
+            self.count()
+
+    def count(self) -> None:
+        for lang, lines in self.lines.items():
+            line = np.concatenate(lines)
+            frequent = self.frequent(lang, line)
+            for k in self.lengths:
+                firsts, rests = self.phrases(line, k, frequent)
+                if len(firsts):
+                    self.tries.setdefault((lang, k), Trie(k, self.burst)).add(*folded(firsts, rests, k))
+        self.lines.clear()
+        self.waiting = 0
+
+    def frequent(self, lang: str, line: np.ndarray) -> np.ndarray | None:
+        """Whether the known phrase that starts at each place may be frequent."""
+        k = self.lengths[0] - 1
+        if self.known is None or len(line) < k:
+            return None
+        words = self.numbers.words
+        if len(self.hashes) < len(words):
+            more = np.fromiter(map(word_hash, words[len(self.hashes) :]), np.uint64, len(words) - len(self.hashes))
+            self.hashes = np.concatenate([self.hashes, more])
+        hashes, m = self.hashes[np.maximum(line, 0)], len(line) - k + 1
+        at = slots([hashes[j : j + m] for j in range(k)], lang, len(self.known) * 8)
+        return ((self.known[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+    def phrases(self, line: np.ndarray, k: int, frequent: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The phrases that may be frequent: the number of the first word, and those of the others in one integer.
+
+        A phrase can't be frequent unless every shorter one that it holds is.
+        """
         n = len(line) - k + 1
         if n <= 0:
-            return
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         inside = np.ones(n, bool)
         for j in range(k):
             inside &= line[j : j + n] >= 0
+        if frequent is not None:
+            for j in range(k - self.lengths[0] + 2):
+                inside &= frequent[j : j + n]
         starts = np.flatnonzero(inside)
-        if self.known is not None:
-            # A phrase can't be frequent unless the one without its last word and the one without its first word are.
-            for skip in (0, 1):
-                at = slots([self.hashes[line[starts + skip + j]] for j in range(k - 1)], lang, len(self.known) * 8)
-                starts = starts[(self.known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-        if not len(starts):
-            return
-        rows = np.ascontiguousarray(np.stack([line[starts + j] for j in range(k)], axis=1)).astype(">i4")
-        if k <= 2:
-            wide = np.zeros(len(rows), np.int64)
-            for j in range(k):
-                wide = (wide << 32) | rows[:, j].astype(np.int64)
-            values, times = np.unique(wide, return_counts=True)
-            raw = values.astype(">i8").tobytes()
-            keys = [raw[i + 8 - 4 * k : i + 8] for i in range(0, len(raw), 8)]
-        else:
-            values, times = np.unique(rows.view(f"V{4 * k}").ravel(), return_counts=True)
-            keys = [v.tobytes() for v in values]
-        trie = self.tries.setdefault(lang, Trie(self.burst))
-        for key, t in zip(keys, times.tolist(), strict=True):
-            trie.add(key, t)
-
-    def spilled(self, everything: bool = False) -> Iterator[tuple[str, list[tuple[str, int]]]]:
-        """Sorted runs, as (language, [(phrase, count)]), if more is held than allowed."""
-        new_words = self.bytes > NAMES_HELD
+        rests = np.zeros(len(starts), np.int64)
+        for j in range(1, k):
+            rests = rests << WORD | line[starts + j]
+        if k == 1:  # single words need no subtrees
+            return rests, line[starts].astype(np.int64)
+        return line[starts].astype(np.int64), rests
+
+    def spilled(self, everything: bool = False) -> Iterator[tuple[str, int, pa.Array, np.ndarray]]:
+        """Sorted runs, as (language, length, phrases, counts), if more is held than allowed."""
+        new_words = self.numbers.bytes > NAMES_HELD
+        if everything or new_words:
+            self.count()
         total = sum(t.size for t in self.tries.values())
         if not everything and not new_words and total <= self.held:
             return
-        for lang, trie in self.tries.items():
+        words = pa.array(self.numbers.words, pa.binary())
+        for (lang, k), trie in self.tries.items():
             leave = 0 if everything or new_words else trie.size * self.held // (2 * total)
-            run = []
-            for phrase, n in trie.spill(leave):
-                text = b" ".join([self.words[i] for i in np.frombuffer(phrase, ">i4").tolist()])
-                run.append((text, n))
-            run.sort()
-            if run:
-                yield lang, [(p.decode("utf-8", "surrogatepass"), n) for p, n in run]
+            firsts, rests, times = trie.spill(leave)
+            for i in range(0, len(firsts), RUN):
+                some, n = rests[i : i + RUN], times[i : i + RUN]
+                places = [some >> WORD * j & (1 << WORD) - 1 for j in reversed(range(max(1, k - 1)))]
+                own = [words.take(pa.array(x)) for x in ([firsts[i : i + RUN], *places] if k > 1 else places)]
+                phrases = (pc.binary_join_element_wise(*own, b" ") if len(own) > 1 else own[0]).cast(pa.string())
+                order = pc.sort_indices(phrases)
+                yield lang, k, phrases.take(order), n[order.to_numpy()]
         if new_words:
             self.clear()
 
 
-def phrase_runs(docs: DataFrame, length: int, known: np.ndarray | None = None, held: int = HELD, burst: int = BURST) -> DataFrame:
-    """``lang, phrase, n``: partial counts of the phrases of ``length`` words, as each task's sorted runs.
+def phrase_runs(
+    docs: DataFrame, lengths: tuple[int, ...], known: np.ndarray | None = None, held: int = HELD, burst: int = BURST
+) -> DataFrame:
+    """``lang, k, phrase, n``: partial counts of the phrases of ``lengths`` words, as each task's sorted runs.
 
     ``docs`` has ``lang`` and ``text``. A task holds at most about ``held`` phrases: then the largest subtrees are written out
-    until half remains, and what is left at the end follows. With ``known``, a bit set of frequent phrases that are one word
-    shorter, phrases that can't be frequent are skipped; a bit that is set by chance only costs a count.
+    until half remains, and what is left at the end follows. With ``known``, a bit set of frequent phrases of one word less
+    than the shortest of ``lengths``, phrases that can't be frequent are skipped; a bit that is set by chance only costs a count.
     """
     ship_package(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(known) if known is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(length, None if sent is None else sent.value, held, burst)
+        counter = Counter(lengths, None if sent is None else sent.value, held, burst)
 
         def out(everything: bool = False) -> Iterator[pa.RecordBatch]:
-            for lang, rows in counter.spilled(everything):
-                for i in range(0, len(rows), 50_000):
-                    phrases, times = zip(*rows[i : i + 50_000], strict=True)
-                    columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(times, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n"])
+            for lang, k, phrases, times in counter.spilled(everything):
+                columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(np.full(len(phrases), k, np.int32)), phrases, pa.array(times)]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "k", "phrase", "n"])
 
         for batch in batches:
-            for piece in bounded(batch, "text", BATCH_CHARS // 4):
+            for piece in bounded(batch, "text", READ):
                 texts: dict[str, list[bytes]] = {}
                 for lang, text in zip(piece.column("lang").to_pylist(), piece.column("text").to_pylist(), strict=True):
                     if text:
@@ -229,17 +294,17 @@ def phrase_runs(docs: DataFrame, length: int, known: np.ndarray | None = None, h
                 yield from out()
         yield from out(everything=True)
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, phrase string, n long")
+    return docs.select("lang", "text").mapInArrow(run, "lang string, k int, phrase string, n long")
 
 
 def merged(runs: DataFrame) -> DataFrame:
-    """``lang, phrase, f``: the runs' counts added up. Each task gets a range of prefixes and merges the runs there.
+    """``lang, phrase, k, f``: the runs' counts added up. Each task gets a range of prefixes and merges the runs there.
 
     Ranges are cut between whole phrases, by a sample of the stored runs, so a frequent prefix is spread over tasks and a
     phrase meets one row per run, however frequent it is.
     """
     ranges = runs.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase")
-    return ranges.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    return ranges.groupBy("lang", "phrase").agg(F.first("k").alias("k"), F.sum("n").alias("f"))
 
 
 def phrase_filter(frequent: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -269,18 +334,18 @@ def frequent_phrases(
 ) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, k, f`` of every phrase of up to ``longest`` words that occurs ``least`` times, and ``lang, n`` of words.
 
-    One pass over the texts for each length. All words are counted; longer phrases only where both shorter ones that they
-    hold may be frequent, which leaves no frequent one out.
+    Three passes over the texts: all words are counted; pairs only of words that may be frequent; longer phrases only where
+    every pair in them may be. That leaves no frequent one out.
     """
-    runs = stage(phrase_runs(docs, 1, None, held, burst), "runs")
-    words = runs.groupBy("lang").agg(F.sum("n").alias("n"))
-    found = stage(merged(runs).filter(F.col("f") >= least).select("lang", "phrase", F.lit(1).alias("k"), "f"), "phrases")
-    all_found = found
-    for k in range(2, longest + 1):
-        known = phrase_filter(found, bits)
-        runs = stage(phrase_runs(docs, k, known, held, burst), "runs")
-        found = stage(merged(runs).filter(F.col("f") >= least).select("lang", "phrase", F.lit(k).alias("k"), "f"), "phrases")
-        all_found = all_found.unionByName(found)
+    passes = [(1,), (2,), tuple(range(3, longest + 1))]
+    found = words = all_found = None
+    for lengths in passes[: longest if longest < 3 else 3]:
+        known = None if found is None else phrase_filter(found, bits)
+        runs = stage(phrase_runs(docs, lengths, known, held, burst), "runs")
+        if found is None:
+            words = runs.groupBy("lang").agg(F.sum("n").alias("n"))
+        found = stage(merged(runs).filter(F.col("f") >= least), "phrases")
+        all_found = found if all_found is None else all_found.unionByName(found)
     return all_found, words
 
 

@@ -64,43 +64,51 @@ def test_scores_are_exact_beyond_64_bits(spark, monkeypatch):
     assert row["score"] == 2_000_000 * (big - 7) // (2 * big + 1) and row["a"] == big - 7
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 4), st.integers(0, 4)), max_size=60), st.integers(1, 6), st.integers(0, 30))
-def test_trie_keeps_every_count(grams, burst, leave):
-    trie, want, got = phrases.Trie(burst), {}, {}
-    for i, g in enumerate(grams):
-        key = np.array(g, ">i4").tobytes()
-        trie.add(key, i)
-        want[key] = want.get(key, 0) + i
-        if i % 20 == 19:
-            for p, n in trie.spill(leave):
-                got[p] = got.get(p, 0) + n
-            assert trie.size <= leave
-    for p, n in trie.spill(0):
-        got[p] = got.get(p, 0) + n
-    assert got == want and trie.size == 0 and not trie.roots
-
-
-def test_no_task_holds_more_than_it_may(spark):
-    counter = phrases.Counter(2, None, 1000, 16)
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 4), st.integers(0, 4)), max_size=20), max_size=6), st.integers(1, 6), st.integers(0, 30))
+def test_trie_keeps_every_count(rounds, burst, leave):
+    trie, want, got = phrases.Trie(3, burst), {}, {}
+    for grams in [*rounds, []]:
+        rests = [(b << phrases.WORD) | c for _, b, c in grams]
+        for key in zip([g[0] for g in grams], rests, strict=True):
+            want[key] = want.get(key, 0) + 1
+        if grams:
+            trie.add(*phrases.folded(np.array([g[0] for g in grams]), np.array(rests, np.int64), 3))
+        assert trie.size == sum(trie.sizes.values()) == sum(len(f) for r in trie.roots.values() for _, f in r.walk())
+        for first, rest, n in zip(*map(np.ndarray.tolist, trie.spill(leave if len(grams) else 0)), strict=True):
+            got[first, rest] = got.get((first, rest), 0) + n
+        assert trie.size <= leave
+    assert got == want and not trie.roots
+
+
+def test_containers_burst_by_the_next_word():
+    trie = phrases.Trie(3, 8)
+    trie.add(np.ones(60, np.int64), np.array([(i // 10 << phrases.WORD) | i for i in range(60)], np.int64), np.ones(60, np.int64))
+    root = trie.roots[1]
+    assert root.found is None and len(root.below) == 6 and all(len(n.found) == 10 for n in root.below.values())
+
+
+def test_no_task_holds_more_than_it_may():
+    counter = phrases.Counter((2,), None, 1000, 16, at_once=101)
     rng, most, total = random.Random(1), 0, 0
     for _ in range(60):
         counter.add("en", " ".join(f"w{rng.randrange(300)}" for _ in range(101)).encode())
-        total += sum(n for _, run in counter.spilled() for _, n in run)
+        total += sum(int(n.sum()) for *_, n in counter.spilled())
         most = max(most, sum(t.size for t in counter.tries.values()))
-    total += sum(n for _, run in counter.spilled(everything=True) for _, n in run)
+    total += sum(int(n.sum()) for *_, n in counter.spilled(everything=True))
     assert most <= 1100 and total == 6000
 
 
 def test_runs_are_sorted_and_words_can_be_forgotten(monkeypatch):
     monkeypatch.setattr(phrases, "NAMES_HELD", 2000)
-    counter = phrases.Counter(1, None, 10**6, 16)
+    counter = phrases.Counter((1,), None, 10**6, 16)
     total: dict = {}
     for i in range(40):
         counter.add("en", f"x{i} y{i} common\ncommon".encode())
-        for _, run in counter.spilled(everything=i == 39):
+        for _, _, run, times in counter.spilled(everything=i == 39):
+            run = run.to_pylist()
             assert run == sorted(run)
-            for p, n in run:
+            for p, n in zip(run, times.tolist(), strict=True):
                 total[p] = total.get(p, 0) + n
     assert total["common"] == 80 and len(total) == 81
 
