@@ -175,6 +175,17 @@ BRIEF = f"""{LINES}, brief AS (
            array_to_string(lines[1:1], chr(10)) AS abstract, array_to_string(lines[2:], chr(10)) AS sections
     FROM lines)"""
 
+JOURNALS = """lines AS (
+    SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x:
+               trim(regexp_replace(x, '[\\s\\x0B\\x{a0}\\x01-\\x08\\x0E-\\x1F]+', ' ', 'g'))), lambda x: x <> '') AS l
+    FROM documents),
+journal AS (
+    SELECT doc_id AS article_id, CASE WHEN doc_id % 3 = 0 THEN '10.1/' || doc_id END AS doi,
+           CAST(greatest(0, ceil((len(l) - 2) / 2)) AS INTEGER) AS n_sec,
+           CAST(least(2, len(l)) AS INTEGER) AS n_abstract, CAST(greatest(0, len(l) - 2) AS INTEGER) AS n_sections,
+           array_to_string(l[:2], chr(10)) AS abstract, array_to_string(l[3:], chr(10)) AS sections,
+           array_to_string(list_transform(l[3:], lambda x, i: 'Part ' || CAST((i - 1) // 2 AS VARCHAR)), chr(10)) AS titles
+    FROM lines)"""
 RESOLVED = f"""{MARKUP}, {BRIEF}, joined AS (
     SELECT d.doc_id AS article_id, l.doc_id AS known, w.abstract AS w_abstract, w.sections AS w_sections,
            w.n_sections AS w_n, b.*
@@ -334,6 +345,12 @@ ORACLE = {
         WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)""",
     "full_text_gate": f"WITH {BRIEF} SELECT * FROM brief WHERE n_sections >= {fixed.MIN_FULL_TEXT_SECTIONS}",
     "drop_empty_articles": f"WITH {MARKUP} SELECT * FROM web",
+    "journal_articles": f"WITH {JOURNALS} SELECT article_id, doi, n_sec, n_abstract, n_sections, abstract, sections, titles FROM journal",
+    "resolve_journals": f"""WITH {MARKUP}, {JOURNALS}, tagged AS (
+        SELECT j.article_id, j.n_abstract, j.n_sections, w.n_sections AS w_n,
+               CASE WHEN n_sec >= 2 THEN 'PMC' WHEN doi IS NOT NULL AND w.n_sections > 0 THEN 'PUBMED | PDF' ELSE 'PUBMED' END AS format
+        FROM journal j LEFT JOIN web w USING (article_id) WHERE j.n_abstract > 0)
+    SELECT article_id, format, n_abstract, CAST(CASE WHEN format = 'PUBMED | PDF' THEN w_n ELSE n_sections END AS INTEGER) AS n_sections FROM tagged""",
     "resolve_articles": f"""WITH {RESOLVED}
         SELECT article_id, format,
                CASE WHEN format = '{fixed.FORMAT_FULL_TEXT}' THEN 1 ELSE n_abstract END AS n_abstract,

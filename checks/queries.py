@@ -18,7 +18,7 @@ from litscreen.operators.resolve import resolve_articles as resolve
 from litscreen.operators.search import search_corpus as search
 from litscreen.plans import screening
 from litscreen.sources import articles as art
-from litscreen.sources import lookups, markup
+from litscreen.sources import journals, lookups, markup
 from litscreen.spec import InputItem, InputParameter, keyword_groups
 from litscreen.streaming import screening as streams
 
@@ -221,6 +221,43 @@ def resolve_articles(spark, sf):
     return flat(resolve(ids, web, documents(spark, sf, doi=True), web), "format")
 
 
+def journal_xml(spark, sf):
+    """Documents written as journal articles: two abstract paragraphs, then sections of two paragraphs, every second one
+    inside the one before; every third has a DOI."""
+    clean = F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, shared.SPACES, " ")))
+    lines = F.transform(F.filter(clean, lambda x: x != ""), lambda x: F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")))
+    docs = spread_small_scan(table(spark, sf, "documents").select("doc_id", F.coalesce(lines, F.array()).alias("lines")))
+    n = F.ceil((F.size("lines") - 2) / 2).cast("int")
+
+    def block(values):
+        return F.concat(F.array_join(F.transform(values, lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "\n"))
+
+    def section(j):
+        inside = F.concat(F.lit("<title>Part <b>"), j.cast("string"), F.lit("</b></title>"), block(F.slice("lines", 3 + 2 * j, 2)))
+        close = F.when(j % 2 == 1, "</sec></sec>").when(j == n - 1, "</sec>").otherwise("")
+        return F.concat(F.lit('<sec id="s">'), inside, close)
+
+    sections = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), section), "")).otherwise("")
+    doi = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('<article-id pub-id-type="doi">10.1/'), "doc_id", F.lit("</article-id>"))).otherwise("")
+    xml = F.concat(
+        F.lit('<?xml version="1.0"?><article article-type="research"><front><article-meta><article-id pub-id-type="pmid">1</article-id>'), doi,
+        F.lit("<abstract>"), block(F.slice("lines", 1, 2)), F.lit("</abstract></article-meta></front><body>"), sections, F.lit("</body></article>"),
+    )
+    return docs.select(F.col("doc_id").alias("article_id"), xml.alias("xml"))
+
+
+def journal_articles(spark, sf):
+    read = journals.articles_from_journals(journal_xml(spark, sf)).withColumn("titles", F.array_join(F.transform("sections", lambda s: s["title"]), "\n"))
+    return flat(read, "doi", "n_sec", "titles")
+
+
+def resolve_journals(spark, sf):
+    """Journal XML to articles, through the gate, to the best text of each: all three formats."""
+    read = stage(journals.articles_from_journals(journal_xml(spark, sf)), "journals")
+    web = stage(markup.articles_from_markup(pages(spark, sf)), "web")
+    return flat(resolve(read.select("article_id"), read, read, web), "format").drop("abstract", "sections")
+
+
 def review_from_sources(spark, sf):
     """Two one-word questions, from search over resolution to the result table."""
     items = [InputItem(word) for word in shared.REVIEW_WORDS]
@@ -578,7 +615,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         read_articles, sections_from_markup, search_corpus, search_corpus_grid, map_external_ids, explode_locations, first_valid_candidate,
-        pending_fetch, full_text_gate, drop_empty_articles, resolve_articles, review_from_sources,
+        pending_fetch, full_text_gate, drop_empty_articles, resolve_articles, journal_articles, resolve_journals, review_from_sources,
         parse_aliases, input_grid, input_grid_sparse, build_search_query, search_terms, format_question, screening_pairs,
         explode_sections, tokenize, remove_stopwords, stem_tokens, section_term_stats, bm25_scores, top_sections,
         top_sections_stemmed, label_sections,

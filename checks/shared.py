@@ -93,3 +93,6 @@ def item_review(features=ITEM_FEATURES, examples=()) -> ReviewSpec:
     return ReviewSpec(
         question="{item}", goal="to sort texts", inputs=[InputParameter("item", [], 20)], features=features, examples=examples
     )
+
+# White space of a text that becomes one space, and characters that XML can't hold.
+SPACES = "[\\s\u000b\u00a0\u0001-\u0008\u000e-\u001f]+"

@@ -42,8 +42,12 @@ def read_articles(
 
 
 def full_text_gate(articles: DataFrame, min_sections: int = fixed.MIN_FULL_TEXT_SECTIONS) -> DataFrame:
-    """Keep full texts that have an abstract and enough sections."""
-    return articles.filter((F.size("abstract") > 0) & (F.size("sections") > 0) & (F.size("sections") >= min_sections))
+    """Keep full texts that have an abstract and enough sections.
+
+    Where the source counts its sections (``n_sec``, as journals do), that count decides; else every paragraph is a section.
+    """
+    enough = F.col("n_sec") if "n_sec" in articles.columns else F.size("sections")
+    return articles.filter((F.size("abstract") > 0) & (F.size("sections") > 0) & (enough >= min_sections))
 
 
 def drop_empty_articles(articles: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-from litscreen.sources import articles, lookups, markup
+from litscreen.sources import articles, journals, lookups, markup
 
 PAGE = """<!DOCTYPE html><html><head><title>Not this</title><script>var p = "</p><p>no</p>";</script></head><body>
 <nav><p>menu</p></nav><p class="lead">Before &amp;lt; any<br>heading<!-- <p>hidden</p> -->
@@ -49,3 +49,46 @@ def test_first_candidate_must_be_larger_than_the_minimum(spark):
         [(1, 2, 10_001), (1, 0, 10_000), (1, 1, 20_000), (2, 0, 3)], "article_id long, pos int, size int"
     )
     assert [tuple(r) for r in lookups.first_valid_candidate(df).collect()] == [(1, 1, 20_000)]
+
+
+JOURNAL = """<?xml version="1.0"?><!DOCTYPE article><article xmlns:xlink="x"><front><journal-meta><title>No</title></journal-meta><article-meta>
+<article-id pub-id-type="pmid">7</article-id><article-id pub-id-type="doi"> 10.1/a&amp;b </article-id>
+<abstract><sec><title>Aim</title><p>First <italic>one</italic> &lt; two</p></sec><sec><title>End</title><p>Second &amp;lt; x</p></sec></abstract>
+</article-meta></front><body><p>Loose</p><sec id="s1"><title>Intro <bold>b</bold></title><p>p1 <xref ref-type="bibr">[1]</xref> tail</p>
+<fig><caption><p>not</p></caption></fig><sec><title>Sub</title><p>p2</p><sec><p>p3<list><list-item><p>li</p></list-item></list>after</p></sec></sec>
+</sec><sec sec-type="x"><title>Last</title><p/><p>&#945; &alpha;</p></sec></body><sub-article><body><sec><p>reply</p></sec></body></sub-article></article>"""
+
+
+def journal_rows(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "article_id long, xml string").selectExpr("*", "'old' AS doi", "'old' AS sections", "1 AS x")
+    return journals.articles_from_journals(df)
+
+
+def test_journal(spark):
+    row = journal_rows(spark, [JOURNAL]).first()
+    assert (row["doi"], row["abstract"], row["n_sec"]) == ("10.1/a&b", ["First one < two", "Second &lt; x"], 4)
+    assert [tuple(s) for s in row["sections"]] == [
+        ("", "Loose"), ("Intro b", "p1 [1] tail"), ("Sub", "p2"), ("", "p3"), ("", "li after"), ("Last", "\u03b1 \u03b1")
+    ]
+
+
+def test_journals_that_are_no_journals(spark):
+    texts = [None, "", "plain", "<article><body><sec><p>a<</sec>", "<article><body></body><abstract></abstract></article>", "<body><p>a\x00\x01b \ue000 &</p></body>"]
+    got = [(r["doi"], r["abstract"], [tuple(s) for s in r["sections"]], r["n_sec"]) for r in journal_rows(spark, texts).orderBy("article_id").collect()]
+    assert got[:5] == [(None, [], [], 0)] * 5 and got[5] == (None, [], [("", "a b &")], 0)
+    assert journal_rows(spark, ["x"]).limit(0).count() == 0
+
+
+def test_sections_nested_to_any_depth(spark):
+    deep = "".join(f"<sec><title>t{i}</title><p>{'w ' * 2000}{i}</p>" for i in range(40)) + "</sec>" * 40
+    row = journal_rows(spark, [f"<article><body>{deep}</body></article>"]).first()
+    assert row["n_sec"] == 40 and [s["title"] for s in row["sections"]] == [f"t{i}" for i in range(40)]
+    assert all(s["text"] == "w " * 2000 + str(i) for i, s in enumerate(row["sections"]))
+
+
+def test_gate_counts_sections_of_journals(spark):
+    one = "<article><abstract><p>x</p></abstract><body><sec><p>a</p><p>b</p><p>c</p></sec></body></article>"
+    two = one.replace("<p>b</p>", "<sec><p>b</p></sec>")
+    assert [r["article_id"] for r in articles.full_text_gate(journal_rows(spark, [one, two])).collect()] == [1]
+    plan = journal_rows(spark, [one])._jdf.queryExecution().toString()
+    assert "from_xml" in plan and "Python" not in plan
