@@ -22,8 +22,8 @@ from litscreen.llm.common import bounded, keyed_text, ship_package
 ORDER = 2
 ROUNDS = 15  # of expectation maximisation
 LEVELS = 24  # context frequencies fall into classes by powers of two: unseen, 1, 2-3, 4-7, ...
-CHUNK_BYTES = 4 << 20  # of text that a task counts at a time
-PART_BYTES = 12 << 20  # of text whose n-grams one task adds up
+CHUNK_BYTES = 2 << 20  # of text that a task counts at a time
+PART_BYTES = 6 << 20  # of text whose n-grams one task adds up
 COUNTED, DELETED, HELD_OUT = 0, 1, 2  # the documents of a chunk are of one kind
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
