@@ -314,6 +314,8 @@ ORACLE = {
     "read_articles": f"WITH {BRIEF} SELECT * FROM brief",
     "sections_from_markup": f"WITH {MARKUP} SELECT page_id, section_no, title, text FROM paragraph",
     "search_corpus": f"WITH {SECTIONS}, {HITS} SELECT * FROM hits",
+    "search_index": f"WITH {SECTIONS}, {HITS} SELECT * FROM hits",
+    "stream_search": f"WITH {SECTIONS}, {HITS} SELECT * FROM hits",
     "search_corpus_grid": f"""WITH {SECTIONS}, {GRID}, grid_terms AS (
             SELECT question_id, 0 AS group_no, unnest(list_concat([nation], nation_search)) AS term FROM grid
             UNION ALL SELECT question_id, 1, brand FROM grid UNION ALL SELECT question_id, 1, 'that' FROM grid

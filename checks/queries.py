@@ -13,7 +13,7 @@ from checks import shared
 from litscreen.functions import fixed
 from litscreen.functions.scale import held, spread_small_scan, stage, stage_path
 from litscreen.functions.text import search_words
-from litscreen.operators import extraction, planning, prompts, ranking, results, summary
+from litscreen.operators import extraction, index, planning, prompts, ranking, results, summary
 from litscreen.operators.resolve import resolve_articles as resolve
 from litscreen.operators.search import search_corpus as search
 from litscreen.plans import screening
@@ -21,6 +21,7 @@ from litscreen.sources import articles as art
 from litscreen.sources import journals, lookups, markup
 from litscreen.spec import InputItem, InputParameter, keyword_groups
 from litscreen.streaming import screening as streams
+from litscreen.streaming import search as searched
 
 K = fixed.TOP_SECTIONS_PER_ARTICLE
 
@@ -156,6 +157,15 @@ def search_corpus(spark, sf):
     return hits(spark, sf)
 
 
+def search_index(spark, sf):
+    """The corpus goes into the index in two additions; a share of it arrives twice and replaces what was there."""
+    docs, path = documents(spark, sf), stage_path(spark, "index")
+    late = F.col("article_id") % 3 == 0
+    index.add_to_index(docs.filter(~late | (F.col("article_id") % 2 == 0)), path, buckets=16)
+    index.add_to_index(docs.filter(late), path)
+    return index.search_index(spark, path, question_search(spark, sf))
+
+
 def search_corpus_grid(spark, sf):
     """Every combination of input values, with common words in every question and keywords that all of them share."""
     grid = planning.input_grid(inputs(spark, sf), shared.INPUTS)
@@ -595,6 +605,14 @@ def stream_articles(spark, sf):
     return flat(spark.read.schema(art.ARTICLES).parquet(out))
 
 
+def stream_search(spark, sf):
+    docs = documents(spark, sf)
+    stream = streams.stream_articles(spark, _landed(docs), docs.schema, max_files_per_trigger=1)
+    path = stage_path(spark, "stream-hits")
+    searched.stream_search(stream, stage(question_search(spark, sf), "terms"), path, stage_path(spark, "stream-state")).awaitTermination()
+    return searched.read_hits(spark, path)
+
+
 def stream_screen(spark, sf):
     spec, name = shared.item_review(), f"review_{uuid.uuid4().hex}"
     results.create_result_table(spark, name, spec, buckets=8, location=stage_path(spark, "result-table"))
@@ -614,7 +632,7 @@ def stream_screen(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        read_articles, sections_from_markup, search_corpus, search_corpus_grid, map_external_ids, explode_locations, first_valid_candidate,
+        read_articles, sections_from_markup, search_corpus, search_corpus_grid, search_index, map_external_ids, explode_locations, first_valid_candidate,
         pending_fetch, full_text_gate, drop_empty_articles, resolve_articles, journal_articles, resolve_journals, review_from_sources,
         parse_aliases, input_grid, input_grid_sparse, build_search_query, search_terms, format_question, screening_pairs,
         explode_sections, tokenize, remove_stopwords, stem_tokens, section_term_stats, bm25_scores, top_sections,
@@ -623,6 +641,6 @@ QUERIES = {
         expand_allowed_values, cost_summary, cost_summary_small, run_summary,
         project_columns, serialise_record, find_existing, pending_extractions, pending_extractions_overwrite,
         assign_record_ids, upsert_results, upsert_results_overwrite, result_table, reset_result_table, pending_extractions_stored,
-        stream_articles, stream_screen,
+        stream_articles, stream_screen, stream_search,
     )
 }

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,17 +49,20 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/litscreen-stage/{name}-{uuid.uuid4().hex}"
 
 
-_SCOPES: list[list[str]] = []
+# Of the run that is going on in this thread: a stream beside it has its own.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("staged tables", default=None)
 
 
 @contextmanager
 def stages_dropped(spark: SparkSession) -> Iterator[None]:
     """Delete every table staged inside, at the end. Nothing that reads them may be used after that."""
-    _SCOPES.append([])
+    paths: list[str] = []
+    before = _SCOPE.set(paths)
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        _SCOPE.reset(before)
+        for path in paths:
             delete_folder(spark, path)
 
 
@@ -77,6 +81,12 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(where)
 
 
+def folders_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly under ``path``, if it is there."""
+    system, where = _folder(spark, path)
+    return [f.getPath().getName() for f in system.listStatus(where) if f.isDirectory()] if system.exists(where) else []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -84,7 +94,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     planner the true size. Used for results far smaller than the corpus.
     """
     path = stage_path(df.sparkSession, name)
-    for scope in _SCOPES[-1:]:
+    scope = _SCOPE.get()
+    if scope is not None:
         scope.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -48,5 +48,10 @@ def section_texts(abstract: Column, sections: Column) -> Column:
     return F.concat(abstract, F.transform(sections, lambda s: s["text"]))
 
 
+def paragraph_words(abstract: Column, sections: Column) -> Column:
+    """The search words of each paragraph; a null one has none."""
+    return F.transform(section_texts(abstract, sections), lambda t: search_words(F.coalesce(t, F.lit(""))))
+
+
 def blank(text: Column) -> Column:
     return F.coalesce(F.trim(text), F.lit("")) == ""

@@ -19,6 +19,7 @@ from litscreen.spec import ReviewSpec
 BUCKETS = 256
 BUCKET = "key_bucket"
 _BUCKETS_PROPERTY = "litscreen.buckets"
+_NEXT_ID_PROPERTY = "litscreen.next_id"
 
 
 # -- columns ---------------------------------------------------------------------------------------------------------
@@ -78,13 +79,22 @@ def pending_extractions(
     return pairs.join(_stored_for(pairs, results.select(*keys), keys).distinct(), list(keys), "left_anti")
 
 
-def assign_record_ids(new_rows: DataFrame, results: DataFrame, order_by: Sequence[str], id_col: str = "id") -> DataFrame:
+def _largest_id(results: DataFrame, id_col: str = "id") -> int:
+    return results.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).first()[0]
+
+
+def assign_record_ids(
+    new_rows: DataFrame, results: DataFrame, order_by: Sequence[str], id_col: str = "id", start: int | None = None
+) -> DataFrame:
     """Number new rows upwards from the largest stored id, in the order of ``order_by``, without gaps.
 
+    With ``start``, the last id that is taken, the stored rows aren't read.
+
     Rows are range-partitioned and sorted, and their place is stored before it is used: an id is the number of rows in
     the partitions before plus the place within its own. Only one count per partition is ever brought together.
     """
-    start = results.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).first()[0]
+    if start is None:
+        start = _largest_id(results, id_col)
     ordered = new_rows.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     placed = stage(ordered.withColumn("__place", F.monotonically_increasing_id()), "record-ids")
     part = F.shiftright("__place", 33)
@@ -147,12 +157,14 @@ def create_result_table(
 ) -> None:
     """Create the table if it is not there yet. Rows that lie at ``location`` already belong to it."""
     where = f" LOCATION '{location}'" if location else ""
+    attached = bool(location) and folder_exists(spark, location)
+    mark = "" if attached else f", '{_NEXT_ID_PROPERTY}' = '1'"
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in result_schema(spec))
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {table} ({columns}, {BUCKET} int) USING parquet PARTITIONED BY ({BUCKET}) "
-        f"TBLPROPERTIES ('{_BUCKETS_PROPERTY}' = '{buckets}'){where}"
+        f"TBLPROPERTIES ('{_BUCKETS_PROPERTY}' = '{buckets}'{mark}){where}"
     )
-    if location and folder_exists(spark, location):
+    if attached:
         spark.sql(f"MSCK REPAIR TABLE {table}")
 
 
@@ -172,8 +184,24 @@ def read_results(spark: SparkSession, table: str) -> DataFrame:
     return spark.table(table).drop(BUCKET)
 
 
+def _properties(spark: SparkSession, table: str) -> dict[str, str]:
+    return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+
+
 def _n_buckets(spark: SparkSession, table: str) -> int:
-    return int(spark.sql(f"SHOW TBLPROPERTIES {table} ('{_BUCKETS_PROPERTY}')").first()["value"])
+    return int(_properties(spark, table)[_BUCKETS_PROPERTY])
+
+
+def claim_ids(spark: SparkSession, table: str, n: int) -> int:
+    """Take the next ``n`` ids and return the first of them.
+
+    The table's mark is raised before any row is written, so a write that fails leaves a gap and never an id that is given
+    twice. Only a table that was attached with its rows has no mark yet: then, once, the largest id is looked up.
+    """
+    mark = _properties(spark, table).get(_NEXT_ID_PROPERTY)
+    first = int(mark) if mark else _largest_id(spark.table(table)) + 1
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{_NEXT_ID_PROPERTY}' = '{first + n}')")
+    return first
 
 
 def results_near(spark: SparkSession, table: str, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -202,7 +230,10 @@ def write_results(
     found = stage(find_existing(rows, nearby, keys), "found")
     known = found.filter(F.col("id").isNotNull())
     n_new, n_known = found.agg(F.count_if(F.col("id").isNull()), F.count("id")).first()
-    fresh = assign_record_ids(found.filter(F.col("id").isNull()).drop("id"), stored, keys) if n_new else found.limit(0)
+    fresh = found.limit(0)
+    if n_new:
+        taken = claim_ids(spark, table, n_new) - 1
+        fresh = assign_record_ids(found.filter(F.col("id").isNull()).drop("id"), stored, keys, start=taken)
     columns = stored.columns
 
     if overwrite and n_known:

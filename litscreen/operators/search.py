@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from litscreen.functions import fixed
 from litscreen.functions.scale import broadcast_if_small, stage
-from litscreen.functions.text import search_words, section_texts, word_runs
+from litscreen.functions.text import paragraph_words, word_runs
 from litscreen.operators.planning import normalise_terms
 
 
@@ -41,7 +41,7 @@ def matched_groups(articles: DataFrame, groups: DataFrame) -> DataFrame:
     distinct inside the article's row; a checked broadcast then keeps those that some group asks for.
     """
     lengths = sorted(r["n_words"] for r in groups.select("n_words").distinct().collect())
-    paragraphs = F.transform(section_texts(F.col("abstract"), F.col("sections")), search_words)
+    paragraphs = paragraph_words(F.col("abstract"), F.col("sections"))
     runs = [F.flatten(F.transform("paragraphs", _runs(n))) for n in lengths]
     words = F.array_distinct(F.concat(F.array().cast("array<string>"), *runs))
     rows = articles.select("article_id", paragraphs.alias("paragraphs")).select("article_id", F.explode(words).alias("term"))
@@ -68,7 +68,11 @@ def search_corpus(
     sends N rows per task.
     """
     groups, needs = term_groups(terms)
-    matched = stage(matched_groups(articles, groups), "matched-groups")
+    return best_articles(stage(matched_groups(articles, groups), "matched-groups"), needs, top_n)
+
+
+def best_articles(matched: DataFrame, needs: DataFrame, top_n: int) -> DataFrame:
+    """Best ``top_n`` articles per question, from the groups that articles match and those that questions need."""
     each = matched.select("article_id", "matched", F.explode(F.map_keys("matched")).alias("group_id"))
     spread = each.groupBy("group_id").agg(F.count(F.lit(1)).alias("articles"))
     asked = needs.select("question_id", "needs", F.explode("needs.group_id").alias("group_id")).join(spread, "group_id", "left")

@@ -106,3 +106,29 @@ def test_only_buckets_of_the_pairs_are_read(spark):
     results.write_results(spark, "near", rows(spark, *[("a", str(i), i) for i in range(200)]), SPEC, "seq")
     near = results.results_near(spark, "near", rows(spark, ("a", "7", 7)), KEYS)
     assert "7" in [r["pubmed_id"] for r in near.collect()] and near.count() < 30
+
+
+def test_ids_come_from_the_mark_and_are_never_given_twice(spark, monkeypatch):
+    results.reset_result_table(spark, "marked", SPEC, 4)
+    results.write_results(spark, "marked", rows(spark, ("a", "1", 1), ("b", "1", 2)), SPEC, "seq")
+
+    def unread(*_):
+        raise AssertionError("the stored ids were looked up")
+
+    with monkeypatch.context() as m:
+        m.setattr(results, "_largest_id", unread)
+        results.write_results(spark, "marked", rows(spark, ("c", "1", 3)), SPEC, "seq")
+        # A write that fails after it took its ids: they are lost, not given again.
+        assert results.claim_ids(spark, "marked", 5) == 4
+        results.write_results(spark, "marked", rows(spark, ("d", "1", 4), ("a", "1", 9)), SPEC, "seq")
+    assert content(spark, "marked") == [(1, "a", "1", 1), (2, "b", "1", 2), (3, "c", "1", 3), (9, "d", "1", 4)]
+
+
+def test_a_table_attached_with_its_rows_goes_on_from_the_largest_id(spark):
+    where = scale.stage_path(spark, "attached")
+    results.create_result_table(spark, "attached", SPEC, 4, where)
+    results.write_results(spark, "attached", rows(spark, ("a", "1", 1), ("b", "1", 2)), SPEC, "seq")
+    spark.sql("DROP TABLE attached")
+    results.create_result_table(spark, "attached", SPEC, 4, where)
+    results.write_results(spark, "attached", rows(spark, ("c", "1", 3)), SPEC, "seq")
+    assert content(spark, "attached") == [(1, "a", "1", 1), (2, "b", "1", 2), (3, "c", "1", 3)]
