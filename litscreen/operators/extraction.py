@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -25,8 +26,14 @@ STORED = T.StructType([
     T.StructField("prompt_hash", T.StringType()),
     T.StructField("response", T.StringType()),
     T.StructField("cost", T.DoubleType()),
+    T.StructField("error", T.StringType()),  # of a call that failed; such a row is not an answer
+    T.StructField("run", T.StringType()),
 ])
 
+# A task moves its files into place when it finishes, not when the whole job does, so what it paid for outlives a job
+# that fails later. A task that is lost while it moves them may leave rows twice; a prompt's rows are folded when read.
+KEPT_PER_TASK = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
 
 def run_extractor(
     prompts: DataFrame,
@@ -82,22 +89,29 @@ def run_extractor_stored(
     """As ``run_extractor``, but answers are kept under the folder ``store`` by the hash of their prompt.
 
     A prompt that has an answer there, from an earlier run or a batch that is replayed, makes no call, and equal prompts
-    make one. Failed calls are not kept, so the next run tries them again. ``cost`` is what the answer cost when it was
-    given. The store itself is only scanned: what is asked for is cut out of it before anything is joined.
+    make one. The answers of each task are kept as soon as it finishes, also if the job fails after that: the next run only
+    calls for the rest. Failed calls give no answer, so the next run tries them again. ``cost`` is what the answer cost when
+    it was given. The store itself is only scanned: what is asked for is cut out of it before anything is joined.
     """
-    spark = prompts.sparkSession
     asked = prompts.select(*keys, "prompt", F.sha2("prompt", 256).alias("prompt_hash"))
-    kept = spark.createDataFrame([], STORED)
-    if folder_exists(spark, store):
-        wanted = broadcast_if_small(asked.select("prompt_hash").distinct())
-        stored = spark.read.schema(STORED).parquet(store).join(wanted, "prompt_hash", "left_semi")
-        once_each = stored.groupBy("prompt_hash").agg(F.min(F.struct("response", "cost")).alias("kept"))
-        kept = stage(once_each.select("prompt_hash", "kept.*"), "kept-answers")
+    wanted = broadcast_if_small(stage(asked.select("prompt_hash").distinct(), "asked-hashes"))
+    kept = _answers(wanted, store)
     fresh = asked.join(kept.select("prompt_hash"), "prompt_hash", "left_anti").dropDuplicates(["prompt_hash"])
-    given = stage(run_extractor(fresh, fn, ["prompt_hash"], concurrency, attempts, wait), "given-answers")
-    given.filter(F.col("error").isNull()).drop("error").write.mode("append").parquet(store)
-    answers = given.unionByName(kept.withColumn("error", F.lit(None).cast("string")))
-    return asked.drop("prompt").join(answers, "prompt_hash").select(*keys, "response", "cost", "error")
+    run = uuid.uuid4().hex
+    given = run_extractor(fresh, fn, ["prompt_hash"], concurrency, attempts, wait).withColumn("run", F.lit(run))
+    given.write.mode("append").options(**KEPT_PER_TASK).parquet(store)
+    return asked.drop("prompt").join(_answers(wanted, store, run), "prompt_hash").select(*keys, "response", "cost", "error")
+
+
+def _answers(wanted: DataFrame, store: str, run: str | None = None) -> DataFrame:
+    """``(prompt_hash, response, cost, error)``: the stored answer to each wanted prompt; else the failure in ``run``."""
+    spark = wanted.sparkSession
+    if not folder_exists(spark, store):
+        return spark.createDataFrame([], STORED).drop("run")
+    rows = spark.read.schema(STORED).parquet(store).filter(F.col("error").isNull() | F.col("run").eqNullSafe(run))
+    answer = F.struct(F.col("error").isNotNull().alias("failed"), "response", "cost", "error")
+    once_each = rows.join(wanted, "prompt_hash", "left_semi").groupBy("prompt_hash").agg(F.min(answer).alias("a"))
+    return stage(once_each.select("prompt_hash", "a.response", "a.cost", "a.error"), "answers")
 
 
 def _checked(feature: OutputFeature, value: Column) -> Column:

@@ -133,3 +133,56 @@ def test_answers_as_models_write_them(spark, response, dose):
     df = spark.createDataFrame([(response,)], "response string")
     row = extraction.parse_responses(df, [OutputFeature("dose")]).first()
     assert (row["reject_reason"], row["dose"]) == (None, dose)
+
+
+def test_answers_of_finished_tasks_outlive_a_job_that_fails(spark, tmp_path):
+    log, store = str(tmp_path / "calls"), str(tmp_path / "store")
+    asked = spark.range(40).selectExpr("id AS k", "concat('prompt ', id) AS prompt")
+
+    def calls():
+        with open(log) as lines:
+            return sorted(lines.read().split())
+
+    def answer(prompt):
+        with open(log, "a") as lines:
+            lines.write(prompt.split()[1] + "\n")
+        return prompt.upper(), 1.0
+
+    def dies(prompt):
+        if prompt == "prompt 7":
+            import time
+
+            time.sleep(12)  # the other tasks finish first
+            raise SystemExit("the worker is gone")
+        return answer(prompt)
+
+    with pytest.raises(Exception, match="worker|aborted|SystemExit"):
+        extraction.run_extractor_stored(asked, dies, ["k"], store, concurrency=4, attempts=1).collect()
+    kept = {r["prompt_hash"] for r in spark.read.schema(extraction.STORED).parquet(store).collect()}
+    first = calls()
+    assert 20 <= len(kept) < 40 and len(first) >= len(kept)
+    os.remove(log)
+    rows = extraction.run_extractor_stored(asked, answer, ["k"], store, concurrency=4, attempts=1).collect()
+    assert sorted(r["response"] for r in rows) == sorted(f"PROMPT {i}" for i in range(40))
+    assert all(r["cost"] == 1.0 and r["error"] is None for r in rows)
+    again = calls()
+    assert len(again) == 40 - len(kept) and "7" in again and len(set(again)) == len(again)
+
+
+def test_rows_stored_twice_are_one_answer_and_failures_are_tried_again(spark, tmp_path):
+    store = str(tmp_path / "store")
+    asked = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None)], "k int, prompt string")
+
+    def picky(prompt):
+        if prompt == "b":
+            raise ValueError("busy")
+        return f"<{prompt}>", 0.5
+
+    def got(fn):
+        rows = extraction.run_extractor_stored(asked, fn, ["k"], store, 2, 1, (0.0, 0.0)).collect()
+        return sorted((r["k"], r["response"], r["error"]) for r in rows)
+
+    assert got(picky) == [(1, "<a>", None), (2, None, "ValueError: busy"), (3, "<a>", None)]
+    spark.read.parquet(store).write.mode("append").parquet(store)
+    assert got(picky) == [(1, "<a>", None), (2, None, "ValueError: busy"), (3, "<a>", None)]
+    assert got(lambda p: (f"[{p}]", 0.5)) == [(1, "<a>", None), (2, "[b]", None), (3, "<a>", None)]
