@@ -6,13 +6,13 @@ do not depend on the question, so they are computed once per article however man
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litscreen.functions import fixed
-from litscreen.functions.scale import held, once
+from litscreen.functions.scale import held, once, stage
 from litscreen.functions.stemming import english_stem
 from litscreen.functions.text import ranking_tokens, section_texts, without_stop_words, words
 
@@ -58,30 +58,61 @@ def question_terms(questions: DataFrame, stem: bool = False) -> DataFrame:
     return tokens.groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def _occurrences(articles: DataFrame, min_sections: int) -> DataFrame:
-    """One row per word occurrence, with the article's statistics, which are worked out inside its row."""
-    tokens = once(F.transform(_texts(), ranking_tokens))
-    count = section_count(articles)
+def _runs(items: Column, key: Callable[[Column], Column], make: Callable[[Column, Column], Column]) -> Column:
+    """``make(first position, length)`` of each run of equal keys in a sorted array."""
+    new = F.transform(items, lambda x, i: F.when((i == 0) | (key(x) != key(F.get(items, i - 1))), i))
+    starts = F.filter(new, lambda i: i.isNotNull())
+
+    def lengths(all_starts: Column) -> Column:
+        return F.transform(all_starts, lambda at, j: make(at, F.coalesce(F.get(all_starts, j + 1), F.size(items)) - at))
+
+    # The one-element array names the positions, so that they are worked out once.
+    return F.transform(F.array(starts), lengths)[0]
+
+
+def _tokens(articles: DataFrame, min_sections: int) -> DataFrame:
+    """``(article_id, n_sections, avgdl, tokens)``: the words of each section. A null paragraph is a section without words."""
+    tokens = F.transform(_texts(), lambda t: ranking_tokens(F.coalesce(t, F.lit(""))))
     total = F.aggregate("tokens", F.lit(0).cast("long"), lambda n, t: n + F.size(t))
-    return (
-        articles.filter(count >= min_sections)
-        .select("article_id", count.alias("n_sections"), tokens.alias("tokens"))
-        .withColumn("avgdl", total / F.col("n_sections"))
-        .select("article_id", "n_sections", "avgdl", F.posexplode("tokens").alias("section_no", "words"))
-        .withColumn("dl", F.size("words"))
-        .select("article_id", "n_sections", "avgdl", "section_no", "dl", F.explode("words").alias("term"))
-    )
+    count = section_count(articles)
+    rows = articles.filter(count >= min_sections).select("article_id", count.alias("n_sections"), once(tokens).alias("tokens"))
+    return rows.withColumn("avgdl", total / F.col("n_sections"))
 
 
-def question_word_forms(articles: DataFrame, terms: DataFrame, min_sections: int = 1) -> DataFrame:
-    """``(term, stem)``: the corpus words whose stem a question uses.
+def word_counts(articles: DataFrame, min_sections: int = 1) -> DataFrame:
+    """``(article_id, n_sections, avgdl, term, places)``: a row per word of an article, with ``(section_no, tf, dl)`` of
+    each section that has it.
+
+    Words are sorted and counted inside the article's row, so no occurrence becomes a row and nothing is exchanged.
+    """
+
+    def counted(tokens: Column, section_no: Column) -> Column:
+        def place(at: Column, length: Column) -> Column:
+            tf, dl = length.cast("long").alias("tf"), F.size(tokens).alias("dl")
+            return F.struct(F.get(tokens, at).alias("term"), section_no.alias("section_no"), tf, dl)
+
+        return _runs(tokens, lambda t: t, place)
+
+    def with_places(at: Column, length: Column) -> Column:
+        places = F.transform(
+            F.slice("entries", at + 1, length), lambda e: F.struct(*[e[c].alias(c) for c in ("section_no", "tf", "dl")])
+        )
+        return F.struct(F.get("entries", at)["term"].alias("term"), places.alias("places"))
+
+    ordered = _tokens(articles, min_sections).withColumn("tokens", once(F.transform("tokens", lambda t: F.sort_array(t))))
+    entries = F.sort_array(F.flatten(F.transform("tokens", counted)))
+    rows = ordered.select("article_id", "n_sections", "avgdl", once(entries).alias("entries"))
+    return rows.select("article_id", "n_sections", "avgdl", F.inline(_runs(F.col("entries"), lambda e: e["term"], with_places)))
+
+
+def question_word_forms(counts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(term, stem)``: the words of ``word_counts`` whose stem a question uses.
 
     Only the distinct vocabulary is stemmed, and only the few forms a question needs are kept, so the join back onto the
     words is a lookup in a small table.
     """
-    vocabulary = _occurrences(articles, min_sections).select("term")
     stems = terms.select(F.col("term").alias("stem"))
-    return stem_tokens(vocabulary, "term").join(stems, "stem", "left_semi").select("term", "stem")
+    return stem_tokens(counts, "term").join(stems, "stem", "left_semi").select("term", "stem")
 
 
 def section_term_stats(
@@ -89,28 +120,46 @@ def section_term_stats(
     vocabulary: DataFrame | None = None,
     word_forms: DataFrame | None = None,
     min_sections: int = 1,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """``(article_id, section_no, term, tf, dl, avgdl, n_sections, df)``.
 
     ``vocabulary`` (column ``term``) keeps only those words, ``word_forms`` maps words to the stems that replace them;
-    both are small tables made ready with ``held``. Lengths always count every word. The one exchange, by article and
-    word, serves both counts here and the join with the question's words after. An article is one row to begin with, so
-    no group can outgrow a task.
+    both are small tables made ready with ``held``. Lengths always count every word. Without a vocabulary everything is
+    counted inside the article's row (``counts``, if that is stored already). With one, words that no question uses are gone
+    before anything is sorted or exchanged, and the exchange by article and word is the one the join with the question's
+    words needs.
     """
-    rows = _occurrences(articles, min_sections)
+    columns = ["article_id", "section_no", "term", "tf", "dl", "avgdl", "n_sections"]
     if word_forms is not None:
-        rows = rows.join(word_forms, "term").drop("term").withColumnRenamed("stem", "term")
+        rows = word_counts(articles, min_sections) if counts is None else counts
+        forms = rows.join(word_forms, "term").select(
+            "article_id", "n_sections", "avgdl", F.col("stem").alias("term"), F.inline("places")
+        )
+        wanted = (
+            forms.repartition("article_id", "term")
+            .groupBy("article_id", "term", "section_no", "dl", "avgdl", "n_sections")
+            .agg(F.sum("tf").alias("tf"))
+        )
     elif vocabulary is not None:
-        rows = rows.join(vocabulary.select("term"), "term", "left_semi")
-    counted = (
-        rows.repartition("article_id", "term")
-        .groupBy("article_id", "term", "section_no", "dl", "avgdl", "n_sections")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+        found = (
+            _tokens(articles, min_sections)
+            .select("article_id", "n_sections", "avgdl", F.posexplode("tokens").alias("section_no", "words"))
+            .withColumn("dl", F.size("words"))
+            .select("article_id", "n_sections", "avgdl", "section_no", "dl", F.explode("words").alias("term"))
+        )
+        wanted = (
+            found.join(vocabulary.select("term"), "term", "left_semi")
+            .repartition("article_id", "term")
+            .groupBy("article_id", "term", "section_no", "dl", "avgdl", "n_sections")
+            .agg(F.count(F.lit(1)).alias("tf"))
+        )
+    else:
+        rows = word_counts(articles, min_sections) if counts is None else counts
+        df = F.size("places").cast("long").alias("df")
+        return rows.select("article_id", "term", "avgdl", "n_sections", df, F.inline("places")).select(*columns, "df")
     per_term = Window.partitionBy("article_id", "term")
-    return counted.select(
-        "article_id", "section_no", "term", "tf", "dl", "avgdl", "n_sections", F.count(F.lit(1)).over(per_term).alias("df")
-    )
+    return wanted.select(*columns, F.count(F.lit(1)).over(per_term).alias("df"))
 
 
 def bm25_weight() -> Column:
@@ -209,8 +258,9 @@ def rank_sections(
     """
     terms = held(question_terms(questions, stem), "question-terms")
     if stem:
-        forms = held(question_word_forms(articles, terms, k + 1), "word-forms")
-        stats = section_term_stats(articles, word_forms=forms, min_sections=k + 1)
+        counts = stage(word_counts(articles, k + 1), "word-counts")
+        forms = held(question_word_forms(counts, terms), "word-forms")
+        stats = section_term_stats(articles, word_forms=forms, counts=counts)
     else:
         stats = section_term_stats(articles, vocabulary=terms, min_sections=k + 1)
     sizes = articles.select("article_id", section_count(articles).alias("n_sections"))

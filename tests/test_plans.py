@@ -27,6 +27,14 @@ def test_scan_reads_only_what_it_needs(spark):
     assert "PushedFilters: [IsNotNull(quality), EqualTo(quality,1)" in plan(q.pending_fetch(spark, SF))
 
 
+def test_section_statistics_need_no_exchange(spark):
+    from litscreen.operators.ranking import section_term_stats
+    from litscreen.sources.articles import read_articles
+
+    text = plan(section_term_stats(read_articles(spark, f"{SF}/documents.parquet", "doc_id", "text")))
+    assert "Exchange" not in text and "Aggregate" not in text and "Window" not in text
+
+
 def test_search_keeps_the_best_before_the_last_exchange(spark):
     text = plan(q.search_corpus(spark, SF))
     assert text.count("WindowGroupLimit") == 2

@@ -118,3 +118,32 @@ def test_labels_follow_the_rank(spark, make_articles):
     assert rows[2] == '{"section_1":"one","section_2":"two","section_3":"three"}'
     assert list(json.loads(rows[1])) == ["section_1", "section_2", "section_3"]
     assert rows[1].startswith('{"section_1":"Channel channel drug!"')
+
+
+@pytest.mark.parametrize("how", ["whole", "vocabulary", "stems"])
+def test_statistics_of_any_article(spark, make_articles, how):
+    """Null and empty paragraphs are sections without words; an article without any section has no statistics."""
+    texts = {1: (["red red blue"], [None, "", "blue green red", "green"]), 2: ([], []), 3: ([None], [None]), 4: (["red"], [])}
+    articles = make_articles(texts)
+    named = spark.createDataFrame([("red",), ("green",)], "term string")
+    if how == "whole":
+        stats = ranking.section_term_stats(articles)
+    elif how == "vocabulary":
+        stats = ranking.section_term_stats(articles, vocabulary=named)
+    else:
+        forms = spark.createDataFrame([("red", "colour"), ("blue", "colour")], "term string, stem string")
+        stats = ranking.section_term_stats(articles, word_forms=forms)
+    columns = ["article_id", "section_no", "term", "tf", "dl", "avgdl", "n_sections", "df"]
+    assert stats.columns == columns
+    rows = sorted(map(tuple, stats.collect()))
+    mean = 7 / 5
+    want = {
+        "whole": [
+            (1, 0, "blue", 1, 3, mean, 5, 2), (1, 0, "red", 2, 3, mean, 5, 2), (1, 3, "blue", 1, 3, mean, 5, 2),
+            (1, 3, "green", 1, 3, mean, 5, 2), (1, 3, "red", 1, 3, mean, 5, 2), (1, 4, "green", 1, 1, mean, 5, 2),
+            (4, 0, "red", 1, 1, 1.0, 1, 1),
+        ],
+        "stems": [(1, 0, "colour", 3, 3, mean, 5, 2), (1, 3, "colour", 2, 3, mean, 5, 2), (4, 0, "colour", 1, 1, 1.0, 1, 1)],
+    }
+    want["vocabulary"] = [r for r in want["whole"] if r[2] != "blue"]
+    assert rows == want[how]
