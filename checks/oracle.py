@@ -353,6 +353,15 @@ ORACLE = {
                CASE WHEN n_sec >= 2 THEN 'PMC' WHEN doi IS NOT NULL AND w.n_sections > 0 THEN 'PUBMED | PDF' ELSE 'PUBMED' END AS format
         FROM journal j LEFT JOIN web w USING (article_id) WHERE j.n_abstract > 0)
     SELECT article_id, format, n_abstract, CAST(CASE WHEN format = 'PUBMED | PDF' THEN w_n ELSE n_sections END AS INTEGER) AS n_sections FROM tagged""",
+    "stream_resolved": f"""WITH {MARKUP}, {BRIEF}, landed AS (
+        SELECT b.article_id, b.n_abstract, b.n_sections, w.n_sections AS w_n, b.article_id % 3 AS third,
+               b.n_sections >= {fixed.MIN_FULL_TEXT_SECTIONS} AS is_full, l.doc_id IS NOT NULL AND w.n_sections > 0 AS is_pdf
+        FROM brief b LEFT JOIN labels l ON l.doc_id = b.article_id LEFT JOIN web w ON w.article_id = b.article_id
+        WHERE b.n_abstract > 0)
+    SELECT article_id, CASE WHEN is_full AND third = 0 THEN 'PMC' WHEN is_pdf THEN 'PUBMED | PDF' ELSE 'PUBMED' END AS format,
+           n_abstract, CASE WHEN NOT (is_full AND third = 0) AND is_pdf THEN w_n ELSE n_sections END AS n_sections
+    FROM landed
+    UNION ALL SELECT article_id, 'PMC', n_abstract, n_sections FROM landed WHERE is_full AND third = 1""",
     "resolve_articles": f"""WITH {RESOLVED}
         SELECT article_id, format,
                CASE WHEN format = '{fixed.FORMAT_FULL_TEXT}' THEN 1 ELSE n_abstract END AS n_abstract,

@@ -20,6 +20,7 @@ from litscreen.plans import screening
 from litscreen.sources import articles as art
 from litscreen.sources import journals, lookups, markup
 from litscreen.spec import InputItem, InputParameter, keyword_groups
+from litscreen.streaming import resolve as arrivals
 from litscreen.streaming import screening as streams
 from litscreen.streaming import search as searched
 
@@ -629,6 +630,34 @@ def stream_screen(spark, sf):
     return results.read_results(spark, name).drop("id")
 
 
+def stream_resolved(spark, sf):
+    """Abstracts a second apart. A third of the full texts lands a day after, a third after the wait is over, a third never.
+    One last article far later ends every wait; files come in any order, so all of them are within the lateness."""
+    docs, place = documents(spark, sf, doi=True), stage_path(spark, "resolved")
+    landed = docs.withColumn("landed_at", F.timestamp_seconds(F.col("article_id")))
+    last = spark.range(1).select(
+        F.lit(-1).cast("long").alias("article_id"),
+        F.lit(None).cast("string").alias("doi"),
+        F.array(F.lit("last")).alias("abstract"),
+        F.array_repeat(F.struct(F.lit("").alias("title"), F.lit("last").alias("text")), 9).alias("sections"),
+        (F.timestamp_seconds(F.lit(0)) + F.expr("INTERVAL 40000 days")).alias("landed_at"),
+    )
+    third = F.col("article_id") % 3
+    after = F.when(third == 0, F.expr("INTERVAL 1 day")).otherwise(F.expr("INTERVAL 30 days"))
+    late = landed.filter(third != 2).withColumn("landed_at", F.col("landed_at") + after)
+    streamed = []
+    for rows in (landed, late):
+        path = _landed(rows)
+        last.select(*rows.columns).write.mode("append").parquet(path)
+        streamed.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path))
+    web = stage(markup.articles_from_markup(pages(spark, sf)), "web")
+    out = arrivals.stream_resolved(*streamed, web, wait="7 days", lateness="20000 days")
+    writer = out.writeStream.format("parquet").option("checkpointLocation", stage_path(spark, "stream-state"))
+    writer.trigger(availableNow=True).start(place).awaitTermination()
+    found = spark.read.schema(out.schema).parquet(place).filter("article_id >= 0")
+    return flat(found, "format").drop("abstract", "sections")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -641,6 +670,6 @@ QUERIES = {
         expand_allowed_values, cost_summary, cost_summary_small, run_summary,
         project_columns, serialise_record, find_existing, pending_extractions, pending_extractions_overwrite,
         assign_record_ids, upsert_results, upsert_results_overwrite, result_table, reset_result_table, pending_extractions_stored,
-        stream_articles, stream_screen, stream_search,
+        stream_articles, stream_screen, stream_search, stream_resolved,
     )
 }

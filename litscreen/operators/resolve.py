@@ -10,6 +10,24 @@ from litscreen.functions.scale import broadcast_if_small
 from litscreen.sources.articles import full_text_gate
 
 
+def best_text(joined: DataFrame) -> DataFrame:
+    """Choose per row among ``full_*``, ``brief_*`` and ``pdf_sections``, and tag the row with the choice."""
+    is_full = F.col("full_sections").isNotNull()
+    is_pdf = F.col("brief_doi").isNotNull() & F.col("pdf_sections").isNotNull()
+    return joined.select(
+        "article_id",
+        F.when(is_full, fixed.FORMAT_FULL_TEXT)
+        .when(is_pdf, fixed.FORMAT_ABSTRACT_AND_PDF)
+        .otherwise(fixed.FORMAT_ABSTRACT)
+        .alias("format"),
+        F.when(is_full, F.col("full_abstract")).otherwise(F.col("brief_abstract")).alias("abstract"),
+        F.when(is_full, F.col("full_sections"))
+        .when(is_pdf, F.col("pdf_sections"))
+        .otherwise(F.col("brief_sections"))
+        .alias("sections"),
+    )
+
+
 def resolve_articles(
     ids: DataFrame,
     full_text: DataFrame,
@@ -32,18 +50,4 @@ def resolve_articles(
     brief = landed(abstracts.filter(F.size("abstract") > 0), "brief", "doi")
     pdf = landed(pdf_text.filter((F.size("abstract") > 0) & (F.size("sections") > 0)), "pdf")
 
-    joined = full.join(brief, "article_id", "full_outer").join(pdf, "article_id", "left")
-    is_full = F.col("full_sections").isNotNull()
-    is_pdf = F.col("brief_doi").isNotNull() & F.col("pdf_sections").isNotNull()
-    return joined.select(
-        "article_id",
-        F.when(is_full, fixed.FORMAT_FULL_TEXT)
-        .when(is_pdf, fixed.FORMAT_ABSTRACT_AND_PDF)
-        .otherwise(fixed.FORMAT_ABSTRACT)
-        .alias("format"),
-        F.when(is_full, F.col("full_abstract")).otherwise(F.col("brief_abstract")).alias("abstract"),
-        F.when(is_full, F.col("full_sections"))
-        .when(is_pdf, F.col("pdf_sections"))
-        .otherwise(F.col("brief_sections"))
-        .alias("sections"),
-    )
+    return best_text(full.join(brief, "article_id", "full_outer").join(pdf, "article_id", "left"))
