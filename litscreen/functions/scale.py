@@ -87,6 +87,13 @@ def folders_in(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in system.listStatus(where) if f.isDirectory()] if system.exists(where) else []
 
 
+def file_sizes(spark: SparkSession, path: str) -> list[int]:
+    """Bytes of each data file directly under ``path``, if it is there."""
+    system, where = _folder(spark, path)
+    found = [f for f in system.listStatus(where) if f.isFile()] if system.exists(where) else []
+    return [f.getLen() for f in found if not f.getPath().getName().startswith(("_", "."))]
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from litscreen.functions import fixed
-from litscreen.functions.scale import broadcast_if_small, delete_folder, folder_exists, stage
+from litscreen.functions.scale import broadcast_if_small, delete_folder, file_sizes, folder_exists, stage
 from litscreen.spec import ReviewSpec
 
 BUCKETS = 256
 BUCKET = "key_bucket"
+
+# A bucket with more small files than this, and than files that aren't small, is written anew as a whole.
+MAX_SMALL_FILES = 8
+SMALL_FILE_BYTES = 64 * 1024 * 1024
 _BUCKETS_PROPERTY = "litscreen.buckets"
 _NEXT_ID_PROPERTY = "litscreen.next_id"
 
@@ -210,13 +214,54 @@ def results_near(spark: SparkSession, table: str, pairs: DataFrame, keys: Sequen
     return spark.table(table).filter(F.col(BUCKET).isin([r[0] for r in touched])).drop(BUCKET)
 
 
+def _location(spark: SparkSession, table: str) -> str:
+    about = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+    return about["Location"]
+
+
+def _replace_buckets(spark: SparkSession, table: str, rows: DataFrame) -> None:
+    """Put ``rows``, which hold whole buckets, in the place of those buckets. They are complete in the shared folder
+    before anything is replaced."""
+    copy = stage(rows.select(*spark.table(table).columns), "buckets")
+    previous = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        copy.hint("rebalance", BUCKET).write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", previous)
+
+
+def _is_scattered(sizes: Sequence[int], max_small: int) -> bool:
+    small = sum(size < SMALL_FILE_BYTES for size in sizes)
+    return small > max(max_small, len(sizes) - small)
+
+
+def compact_results(
+    spark: SparkSession, table: str, buckets: Sequence[int] | None = None, max_small_files: int | None = None
+) -> list[int]:
+    """Write buckets that small appends have scattered anew, and return their numbers.
+
+    ``buckets`` limits the look to some buckets. A bucket is due when it has more than ``max_small_files`` small files
+    (``MAX_SMALL_FILES`` if not given) and more of them than others: the files of a bucket stay bounded by its size, and
+    a large bucket is rewritten only after many appends. Rows and ids stay as they are.
+    """
+    limit = MAX_SMALL_FILES if max_small_files is None else max_small_files
+    place = _location(spark, table)
+    looked_at = range(_n_buckets(spark, table)) if buckets is None else buckets
+    due = [b for b in looked_at if _is_scattered(file_sizes(spark, f"{place}/{BUCKET}={b}"), limit)]
+    if due:
+        _replace_buckets(spark, table, spark.table(table).filter(F.col(BUCKET).isin(due)))
+    return due
+
+
 def write_results(
     spark: SparkSession, table: str, incoming: DataFrame, spec: ReviewSpec, order_col: str, overwrite: bool = False
 ) -> DataFrame:
     """Upsert into the stored table; returns the written rows ``(id, keys, is_new)``.
 
-    Without updates the new rows are appended. With updates every touched bucket is first written out complete in the
-    shared folder, then put in place by a dynamic partition overwrite; writing the same rows again changes nothing.
+    Without updates the new rows are appended, and a touched bucket that many small appends have scattered is compacted.
+    With updates every touched bucket is first written out complete in the shared folder, then put in place by a dynamic
+    partition overwrite; writing the same rows again changes nothing.
     """
     keys = spec.keys
     buckets = _n_buckets(spark, table)
@@ -237,15 +282,9 @@ def write_results(
     columns = stored.columns
 
     if overwrite and n_known:
-        whole = _merged(nearby, known, "id").select(*columns).unionByName(fresh.select(*columns))
-        copy = stage(whole, "buckets")
-        previous = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            copy.hint("rebalance", BUCKET).write.insertInto(table, overwrite=True)
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", previous)
+        _replace_buckets(spark, table, _merged(nearby, known, "id").select(*columns).unionByName(fresh.select(*columns)))
     elif n_new:
         fresh.select(*columns).hint("rebalance", BUCKET).write.insertInto(table)
+        compact_results(spark, table, touched)
     written = fresh.select("id", *keys, F.lit(True).alias("is_new"))
     return written.unionByName(known.select("id", *keys, F.lit(False).alias("is_new"))) if overwrite else written

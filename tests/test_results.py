@@ -132,3 +132,40 @@ def test_a_table_attached_with_its_rows_goes_on_from_the_largest_id(spark):
     results.create_result_table(spark, "attached", SPEC, 4, where)
     results.write_results(spark, "attached", rows(spark, ("c", "1", 3)), SPEC, "seq")
     assert content(spark, "attached") == [(1, "a", "1", 1), (2, "b", "1", 2), (3, "c", "1", 3)]
+
+
+def n_files(spark, table):
+    place = results._location(spark, table)
+    return [len(scale.file_sizes(spark, f"{place}/{results.BUCKET}={b}")) for b in range(results._n_buckets(spark, table))]
+
+
+def test_many_small_writes_leave_few_files(spark, monkeypatch):
+    results.reset_result_table(spark, "scattered", SPEC, 2)
+    monkeypatch.setattr(results, "MAX_SMALL_FILES", 3)
+    for i in range(12):
+        results.write_results(spark, "scattered", rows(spark, ("a", str(i), i), ("b", str(i), i)), SPEC, "seq")
+        assert max(n_files(spark, "scattered")) <= 3
+    kept = content(spark, "scattered")
+    assert sorted(r[0] for r in kept) == list(range(1, 25))
+    assert sorted(r[1:] for r in kept) == sorted((d, str(i), i) for i in range(12) for d in "ab")
+    assert results.compact_results(spark, "scattered") == []
+    held = [b for b, n in enumerate(n_files(spark, "scattered")) if n > 1]
+    assert results.compact_results(spark, "scattered", max_small_files=1) == held
+    assert max(n_files(spark, "scattered")) == 1 and content(spark, "scattered") == kept
+
+
+def test_compaction_leaves_other_buckets_and_empty_tables(spark):
+    results.reset_result_table(spark, "calm", SPEC, 4)
+    assert results.compact_results(spark, "calm", max_small_files=0) == []
+    results.write_results(spark, "calm", rows(spark, *[("a", str(i), i) for i in range(40)]), SPEC, "seq")
+    before = content(spark, "calm")
+    assert results.compact_results(spark, "calm", [1], max_small_files=0) == [1]
+    assert content(spark, "calm") == before
+
+
+def test_a_bucket_of_large_files_is_rewritten_for_as_many_small_ones():
+    large, small = results.SMALL_FILE_BYTES, 10
+    assert not results._is_scattered([small] * 8, 8)
+    assert results._is_scattered([small] * 9, 8)
+    assert not results._is_scattered([large] * 20 + [small] * 20, 8)
+    assert results._is_scattered([large] * 20 + [small] * 21, 8)
