@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from litscreen.functions import fixed
 from litscreen.functions.scale import broadcast_if_small, delete_folder, folder_exists, folders_in, once, stage
 from litscreen.functions.text import paragraph_words
-from litscreen.operators.search import best_articles, term_groups
+from litscreen.operators.search import best_articles, groups_of_terms, term_groups
 
 BUCKETS = 256
 BUCKET = "word_bucket"
@@ -169,7 +169,7 @@ def compact_index(spark: SparkSession, path: str) -> None:
                 delete_folder(spark, f"{path}/{name}/{folder}")
 
 
-def indexed_groups(spark: SparkSession, path: str, groups: DataFrame) -> DataFrame:
+def indexed_groups(spark: SparkSession, path: str, groups: DataFrame, top_n: int | None = None) -> DataFrame:
     """What ``matched_groups`` says of the articles, read from the index: ``(article_id, matched)``.
 
     Only the buckets of words that are asked for are read, and positions only for words of longer terms. A term of one
@@ -200,14 +200,8 @@ def indexed_groups(spark: SparkSession, path: str, groups: DataFrame) -> DataFra
         .filter(F.size(F.aggregate(F.slice("begins", 2, F.col("n_words") - 1), F.get("begins", F.lit(0)), F.array_intersect)) > 0)
         .select("article_id", "term")
     )
-    return (
-        single.unionByName(longer)
-        .join(broadcast_if_small(groups.select("term", "group_id")), "term")
-        .groupBy("article_id", "group_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("article_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("group_id", "n"))).alias("matched"))
-    )
+    terms = single.unionByName(longer).select("article_id", F.array("term").alias("terms"))
+    return groups_of_terms(terms, groups, top_n)
 
 
 def search_index(
@@ -216,4 +210,4 @@ def search_index(
     """The rows that ``search_corpus`` gives for the indexed articles, without reading them."""
     groups, needs = term_groups(terms)
     groups = stage(groups, "groups")
-    return best_articles(stage(indexed_groups(spark, path, groups), "matched-groups"), needs, top_n)
+    return best_articles(stage(indexed_groups(spark, path, groups, top_n), "matched-groups"), needs, top_n)

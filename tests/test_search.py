@@ -59,3 +59,22 @@ def test_a_group_named_twice_counts_twice(spark, make_articles):
     terms = spark.createDataFrame([(1, 0, "kcna1"), (1, 1, "kcna1"), (2, 0, "kcna1")], "question_id long, group_no int, term string")
     rows = search.search_corpus(make_articles(TEXTS), terms, 1).collect()
     assert sorted((r["question_id"], r["article_id"], r["n_terms"]) for r in rows) == [(1, 3, 2), (2, 3, 1)]
+
+
+def test_articles_that_hold_the_same_terms_are_cut_to_the_best_n(spark, make_articles, monkeypatch):
+    """What a question does with common words grows with the different sets of terms, not with the articles."""
+    texts = {i: (["the que of that" if i % 3 else "the of that that"], ["Of the kv 1.1 kind."] if i % 10 == 0 else []) for i in range(60)}
+    asked = [(q, g, t) for q in range(4) for g, t in ((0, "the"), (0, "kv 1.1" if q % 2 else "que"), (1, "of the"), (1, "that"))]
+    terms = spark.createDataFrame(asked, "question_id long, group_no int, term string")
+    articles = make_articles(texts)
+    groups, _ = search.term_groups(terms)
+    assert search.matched_groups(articles, groups, 2).count() == 8  # four sets of terms
+
+    def best():
+        return sorted((r["question_id"], r["rank"], r["article_id"], r["n_terms"]) for r in search.search_corpus(articles, terms, 2).collect())
+
+    # Article 0 holds no "que", article 10 every term.
+    even, odd = [(1, 10, 4), (2, 20, 4)], [(1, 0, 4), (2, 10, 4)]
+    assert best() == [(q, *r) for q in range(4) for r in (odd if q % 2 else even)]
+    monkeypatch.setattr(search, "LOCAL_MAX_ROWS", 0)  # terms too many to look up in the row
+    assert best() == [(q, *r) for q in range(4) for r in (odd if q % 2 else even)]
