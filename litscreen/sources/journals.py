@@ -21,6 +21,8 @@ PART = "struct<p: array<string>, sec: array<struct<title: string, p: array<strin
 FRAME = f"doi string, abstract {PART}, body {PART}"
 
 _INLINE = "\ue000"  # stands for the < of a tag that is no part of the frame
+# The sign above and characters that XML can't hold, one by one: a list of them is one lookup, ranges are one after another.
+_UNWANTED = "".join(rf"\x{c:02x}" for c in range(0x20) if chr(c) not in "\t\n\r") + r"\ue000\ufffe\uffff"
 
 
 def _element(xml: Column, tag: str) -> Column:
@@ -36,13 +38,17 @@ def _frame(inside: Column) -> Column:
     """
     text = F.regexp_replace(inside, r"<(?!/?(?:sec|title|p)(?:\s[^>]*)?/?>)", _INLINE)
     text = F.regexp_replace(text, r"<(sec|title|p)(?:\s[^>]*)?(/?)>", "<$1$2>")
-    text = F.regexp_replace(text, r"<(?:sec|p|title)/>|</(?:sec|p)\s*>", "")
+    text = F.regexp_replace(text, r"<(?:(?:sec|p|title)/|/(?:sec|p)\s*)>", "")
     # Loose text between a section's tags is no paragraph.
     text = F.regexp_replace(text, r"<p>([^<]*)", "<p>$1</p>")
-    text = F.regexp_replace(text, r"(</p>|</title>|<sec>)[^<]+", "$1")
-    loose = F.substring_index(text, "<sec>", 1)
-    sections = F.transform(F.slice(F.split(text, "<sec>"), 2, F.greatest(F.size(F.split(text, "<sec>")), F.lit(1))), lambda s: F.concat(F.lit("<sec>"), s, F.lit("</sec>")))
-    return F.concat(F.regexp_replace(loose, r"^[^<]+|<title>[^<]*</title>", ""), F.array_join(sections, ""))
+    text = F.regexp_replace(text, r"(<(?:/p|/title|sec)>)[^<]+", "$1")
+
+    def piece(s: Column, i: Column) -> Column:
+        loose = F.regexp_replace(s, r"^[^<]+|<title>[^<]*</title>", "")
+        return F.when(i == 0, loose).otherwise(F.concat(F.lit("<sec>"), s, F.lit("</sec>")))
+
+    # What stands before the first section comes first.
+    return F.array_join(F.transform(F.split(text, "<sec>"), piece), "")
 
 
 def articles_from_journals(df: DataFrame, id_col: str = "article_id", xml_col: str = "xml") -> DataFrame:
@@ -53,15 +59,17 @@ def articles_from_journals(df: DataFrame, id_col: str = "article_id", xml_col: s
     sections, nested ones included. Figures, tables and replies are no text. Character references are decoded once, white
     space is collapsed. A null, empty or broken text gives no doi, no paragraphs and no sections. Other columns aren't kept.
     """
-    raw = F.regexp_replace(F.coalesce(F.col(xml_col).cast("string"), F.lit("")), "[\ue000\ufffe\uffff\x01-\x08\x0b\x0c\x0e-\x1f]", " ")
-    raw = F.replace(raw, F.lit("\x00"), F.lit(" "))
-    raw = F.regexp_replace(raw, r"(?s)<!--.*?-->|<\?.*?\?>", "")
+    raw = F.regexp_replace(F.coalesce(F.col(xml_col).cast("string"), F.lit("")), f"[{_UNWANTED}]", " ")
+    raw = F.regexp_replace(raw, r"(?s)<(?:!--.*?--|\?.*?\?)>", "")
     raw = F.regexp_replace(raw, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
     raw = F.regexp_replace(raw, rf"(?s)<({'|'.join(SET_ASIDE)})(?:\s[^>]*)?>.*?</\1\s*>", "")
     # References are left to be decoded once, after reading.
     raw = F.replace(raw, F.lit("&"), F.lit("&amp;"))
-    doi = F.regexp_extract(raw, rf"""(?s)<article-id(?=[^>]*\spub-id-type=["']{DOI}["'])[^>]*>([^<]*)</article-id""", 1)
-    base = df.select(F.col(id_col).alias("article_id"), once(F.struct(doi.alias("doi"), _element(raw, "abstract").alias("abstract"), _element(raw, "body").alias("body"))).alias("x"))
+    # Each step is named once it is worked out; a second use would work out all steps before it again.
+    whole = df.select(F.col(id_col).alias("article_id"), once(raw).alias("raw"))
+    doi = F.regexp_extract("raw", rf"""(?s)<article-id(?=[^>]*\spub-id-type=["']{DOI}["'])[^>]*>([^<]*)</article-id""", 1)
+    parts = F.struct(doi.alias("doi"), _element(F.col("raw"), "abstract").alias("abstract"), _element(F.col("raw"), "body").alias("body"))
+    base = whole.select("article_id", once(parts).alias("x"))
     n_sec = F.regexp_count("x.body", F.lit(r"<sec(?=[\s>])")).cast("int")
     frame = F.concat(
         F.lit("<article><doi>"), F.col("x.doi"), F.lit("</doi><abstract>"), _frame(F.col("x.abstract")),
@@ -79,7 +87,8 @@ def articles_from_journals(df: DataFrame, id_col: str = "article_id", xml_col: s
         none = F.array().cast("array<struct<title: string, p: array<string>>>")
         first = F.struct(F.lit("").alias("title"), F.coalesce(part["p"], F.array().cast("array<string>")).alias("p"))
         every = F.concat(F.array(first), F.coalesce(part["sec"], none))
-        return F.flatten(F.transform(every, lambda s: F.transform(paragraphs(s["p"]), lambda t: F.struct(text(s["title"]).alias("title"), t.alias("text")))))
+        plain = F.transform(every, lambda s: F.struct(text(s["title"]).alias("title"), paragraphs(s["p"]).alias("p")))
+        return F.flatten(F.transform(plain, lambda s: F.transform(s["p"], lambda t: F.struct(s["title"].alias("title"), t.alias("text")))))
 
     doi_text = F.nullif(text(F.col("a.doi")), F.lit(""))
     return read.select(

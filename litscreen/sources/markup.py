@@ -48,8 +48,12 @@ def decode_entities(text: Column) -> Column:
         decoded = F.concat(char, F.substr(piece, F.length(name) + 2))
         return F.when(i == 0, piece).otherwise(F.coalesce(decoded, F.concat(F.lit("&"), piece)))
 
-    # Texts without a reference, which most are, skip the work.
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&"), read), "")).otherwise(text)
+    # Texts without a reference, which most are, skip the work. The one-element array names the text, so that it is worked
+    # out once.
+    def decoded(t: Column) -> Column:
+        return F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(t, "&"), read), "")).otherwise(t)
+
+    return F.transform(F.array(text), decoded)[0]
 
 
 def sections_from_markup(

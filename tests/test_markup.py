@@ -92,3 +92,18 @@ def test_gate_counts_sections_of_journals(spark):
     assert [r["article_id"] for r in articles.full_text_gate(journal_rows(spark, [one, two])).collect()] == [1]
     plan = journal_rows(spark, [one])._jdf.queryExecution().toString()
     assert "from_xml" in plan and "Python" not in plan
+
+
+def test_each_step_over_a_journal_text_is_done_once(spark):
+    """A column that is used twice would be worked out twice, with all steps before it."""
+    texts = spark.range(3).selectExpr("id AS article_id", "repeat('<p>', id) AS xml")
+    plan = journals.articles_from_journals(texts)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("CDATA") == 1  # of all steps over the whole text
+    assert plan.count("(<(?:/p|/title|sec)>)") == 2  # abstract and body
+
+
+def test_unwanted_characters_of_a_journal_text(spark):
+    bad = "".join(map(chr, [*range(9), 11, 12, *range(14, 32), 0xE000, 0xFFFE, 0xFFFF]))
+    xml = "<article><front><abstract><p>a" + "b".join(bad) + "\t\n\r\u20ac\ue001c</p></abstract></front></article>"
+    row = journals.articles_from_journals(spark.createDataFrame([(1, xml)], "article_id long, xml string")).first()
+    assert row["abstract"] == ["a" + " " + " ".join("b" * (len(bad) - 1)) + " \u20ac\ue001c"]
