@@ -585,16 +585,25 @@ def pending_extractions_stored(spark, sf):
 # -- streams ---------------------------------------------------------------------------------------------------------
 
 
-def _landed(articles: DataFrame, files: int = 3) -> str:
+ARRIVALS = 3
+
+
+def _at_once(source: DataFrame) -> int:
+    """Files of one arrival: as many as it takes for a file to hold about what one task reads of the table ``source``."""
+    return -(-source.rdd.getNumPartitions() // ARRIVALS)
+
+
+def _landed(articles: DataFrame, at_once: int) -> str:
     path = stage_path(articles.sparkSession, "landed")
-    articles.repartition(files).write.parquet(path)
+    articles.repartition(ARRIVALS * at_once).write.parquet(path)
     return path
 
 
 def stream_articles(spark, sf):
-    path = _landed(markup.articles_from_markup(pages(spark, sf)))
+    at_once = _at_once(table(spark, sf, "pages"))
+    path = _landed(markup.articles_from_markup(pages(spark, sf)), at_once)
     out = stage_path(spark, "streamed")
-    stream = streams.stream_articles(spark, path, max_files_per_trigger=1)
+    stream = streams.stream_articles(spark, path, max_files_per_trigger=at_once)
     query = (
         stream.writeStream.format("parquet")
         .option("path", out)
@@ -607,8 +616,8 @@ def stream_articles(spark, sf):
 
 
 def stream_search(spark, sf):
-    docs = documents(spark, sf)
-    stream = streams.stream_articles(spark, _landed(docs), docs.schema, max_files_per_trigger=1)
+    docs, at_once = documents(spark, sf), _at_once(table(spark, sf, "documents"))
+    stream = streams.stream_articles(spark, _landed(docs, at_once), docs.schema, max_files_per_trigger=at_once)
     path = stage_path(spark, "stream-hits")
     searched.stream_search(stream, stage(question_search(spark, sf), "terms"), path, stage_path(spark, "stream-state")).awaitTermination()
     return searched.read_hits(spark, path)
@@ -620,8 +629,9 @@ def stream_screen(spark, sf):
     docs = documents(spark, sf).withColumn("format", F.lit(fixed.FORMAT_ABSTRACT))
     found = stage(hits(spark, sf), "hits")
     plan = questions(spark, sf).withColumn("item", F.col("question_id").cast("string"))
-    path = _landed(docs)
-    stream = streams.stream_articles(spark, path, docs.schema, max_files_per_trigger=1)
+    at_once = _at_once(table(spark, sf, "documents"))
+    path = _landed(docs, at_once)
+    stream = streams.stream_articles(spark, path, docs.schema, max_files_per_trigger=at_once)
     query = streams.stream_screen(
         spark, stream, spec, plan, found, name, answer_by_length(shared.LONG_PROMPT),
         stage_path(spark, "stream-state"), concurrency=8, stem=False,
@@ -645,11 +655,11 @@ def stream_resolved(spark, sf):
     third = F.col("article_id") % 3
     after = F.when(third == 0, F.expr("INTERVAL 1 day")).otherwise(F.expr("INTERVAL 30 days"))
     late = landed.filter(third != 2).withColumn("landed_at", F.col("landed_at") + after)
-    streamed = []
+    streamed, at_once = [], _at_once(table(spark, sf, "documents"))
     for rows in (landed, late):
-        path = _landed(rows)
+        path = _landed(rows, at_once)
         last.select(*rows.columns).write.mode("append").parquet(path)
-        streamed.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path))
+        streamed.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2 * at_once).parquet(path))
     web = stage(markup.articles_from_markup(pages(spark, sf)), "web")
     out = arrivals.stream_resolved(*streamed, web, wait="7 days", lateness="20000 days")
     writer = out.writeStream.format("parquet").option("checkpointLocation", stage_path(spark, "stream-state"))

@@ -53,3 +53,13 @@ def test_pdf_text_of_known_articles(spark, land, make_articles):
     pdf = make_articles({1: (["p"], ["x", "y"]), 2: (["p"], ["x", "y"]), 3: (["p"], [])})
     first = [article(1, 0, 0, doi="10.1/1"), article(2, 0, 0), article(3, 0, 0, doi="10.1/3"), article(95, 40, 0)]
     assert land(first, [article(94, 40, 9)], pdf) == [(1, "PUBMED | PDF", "a", 2), (2, "PUBMED", "a", 0), (3, "PUBMED", "a", 0)]
+
+
+def test_files_that_land_grow_with_the_table(spark, tmp_path):
+    """A file holds about what one task reads of the table, and as many land at once as make up a third."""
+    from checks import queries
+
+    rows = spark.range(0, 100, 1, 10).selectExpr("id AS article_id")
+    assert [queries._at_once(rows.coalesce(n)) for n in (1, 3, 4, 10)] == [1, 1, 2, 4]
+    path = queries._landed(rows, 4)
+    assert len(spark.read.parquet(path).inputFiles()) == 12
