@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litscreen.functions.scale import stage
+from litscreen.functions.scale import once, stage
 from litscreen.llm.common import rows_apart, rows_together, split_join
 
 WINDOW = 3  # lines of a run that counts, however short they are
@@ -142,7 +142,9 @@ def dedup_lines(
     out = out.withColumn("at", F.when(F.col("spans").isNotNull(), F.transform(solid, lambda p: p["i"])))
     spans = F.transform("spans", lambda s: F.struct(F.get("at", s["open"]).alias("open"), F.get("at", s["close"]).alias("close")))
     out = out.withColumn("spans", spans)
-    out = out.withColumn("kept", F.when(F.col("spans").isNull(), F.col("lines")).otherwise(_kept(F.col("lines"), F.col("spans"))))
+    # Worked out once: a caller's filter on the text or the counts would otherwise repeat it.
+    kept = F.when(F.col("spans").isNull(), F.col("lines")).otherwise(_kept(F.col("lines"), F.col("spans")))
+    out = out.select("row", "lines", once(kept).alias("kept"))
     n = F.size("lines")
     return out.select(
         *rows_together(docs, F.array_join("kept", "\n"), text_col),

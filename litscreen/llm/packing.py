@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from litscreen.llm.common import bounded, keyed_text, ship_package
+from litscreen.llm.common import bounded, giving_back, keyed_text, ship_package
 
 CAPACITY = 4096
 POOL = 1024  # pieces that wait to be packed; twice as many start a round of packing
@@ -256,7 +256,7 @@ def pack_documents(
         if rows:
             yield flushed()
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(giving_back(run), schema)
 
 
 def encode_texts(tokenizer_path: str) -> Callable[[str], list[int]]:

@@ -66,7 +66,7 @@ class Model:
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, length, out=np.zeros_like(out), where=length > 1e-12)
 
-    def score(self, placed: np.ndarray, k: int = NEIGHBOURS, block: int = 512) -> np.ndarray:
+    def score(self, placed: np.ndarray, k: int = NEIGHBOURS, block: int = 128) -> np.ndarray:
         """Exact cosine products with every labelled point, block by block; the k nearest vote by similarity."""
         out = np.full(len(placed), self.prior)
         if not len(self.labels):

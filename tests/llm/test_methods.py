@@ -365,3 +365,10 @@ def test_pipeline_equals_brute_force_stage_by_stage(spark):
 def test_line_dedup_stays_in_the_engine(spark):
     plan = lines.dedup_report(table(spark, SF, "documents"))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "MapInArrow", "CartesianProduct"))
+
+
+def test_a_filter_on_what_line_dedup_leaves_does_not_repeat_it(spark):
+    import corpus_pipeline
+
+    plan = corpus_pipeline.dedup_lines(spark, table(spark, SF, "documents"), SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("flatten(") == 1
