@@ -368,7 +368,5 @@ def test_line_dedup_stays_in_the_engine(spark):
 
 
 def test_a_filter_on_what_line_dedup_leaves_does_not_repeat_it(spark):
-    import corpus_pipeline
-
     plan = corpus_pipeline.dedup_lines(spark, table(spark, SF, "documents"), SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("flatten(") == 1
