@@ -20,7 +20,9 @@ POOL = 1024  # pieces that wait to be packed; twice as many start a round of pac
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿß]+")
 # How the tokenizer file splits such text, lower-cased.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zßà-öø-ÿ]+|[0-9]|[^a-z0-9ßà-öø-ÿ]+")
-CHUNKS_KEPT, WORDS_KEPT = 700_000, 500_000
+# A worker process keeps these tables for as long as it lives, beside whatever other stages hold then: with entries of at
+# most ``KEPT_CHARS`` characters they are some tens of megabytes.
+CHUNKS_KEPT, WORDS_KEPT, KEPT_CHARS = 150_000, 80_000, 32
 
 
 class ChunkEncoder:
@@ -48,7 +50,7 @@ class ChunkEncoder:
             letters = word.encode().decode("latin-1").translate(self.byte_letters)
             ids = [x.id for x in self.tokenizer.model.tokenize(letters)]
             got = struct.pack(f"<{len(ids)}I", *ids)
-            if len(self.words) < WORDS_KEPT:
+            if len(self.words) < WORDS_KEPT and len(word) <= KEPT_CHARS:
                 self.words[word] = got
         return got
 
@@ -58,7 +60,7 @@ class ChunkEncoder:
         else:
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
             got = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self.chunks) < CHUNKS_KEPT and len(chunk) <= 32:
+        if len(self.chunks) < CHUNKS_KEPT and len(chunk) <= KEPT_CHARS:
             self.chunks[chunk] = got
         return got
 

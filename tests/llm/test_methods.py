@@ -160,6 +160,15 @@ def test_packing_round_trip(spark):
     check_packing(rows, docs, packing.encode_texts(TOKENIZER))
 
 
+def test_tables_of_the_encoder_stay_small():
+    with open(TOKENIZER, encoding="utf-8") as file:
+        own = packing.ChunkEncoder(file.read())
+    numbers, long = " ".join(f"w{i}x{i}" for i in range(200_000)), "ab" * 5_000
+    assert own(numbers) and own(f"{long} {long}.") == own(long) + own(f"{long}.")
+    assert len(own.chunks) <= packing.CHUNKS_KEPT <= 150_000 and len(own.words) <= packing.WORDS_KEPT <= 80_000
+    assert max(map(len, own.words)) <= packing.KEPT_CHARS and max(map(len, own.chunks)) <= packing.KEPT_CHARS
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_chunks_encode_like_the_whole(text):
