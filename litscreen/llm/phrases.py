@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +24,9 @@ AT_ONCE = 1_000_000  # words that wait to be sorted together before they go into
 READ = 256 << 10  # bytes of texts whose words are looked up at a time: few enough to stay in a core's cache
 RUN = 200_000  # phrases of a run that are written at a time
 NAMES_HELD = 64 << 20  # bytes of different words that a task holds before it begins anew
+RANGES = 512  # of prefixes, at least; as many as twice the tasks of a shuffle if that is more
+SAMPLED = 1_000  # texts that tell where ranges are cut
+MERGED = 2_000_000  # partial counts of a range that wait to be added up
 FILTER_BITS = 1 << 26  # of the filter of frequent shorter phrases that is sent to the tasks: 8 MB, whatever the corpus
 
 BREAK = b"\n"
@@ -263,25 +267,68 @@ class Counter:
             self.clear()
 
 
+def sample_texts(docs: DataFrame) -> list[tuple[str, bytes]]:
+    """The beginnings of some ``SAMPLED`` texts, twice as many at most: they only say where ranges are best cut.
+
+    Texts are chosen by a hash before they meet, so a task sends few of them, however many tasks there are.
+    """
+    one_in = max(1, docs.count() // SAMPLED)
+    some = docs.filter((F.col("text") != "") & (F.pmod(F.xxhash64("lang", "text"), F.lit(one_in)) == 0))
+    few = some.select("lang", F.substring("text", 1, 2_000)).limit(2 * SAMPLED).coalesce(1)
+    return [(r[0], r[1].encode("utf-8", "surrogatepass")) for r in few.collect()]
+
+
+def range_ends(sample: list[tuple[str, bytes]], lengths: tuple[int, ...], known: np.ndarray | None, ranges: int) -> list[tuple[str, str]]:
+    """Where to cut all (language, phrase) into at most ``ranges`` ranges of about as many phrases of the sample."""
+    counter = Counter(lengths, known, HELD, BURST)
+    for lang, text in sample:
+        counter.add(lang, text)
+    found = sorted((lang, p) for lang, _, phrases, _ in counter.spilled(everything=True) for p in phrases.to_pylist())
+    return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
+
+
+def cut_run(phrases: pa.Array, lang: str, ends: list[tuple[str, str]]) -> tuple[int, np.ndarray]:
+    """The first range that a language has a part in, and where each range's phrases begin in a sorted run of it, with the run's end."""
+    low, high = bisect.bisect_left(ends, (lang, "")), bisect.bisect_left(ends, (lang + "\0", ""))
+    cuts, at = [0], 0
+    for _, end in ends[low:high]:
+        at = bisect.bisect_left(range(len(phrases)), end.encode(), at, key=lambda i: phrases[i].as_py().encode())
+        cuts.append(at)
+    return low, np.array([*cuts, len(phrases)])
+
+
 def phrase_runs(
-    docs: DataFrame, lengths: tuple[int, ...], known: np.ndarray | None = None, held: int = HELD, burst: int = BURST
+    docs: DataFrame, lengths: tuple[int, ...], ends: list[tuple[str, str]], known: np.ndarray | None = None, held: int = HELD, burst: int = BURST
 ) -> DataFrame:
-    """``lang, k, phrase, n``: partial counts of the phrases of ``lengths`` words, as each task's sorted runs.
+    """``lang, k, range, phrases, times``: partial counts of the phrases of ``lengths`` words, as each task's sorted runs.
 
     ``docs`` has ``lang`` and ``text``. A task holds at most about ``held`` phrases: then the largest subtrees are written out
-    until half remains, and what is left at the end follows. With ``known``, a bit set of frequent phrases of one word less
-    than the shortest of ``lengths``, phrases that can't be frequent are skipped; a bit that is set by chance only costs a count.
+    until half remains, and what is left at the end follows. A run is cut at ``ends``, and each part is one row: its phrases,
+    a line each, and their counts in as few bytes as the largest needs. With ``known``, a bit set of frequent phrases of one
+    word less than the shortest of ``lengths``, phrases that can't be frequent are skipped; a bit that is set by chance only
+    costs a count.
     """
     ship_package(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(known) if known is not None else None
+    sent = docs.sparkSession.sparkContext.broadcast((known, ends))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(lengths, None if sent is None else sent.value, held, burst)
+        filtered, own_ends = sent.value
+        counter = Counter(lengths, filtered, held, burst)
 
         def out(everything: bool = False) -> Iterator[pa.RecordBatch]:
             for lang, k, phrases, times in counter.spilled(everything):
-                columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(np.full(len(phrases), k, np.int32)), phrases, pa.array(times)]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "k", "phrase", "n"])
+                if not len(phrases):
+                    continue
+                low, cuts = cut_run(phrases, lang, own_ends)
+                some = np.flatnonzero(np.diff(cuts))
+                places = np.r_[cuts[some], len(phrases)]  # empty parts have no row
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(places, pa.int32()), phrases), "\n")
+                packed = [times[i:j].astype(np.min_scalar_type(times[i:j].max())).tobytes() for i, j in zip(places[:-1], places[1:], strict=True)]
+                columns = [
+                    pa.array([lang] * len(some), pa.string()), pa.array(np.full(len(some), k, np.int32)), pa.array((some + low).astype(np.int32)),
+                    joined, pa.array(packed, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "k", "range", "phrases", "times"])
 
         for batch in batches:
             for piece in bounded(batch, "text", READ):
@@ -294,17 +341,55 @@ def phrase_runs(
                 yield from out()
         yield from out(everything=True)
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, k int, phrase string, n long")
+    return docs.select("lang", "text").mapInArrow(run, "lang string, k int, range int, phrases string, times binary")
 
 
-def merged(runs: DataFrame) -> DataFrame:
-    """``lang, phrase, k, f``: the runs' counts added up. Each task gets a range of prefixes and merges the runs there.
+def merged(runs: DataFrame, least: int) -> DataFrame:
+    """``lang, phrase, k, f``: the runs' counts added up, of phrases that occur ``least`` times, with a row of ``k`` 0 and no
+    phrase for the sum of all counts of a range.
 
-    Ranges are cut between whole phrases, by a sample of the stored runs, so a frequent prefix is spread over tasks and a
-    phrase meets one row per run, however frequent it is.
+    Each task gets ranges of prefixes and merges the runs there, one range after another. Ranges are cut between whole
+    phrases, so a frequent prefix is spread over tasks, and a phrase meets one count per run, however frequent it is.
     """
-    ranges = runs.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase")
-    return ranges.groupBy("lang", "phrase").agg(F.first("k").alias("k"), F.sum("n").alias("f"))
+    tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = runs.repartition(tasks, "range").sortWithinPartitions("range", "lang", "k")
+
+    def added(parts: list[pa.Table]) -> pa.Table:
+        sums = pa.concat_tables(parts).group_by("phrase", use_threads=False).aggregate([("n", "sum")])
+        return sums.select(["phrase", "n_sum"]).rename_columns(["phrase", "n"])
+
+    def frequent(key: tuple, parts: list[pa.Table]) -> pa.RecordBatch:
+        sums = added(parts)
+        total, sums = pc.sum(sums.column("n")).as_py(), sums.filter(pc.greater_equal(sums.column("n"), least))
+        _, lang, k = key
+        phrases, times = sums.column("phrase").to_pylist(), sums.column("n").to_pylist()
+        columns = [
+            pa.array([lang] * (len(times) + 1), pa.string()), pa.array([*phrases, None], pa.string()),
+            pa.array([k] * len(times) + [0], pa.int32()), pa.array([*times, total], pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "k", "f"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts, held = None, [], 0
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("range", "lang", "k")), strict=True)
+            for i, key in enumerate(keys):
+                if last is not None and key != last:
+                    yield frequent(last, parts)
+                    parts, held = [], 0
+                last = key
+                phrases = pc.split_pattern(batch.column("phrases").slice(i, 1), "\n").flatten()
+                packed = batch.column("times")[i].as_py()
+                times = np.frombuffer(packed, f"<u{len(packed) // len(phrases)}").astype(np.int64)
+                parts.append(pa.table({"phrase": phrases, "n": times}))
+                held += len(phrases)
+                if held > MERGED:
+                    parts = [added(parts)]
+                    held = 0
+        if last is not None:
+            yield frequent(last, parts)
+
+    return dealt.mapInArrow(run, "lang string, phrase string, k int, f long")
 
 
 def phrase_filter(frequent: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -339,12 +424,15 @@ def frequent_phrases(
     """
     passes = [(1,), (2,), tuple(range(3, longest + 1))]
     found = words = all_found = None
+    sample = sample_texts(docs)
+    ranges = max(RANGES, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     for lengths in passes[: longest if longest < 3 else 3]:
         known = None if found is None else phrase_filter(found, bits)
-        runs = stage(phrase_runs(docs, lengths, known, held, burst), "runs")
+        runs = phrase_runs(docs, lengths, range_ends(sample, lengths, known, ranges), known, held, burst)
+        sums = stage(merged(runs, least), "phrases")
         if found is None:
-            words = runs.groupBy("lang").agg(F.sum("n").alias("n"))
-        found = stage(merged(runs).filter(F.col("f") >= least), "phrases")
+            words = sums.filter("k = 0").groupBy("lang").agg(F.sum("f").alias("n"))
+        found = sums.filter("k > 0")
         all_found = found if all_found is None else all_found.unionByName(found)
     return all_found, words
 

@@ -50,6 +50,32 @@ def test_phrases_on_documents(spark):
     assert got == sorted(phrases.brute_force(docs, least=5)) and len(got) > 100
 
 
+def test_runs_travel_as_one_row_per_range(spark):
+    rng = random.Random(8)
+    docs = [(lang, " ".join(f"{lang}{rng.randrange(40)}" for _ in range(300)) + ".") for lang in ("a", "b", "a\u00e9") for _ in range(20)]
+    df = spark.createDataFrame(docs, "lang string, text string").repartition(3)
+    ends = phrases.range_ends([(lang, t.encode()) for lang, t in docs[:25]], (2,), None, 16)  # one language is not in the sample
+    runs = phrases.phrase_runs(df, (2,), ends, held=500)
+    different = len({(lang, p) for lang, t in docs for p in zip(t[:-1].split(), t[:-1].split()[1:], strict=False)})
+    assert 1 < len(ends) < 16 and runs.count() < different / 10
+    got = phrases.merged(runs, 5).collect()
+    want = {}
+    for lang, t in docs:
+        w = t[:-1].split()
+        for x, y in zip(w, w[1:], strict=False):
+            want[lang, f"{x} {y}"] = want.get((lang, f"{x} {y}"), 0) + 1
+    assert sorted((r["lang"], r["phrase"], r["f"]) for r in got if r["k"]) == sorted((*p, f) for p, f in want.items() if f >= 5)
+    assert sum(r["f"] for r in got if not r["k"]) == sum(want.values())
+
+
+def test_ranges_are_cut_by_a_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "SAMPLED", 20)
+    df = spark.range(4000).select(F.lit("en").alias("lang"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"))
+    assert 1 <= len(phrases.sample_texts(df)) <= 40
+    copies = spark.range(400).select(F.lit("en").alias("lang"), F.lit("x" * 5000).alias("text"))
+    assert all(len(t) == 2000 for _, t in phrases.sample_texts(copies)) and len(phrases.sample_texts(copies)) <= 40
+
+
 def test_phrases_of_nothing(spark):
     assert phrases.collocations(spark.createDataFrame([], "lang string, text string")).count() == 0
     assert phrases.collocations(spark.createDataFrame([(None, None), ("en", "")], "lang string, text string")).count() == 0
