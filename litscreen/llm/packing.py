@@ -18,19 +18,43 @@ POOL = 1024  # pieces that wait to be packed; twice as many start a round of pac
 
 # Characters whose lower case, normal form and class need no context: printable ASCII and Latin-1 letters.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿß]+")
+PLAIN_TEXT = re.compile(r"[!-~À-ÖØ-öø-ÿß \n]+")
 # How the tokenizer file splits such text, lower-cased.
-SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zßà-öø-ÿ]+|[0-9]|[^a-z0-9ßà-öø-ÿ]+")
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zßà-öø-ÿ]+|[0-9]|[^a-z0-9ßà-öø-ÿ \n]+")
 # A worker process keeps these tables for as long as it lives, beside whatever other stages hold then: with entries of at
 # most ``KEPT_CHARS`` characters they are some tens of megabytes.
 CHUNKS_KEPT, WORDS_KEPT, KEPT_CHARS = 150_000, 80_000, 32
 
 
+class WordTable(dict):
+    """Ids of lower-cased plain words. When the table is full, further words go to that of the chunks, while it has room."""
+
+    def __init__(self, tokenizer, chunks: dict[str, bytes]):
+        self.model, self.chunks = tokenizer.model, chunks
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        self.byte_letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.chunks.get(word)  # a word alone is a chunk of the same ids
+        if got is None:
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.byte_letters)
+            ids = [x.id for x in self.model.tokenize(letters)]
+            got = struct.pack(f"<{len(ids)}I", *ids)
+            if len(word) <= KEPT_CHARS:
+                if len(self) < WORDS_KEPT:
+                    self[word] = got
+                elif len(self.chunks) < CHUNKS_KEPT:
+                    self.chunks[word] = got
+        return got
+
+
 class ChunkEncoder:
     """Ids of a tokenizer whose words never cross a space, as little-endian unsigned 32-bit integers.
 
-    A text is cut at spaces and line ends, and each distinct piece is encoded once per process while the table has room.
-    Pieces of plain characters go word by word to the tokenizer's model; all others go through the whole tokenizer, so
-    the ids are those of the whole text in every case.
+    A text of plain characters goes word by word to the tokenizer's model, and each distinct word is encoded once per
+    process while the tables have room. Any other text is cut at spaces and line ends: its plain pieces go the same way,
+    the others through the whole tokenizer, so the ids are those of the whole text in every case.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -39,24 +63,14 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
         self.chunks: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in printable]
-        self.byte_letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.words = WordTable(self.tokenizer, self.chunks)
 
-    def word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            letters = word.encode().decode("latin-1").translate(self.byte_letters)
-            ids = [x.id for x in self.tokenizer.model.tokenize(letters)]
-            got = struct.pack(f"<{len(ids)}I", *ids)
-            if len(self.words) < WORDS_KEPT and len(word) <= KEPT_CHARS:
-                self.words[word] = got
-        return got
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, SPLIT.findall(text.lower())))
 
     def chunk(self, chunk: str) -> bytes:
         if PLAIN.fullmatch(chunk):
-            got = b"".join(map(self.word, SPLIT.findall(chunk.lower())))
+            got = self.plain(chunk)
         else:
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
             got = struct.pack(f"<{len(ids)}I", *ids)
@@ -65,13 +79,12 @@ class ChunkEncoder:
         return got
 
     def __call__(self, text: str) -> bytes:
+        if PLAIN_TEXT.fullmatch(text):
+            return self.plain(text)
         pieces = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.chunks.__getitem__, pieces))
-        except KeyError:
-            known, chunk = self.chunks.get, self.chunk
-            found = [known(p) for p in pieces]
-            return b"".join(f if f is not None else chunk(p) for f, p in zip(found, pieces, strict=True))
+        known, chunk = self.chunks.get, self.chunk
+        found = [known(p) for p in pieces]
+        return b"".join(f if f is not None else chunk(p) for f, p in zip(found, pieces, strict=True))
 
 
 _ENCODERS: dict[int, ChunkEncoder] = {}

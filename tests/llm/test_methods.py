@@ -169,6 +169,14 @@ def test_tables_of_the_encoder_stay_small():
     assert max(map(len, own.words)) <= packing.KEPT_CHARS and max(map(len, own.chunks)) <= packing.KEPT_CHARS
 
 
+def test_words_of_a_plain_text_are_kept_without_the_signs_beside_them():
+    with open(TOKENIZER, encoding="utf-8") as file:
+        own = packing.ChunkEncoder(file.read())
+    words = ["".join("abcdefghij"[int(d)] for d in f"{i:06d}") for i in range(100_000)]
+    assert own("* ".join(words))
+    assert all(w in own.words or w in own.chunks for w in words)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_chunks_encode_like_the_whole(text):
