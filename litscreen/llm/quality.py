@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litscreen.llm.common import keyed_text, map_texts
+from litscreen.llm.common import give_back, keyed_text, map_texts
 from litscreen.llm.labelled import TermTable, crc, held_out, training_sample
 
 MAX_LABELLED = 6_000
@@ -106,15 +106,15 @@ def fit(sample: list[tuple[np.ndarray, np.ndarray, int]], dimensions: int = DIME
     prior = float(labels.mean()) if len(labels) else 0.5
     ids, df = np.unique(np.concatenate([s[0] for s in sample]), return_counts=True) if sample else (np.zeros(0, np.int64),) * 2
     keep = df >= min(LEAST_DOCUMENTS, max(1, len(sample)))
-    ids, df = ids[keep], df[keep]
+    ids, df = ids[keep].astype(np.int64), df[keep]
     if len(ids) > MAX_TERMS:
         common = np.sort(np.argsort(-df, kind="stable")[:MAX_TERMS])
         ids, df = ids[common], df[common]
     weights = np.log((1 + len(sample)) / (1 + df)) + 1e-3
-    rows = [weigh(ids, weights, s[0], s[1]) for s in sample]
+    rows = [(at.astype(np.int32), v) for at, v in (weigh(ids, weights, s[0], s[1]) for s in sample)]
     d = max(1, min(dimensions, len(sample), len(ids)))
     width = min(d + 8, max(1, len(ids)))
-    start = np.random.default_rng(seed).standard_normal((len(ids), width)).astype(np.float32)
+    space = np.random.default_rng(seed).standard_normal((len(ids), width)).astype(np.float32)
 
     def times(x: np.ndarray) -> np.ndarray:
         return np.stack([v @ x[at] for at, v in rows]) if rows else np.zeros((0, x.shape[1]), np.float32)
@@ -125,7 +125,6 @@ def fit(sample: list[tuple[np.ndarray, np.ndarray, int]], dimensions: int = DIME
             out[at] += v[:, None] * r
         return out
 
-    space = start
     if len(ids) and rows:
         for _ in range(2):
             q, _ = np.linalg.qr(times(space))
@@ -146,7 +145,10 @@ def train(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> Model:
-    """Learn from at most ``max_labelled`` labelled documents, none of them held out. Terms are counted in the tasks."""
+    """Learn from at most ``max_labelled`` labelled documents, none of them held out. Terms are counted in the tasks.
+
+    A document's terms and counts reach the driver as bytes, 32 bits each: as arrays of numbers each would be an object there.
+    """
     sample = training_sample(docs, labels, label, max_labelled, id_col, text_col)
 
     def make() -> Callable[[list[str | None]], dict[str, list]]:
@@ -154,14 +156,17 @@ def train(
 
         def work(batch: list[str | None]) -> dict[str, list]:
             found = [terms(table, text) for text in batch]
-            return {"ids": [f[0] for f in found], "counts": [f[1] for f in found]}
+            return {"ids": [f[0].astype(np.uint32).tobytes() for f in found], "counts": [f[1].astype(np.uint32).tobytes() for f in found]}
 
         return work
 
-    counted = map_texts(sample, "text", "ids array<long>, counts array<long>", make)
-    rows = [(np.array(r["ids"], np.int64), np.array(r["counts"]), r["label"]) for r in counted.toLocalIterator()]
+    counted = map_texts(sample, "text", "ids binary, counts binary", make)
+    rows = [(np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["counts"], np.uint32), r["label"]) for r in counted.toLocalIterator()]
     rows.sort(key=lambda r: (r[2], len(r[0]), r[0][:50].tolist()))  # the order of tasks plays no part
-    return fit(rows, dimensions)
+    model = fit(rows, dimensions)
+    del rows
+    give_back()
+    return model
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -169,6 +169,16 @@ def test_tables_of_the_encoder_stay_small():
     assert max(map(len, own.words)) <= packing.KEPT_CHARS and max(map(len, own.chunks)) <= packing.KEPT_CHARS
 
 
+def test_terms_of_the_sample_reach_the_driver_as_numbers_of_32_bits(spark, monkeypatch):
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda sample, *rest: seen.extend(sample) or fit(sample, *rest))
+    docs = spark.createDataFrame([(i, f"one two two {'three' * (i % 4)}") for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    assert seen and {a.dtype.itemsize for s in seen for a in s[:2]} == {4}
+    assert all(s[1].sum() >= 6 and len(s[0]) == len(s[1]) for s in seen) and model.known.dtype == "int64"
+
+
 def test_words_of_a_plain_text_are_kept_without_the_signs_beside_them():
     with open(TOKENIZER, encoding="utf-8") as file:
         own = packing.ChunkEncoder(file.read())
