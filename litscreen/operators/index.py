@@ -2,7 +2,7 @@
 
 The index is a folder of Parquet tables, each cut into one folder per addition:
 
-* ``postings``: ``(word, article_id, positions)``, in ``word_bucket`` folders by a hash of the word, sorted by word;
+* ``postings``: ``(word, article_id, positions)``, in ``word_bucket`` folders by a hash of the word;
 * ``articles``: the ids that an addition brought, ``replaced``: those of them that were there already;
 * ``commits``: a row per addition that is complete. What no commit names is never read.
 
@@ -41,20 +41,26 @@ def _bucket(word: Column, buckets: int) -> Column:
 def postings(articles: DataFrame) -> DataFrame:
     """``(word, article_id, positions)``: one row per article and different word, without an exchange.
 
-    All occurrences of an article are sorted inside its row and cut where the word changes.
+    All occurrences of an article are sorted inside its row and cut where the word changes. Only what needs a lambda is
+    kept in steps of its own: Spark compiles the others, the sort and the cutting among them.
     """
-    paragraphs, paragraph = paragraph_words(F.col("abstract"), F.col("sections")), F.lit(PARAGRAPH)
-    placed = F.transform(paragraphs, lambda words, p: F.transform(
-        words, lambda w, i: F.struct(w.alias("word"), (p.cast("long") * paragraph + i).alias("at"))))
-    rows = articles.select("article_id", once(F.sort_array(F.flatten(placed))).alias("found"))
-    first = F.transform("found", lambda x, i: F.when((i == 0) | (F.get("found", i - 1)["word"] != x["word"]), i))
-    rows = rows.select("article_id", "found", once(F.filter(first, lambda i: i.isNotNull())).alias("starts"))
-    own = F.transform("starts", lambda s, i: F.struct(
-        F.get("found", s)["word"].alias("word"),
-        F.transform(
-            F.slice("found", s + 1, F.coalesce(F.get("starts", i + 1), F.size("found")) - s), lambda x: x["at"]
-        ).alias("positions")))
-    return rows.select("article_id", F.explode(own).alias("p")).select("p.word", "article_id", "p.positions")
+    rows = articles.select("article_id", once(paragraph_words(F.col("abstract"), F.col("sections"))).alias("paragraphs"))
+    first = lambda p: p.cast("long") * F.lit(PARAGRAPH)
+    places = F.transform("paragraphs", lambda words, p: F.when(
+        F.size(words) > 0, F.sequence(first(p), first(p) + F.size(words) - 1)).otherwise(F.array().cast("array<long>")))
+    rows = rows.select("article_id", once(F.struct(
+        F.flatten("paragraphs").alias("word"), F.flatten(places).alias("at"))).alias("read"))
+    rows = rows.select("article_id", once(F.sort_array(F.arrays_zip("read.word", "read.at"))).alias("found"))
+    rows = rows.select("article_id", once(F.struct(
+        F.col("found")["word"].alias("words"), F.col("found")["at"].alias("at"))).alias("f"))
+    rows = rows.select("article_id", "f.words", "f.at").filter(F.size("words") > 0)
+    begins = F.filter(
+        F.sequence(F.lit(0), F.size("words") - 1), lambda i: (i == 0) | (F.get("words", i - 1) != F.get("words", i)))
+    rows = rows.select("article_id", "words", "at", once(begins).alias("starts"))
+    rows = rows.select("article_id", "words", "at", "starts", F.posexplode("starts").alias("n", "s"))
+    end = F.coalesce(F.get("starts", F.col("n") + 1), F.size("words"))
+    return rows.select(
+        F.get("words", F.col("s")).alias("word"), "article_id", F.slice("at", F.col("s") + 1, end - F.col("s")).alias("positions"))
 
 
 # -- what is stored --------------------------------------------------------------------------------------------------
@@ -117,10 +123,12 @@ def _new_batch(state: _State) -> int:
 
 
 def _write_postings(rows: DataFrame, path: str, batch: int, buckets: int) -> None:
-    """One folder per bucket. A bucket that a very frequent word fills is split over tasks, and so over files."""
+    """One folder per bucket. A bucket that a very frequent word fills is split over tasks, and so over files.
+
+    A file keeps the order of the articles. A search reads whole buckets, so an order by word would gain it nothing.
+    """
     spread = rows.withColumn(BUCKET, _bucket(F.col("word"), buckets)).hint("rebalance", BUCKET)
-    ordered = spread.sortWithinPartitions(BUCKET, "word", "article_id")
-    ordered.write.partitionBy(BUCKET).parquet(f"{path}/postings/batch={batch}")
+    spread.write.partitionBy(BUCKET).parquet(f"{path}/postings/batch={batch}")
 
 
 # -- operators -------------------------------------------------------------------------------------------------------
@@ -173,8 +181,9 @@ def indexed_groups(spark: SparkSession, path: str, groups: DataFrame, top_n: int
     """What ``matched_groups`` says of the articles, read from the index: ``(article_id, matched)``.
 
     Only the buckets of words that are asked for are read, and positions only for words of longer terms. A term of one
-    word matches wherever the word is listed; the words of a longer one are brought together by article, their positions
-    moved back by their place in the term, and what they have in common tells where the term begins.
+    word matches wherever the word is listed. The words of all longer ones are brought together by article, each once
+    however many terms share it; a term is looked up where its first two words are, the positions of its words moved back by
+    their place in it, and what they have in common tells where it begins.
     """
     state = _state(spark, path)
     asked = groups.select("term", "n_words").distinct()
@@ -191,13 +200,27 @@ def indexed_groups(spark: SparkSession, path: str, groups: DataFrame, top_n: int
         return _current(found.join(broadcast_if_small(some), "word"), spark, path, state, id_type)
 
     single = listed(words.filter("n_words = 1").select("term", "word")).select("article_id", "term")
-    moved = F.transform("positions", lambda p: p - F.col("place"))
+    held = (
+        listed(words.filter("n_words > 1").select("word").distinct(), "positions")
+        .groupBy("article_id")
+        .agg(F.collect_list(F.struct("word", "positions")).alias("held"))
+        .select("article_id", "held", F.col("held")["word"].alias("names"), F.explode("held").alias("h"))
+        .select("article_id", "held", "names", F.col("h.word").alias("word"), F.col("h.positions").alias("begins"))
+    )
+    opening = asked.filter("n_words > 1").select("term", "n_words", F.split("term", " ").alias("parts"))
+    opening = opening.select("term", "n_words", "parts", F.get("parts", F.lit(0)).alias("word"), F.get("parts", F.lit(1)).alias("second"))
+
+    def places(k: Column) -> Column:
+        """Where the term would begin, by its word number ``k``; null if the article doesn't hold that word."""
+        return F.transform(F.get(F.filter("held", lambda h: h["word"] == F.get("parts", k)), F.lit(0))["positions"], lambda p: p - k)
+
+    begins = F.aggregate(
+        F.sequence(F.lit(1), F.col("n_words") - 1), F.col("begins"), lambda left, k: F.array_intersect(left, places(k)))
     longer = (
-        listed(words.filter("n_words > 1"), "positions")
-        .groupBy("article_id", "term", "n_words")
-        .agg(F.collect_list(moved).alias("begins"))
-        .filter(F.size("begins") == F.col("n_words"))
-        .filter(F.size(F.aggregate(F.slice("begins", 2, F.col("n_words") - 1), F.get("begins", F.lit(0)), F.array_intersect)) > 0)
+        held.join(broadcast_if_small(opening), "word")
+        .filter(F.array_contains("names", F.col("second")))
+        .select("article_id", "term", once(F.size(begins)).alias("n_begins"))
+        .filter("n_begins > 0")
         .select("article_id", "term")
     )
     terms = single.unionByName(longer).select("article_id", F.array("term").alias("terms"))

@@ -84,6 +84,7 @@ def groups_of_terms(rows: DataFrame, groups: DataFrame, top_n: int | None = None
     if top_n is not None:
         alike = Window.partitionBy("terms").orderBy("article_id")
         held = held.withColumn("nth", F.row_number().over(alike)).filter(F.col("nth") <= top_n)
+        held = held.repartition("article_id")  # so that only articles move, not each term and group of theirs
     return (
         held.select("article_id", F.explode("terms").alias("term"))
         .join(broadcast_if_small(stage(groups.select("term", "group_id"), "group-terms")), "term")
@@ -128,12 +129,12 @@ def best_articles(matched: DataFrame, needs: DataFrame, top_n: int) -> DataFrame
     order = F.struct(F.coalesce("articles", F.lit(0)).alias("articles"), "group_id")
     rarest = asked.groupBy("question_id").agg(F.min(order)["group_id"].alias("group_id"), F.first("needs").alias("needs"))
     found = each.join(broadcast_if_small(stage(rarest, "rarest-groups")), "group_id")
-    all_there = F.forall("needs", lambda g: F.map_contains_key("matched", g["group_id"]))
+    # Null where a group of the question is missing.
     n_terms = F.aggregate("needs", F.lit(0).cast("long"), lambda n, g: n + g["times"] * F.element_at("matched", g["group_id"]))
     best = Window.partitionBy("question_id").orderBy(F.desc("n_terms"), "article_id")
     return (
-        found.filter(all_there)
-        .select("question_id", "article_id", n_terms.alias("n_terms"))
+        found.select("question_id", "article_id", once(n_terms).alias("n_terms"))
+        .filter(F.col("n_terms").isNotNull())
         .select("question_id", "article_id", "n_terms", F.row_number().over(best).alias("rank"))
         .filter(F.col("rank") <= top_n)
     )

@@ -52,6 +52,27 @@ def test_postings_need_no_exchange(spark, make_articles):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_the_sort_of_an_article_is_compiled(make_articles):
+    plan = index.postings(make_articles(TEXTS))._jdf.queryExecution().executedPlan().toString()
+    sorts = [line for line in plan.splitlines() if "sort_array" in line]
+    assert sorts and all("*(" in line for line in sorts)
+
+
+def test_words_of_phrases_move_once_however_many_phrases_share_them(spark, make_articles):
+    texts = {1: (["a b a c b a b c", "d"], []), 2: (["c d", "b a"], ["a b d"]), 3: (["a", "b"], []), 4: (["b b b c"], [])}
+    phrases = ["a b", "a c", "a d", "b a", "a b a", "a b c", "b b", "b b c", "b b b b", "a b d", "b c d", "a b a c b a b c"]
+    asked = spark.createDataFrame([(i, 0, t) for i, t in enumerate(phrases)], "question_id long, group_no int, term string")
+    path = stage_path(spark, "index")
+    index.add_to_index(make_articles(texts), path, buckets=4)
+    groups, _ = search.term_groups(asked)
+    plan = index.indexed_groups(spark, path, groups)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(article_id" in line]
+    assert moved and not any(", term#" in line for line in moved)
+    assert rows(index.search_index(spark, path, asked)) == rows(search.search_corpus(make_articles(texts), asked))
+    found = {(r["question_id"], r["article_id"]) for r in index.search_index(spark, path, asked).collect()}
+    assert found == {(i, a) for i, t in enumerate(phrases) for a, (p, s) in texts.items() if any(f" {t} " in f" {x} " for x in p + s)}
+
+
 def test_index_gives_what_a_search_of_the_corpus_gives(spark, make_articles, terms):
     path = stage_path(spark, "index")
     index.add_to_index(make_articles(some(1, 2, 3, 6)), path, buckets=4)
