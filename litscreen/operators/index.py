@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from litscreen.functions import fixed
-from litscreen.functions.scale import broadcast_if_small, delete_folder, folder_exists, folders_in, once, stage
+from litscreen.functions.scale import LOCAL_MAX_ROWS, broadcast_if_small, delete_folder, folder_exists, folders_in, once, stage
 from litscreen.functions.text import paragraph_words
 from litscreen.operators.search import best_articles, groups_of_terms, term_groups
 
@@ -197,6 +197,9 @@ def indexed_groups(spark: SparkSession, path: str, groups: DataFrame, top_n: int
     def listed(some: DataFrame, *columns: str) -> DataFrame:
         buckets = [r[0] for r in some.select(_bucket(F.col("word"), state.buckets)).distinct().collect()]
         found = rows.filter(F.col(BUCKET).isin(buckets)).select("word", "article_id", "batch", *columns)
+        few = some.select("word").distinct().limit(LOCAL_MAX_ROWS + 1).coalesce(1).collect()
+        if len(few) <= LOCAL_MAX_ROWS:  # a set tells the words that nobody asks for apart at less cost than the join
+            found = found.filter(F.col("word").isin([r["word"] for r in few]))
         return _current(found.join(broadcast_if_small(some), "word"), spark, path, state, id_type)
 
     single = listed(words.filter("n_words = 1").select("term", "word")).select("article_id", "term")
@@ -204,7 +207,8 @@ def indexed_groups(spark: SparkSession, path: str, groups: DataFrame, top_n: int
         listed(words.filter("n_words > 1").select("word").distinct(), "positions")
         .groupBy("article_id")
         .agg(F.collect_list(F.struct("word", "positions")).alias("held"))
-        .select("article_id", "held", F.col("held")["word"].alias("names"), F.explode("held").alias("h"))
+        .select("article_id", "held", F.col("held")["word"].alias("names"))
+        .select("article_id", "held", "names", F.explode("held").alias("h"))
         .select("article_id", "held", "names", F.col("h.word").alias("word"), F.col("h.positions").alias("begins"))
     )
     opening = asked.filter("n_words > 1").select("term", "n_words", F.split("term", " ").alias("parts"))

@@ -73,6 +73,20 @@ def test_words_of_phrases_move_once_however_many_phrases_share_them(spark, make_
     assert found == {(i, a) for i, t in enumerate(phrases) for a, (p, s) in texts.items() if any(f" {t} " in f" {x} " for x in p + s)}
 
 
+def test_words_that_nobody_asks_for_are_dropped_before_the_join(spark, make_articles, terms, monkeypatch):
+    path = stage_path(spark, "index")
+    index.add_to_index(make_articles(TEXTS), path, buckets=4)
+    groups, _ = search.term_groups(terms)
+
+    def dropped():
+        return "In(word, [" in index.indexed_groups(spark, path, groups)._jdf.queryExecution().executedPlan().toString()
+
+    assert dropped()
+    monkeypatch.setattr(index, "LOCAL_MAX_ROWS", 2)
+    assert not dropped()
+    assert rows(index.search_index(spark, path, terms)) == rows(search.search_corpus(make_articles(TEXTS), terms))
+
+
 def test_index_gives_what_a_search_of_the_corpus_gives(spark, make_articles, terms):
     path = stage_path(spark, "index")
     index.add_to_index(make_articles(some(1, 2, 3, 6)), path, buckets=4)
